@@ -1,0 +1,5 @@
+"""Nothing lives here: the work this library covers has no stream operators.
+
+Splitting documents is stateless per row, so ``plans.ingest.ingest`` accepts a
+streaming DataFrame of documents as it is.
+"""
