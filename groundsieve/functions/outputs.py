@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from groundsieve.functions import json_repair
 
@@ -81,7 +82,7 @@ def misfits(value: Column, shape: dict) -> Column:
     ]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_json(outputs: pd.Series) -> pd.Series:
     """The JSON inside each output, or null; nulls pass through."""
     return outputs.map(lambda o: o if o is None else json_repair.json_candidate(o))

@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from groundsieve.config import STOP_WORDS
 
@@ -21,7 +22,7 @@ _INFLECTED_STOP = r"\b(?:" + "|".join(
     w for w in STOP_WORDS if len(w) > 3 and w.endswith(("ing", "ed", "s"))) + r")\b"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc_batch(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 

@@ -42,7 +42,7 @@ def _messy(text: Column) -> Column:
     """The text with tabs, carriage returns, piled-up empty lines and split accents."""
     out = F.replace(text, F.lit(", "), F.lit(" ,\t  "))
     out = F.replace(out, F.lit("\n"), F.lit(" \r\n\r\n \n\n"))
-    out = F.replace(out, F.lit("é"), F.lit("é"))
+    out = F.replace(out, F.lit("\u00e9"), F.lit("e\u0301"))
     return F.concat(F.lit(" \n\t"), out, F.lit("\n \n"))
 
 
