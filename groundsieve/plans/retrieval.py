@@ -16,24 +16,52 @@ from groundsieve.sources.staging import stage
 
 
 @dataclass(frozen=True)
-class Retrieval:
-    """Every stage as a DataFrame keyed by query_id."""
+class Candidates:
+    """Prepared questions and the merged hits of both searches."""
 
     questions: DataFrame
-    lexical: DataFrame
-    dense: DataFrame
+    merged: DataFrame
+
+    @property
+    def lexical(self) -> DataFrame:
+        return self._hits("lexical")
+
+    @property
+    def dense(self) -> DataFrame:
+        return self._hits("dense")
+
+    def _hits(self, method: str) -> DataFrame:
+        score, rank = f"{method}_score", f"rank_{method}"
+        return self.merged.where(F.col(score).isNotNull()).select(
+            "query_id", "passage_id", score, rank)
+
+
+@dataclass(frozen=True)
+class Retrieval:
+    """Every later stage as a DataFrame keyed by query_id."""
+
+    candidates: Candidates
     merged: DataFrame
     reranked: DataFrame
     anchors: DataFrame
     contexts: DataFrame
     bundles: DataFrame
 
+    @property
+    def questions(self) -> DataFrame:
+        return self.candidates.questions
+
 
-def first_stages(
-    questions: DataFrame, index: CorpusIndex, config: RetrievalConfig,
+def search(
+    questions: DataFrame, index: CorpusIndex, config: RetrievalConfig = RetrievalConfig(),
     query_vectors: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Prepared questions and the two result lists."""
+) -> Candidates:
+    """Both searches for questions(query_id, question), merged.
+
+    The result is written once: it is small, and fusion, reranking (also by an
+    outside model that has to see the candidates first) and experiments start
+    from it instead of searching again.
+    """
     prepared = prepare_questions(
         questions, config.lexical_query_expansions, config.lexical_query_expansion_enabled,
         config.compat)
@@ -43,7 +71,7 @@ def first_stages(
             raise ValueError("an index over given vectors needs query vectors")
         query_vectors = embed_questions(prepared, index.dims)
     dense = dense_search(index.vectors, query_vectors, config.top_k_dense, index.dims, index.hashed)
-    return prepared, lexical, dense
+    return Candidates(prepared, stage(merge_candidates(lexical, dense), "candidates"))
 
 
 def fused(merged: DataFrame, config: RetrievalConfig) -> DataFrame:
@@ -52,26 +80,33 @@ def fused(merged: DataFrame, config: RetrievalConfig) -> DataFrame:
                        config.overlap_boost_enabled, config.overlap_boost_value)
 
 
-def retrieve(
-    questions: DataFrame, index: CorpusIndex, config: RetrievalConfig = RetrievalConfig(),
-    query_vectors: DataFrame | None = None, pair_scores: DataFrame | None = None,
+def assemble(
+    candidates: Candidates, index: CorpusIndex, config: RetrievalConfig = RetrievalConfig(),
+    pair_scores: DataFrame | None = None,
 ) -> Retrieval:
-    """Runs questions(query_id, question) against an index.
+    """Fusion, reranking, context and evidence bundles of searched questions.
 
     ``pair_scores``(query_id, passage_id, score) drives the reranker; without
     it, or with the reranker disabled, candidates keep their hybrid order.
-    The merged result lists are written once: everything after the searches
-    works on that small table instead of searching again per stage.
+    Bundles are written once, for answers and metrics to start from.
     """
-    prepared, lexical, dense = first_stages(questions, index, config, query_vectors)
-    candidates = stage(merge_candidates(lexical, dense), "candidates")
-    merged = fused(candidates, config)
+    merged = fused(candidates.merged, config)
     reranked = rerank(merged, config.reranker_top_k,
                       pair_scores if config.reranker_enabled else None, config.compat)
     anchors = take_anchors(reranked, config.top_k_anchors, config.min_anchor_score)
     contexts = expand_context(anchors, index.passages, config.context_window_radius)
-    bundles = evidence_bundles(anchors, contexts, config.top_k_anchors, config.max_bundle_passages)
-    return Retrieval(prepared, lexical, dense, merged, reranked, anchors, contexts, bundles)
+    bundles = stage(
+        evidence_bundles(anchors, contexts, config.top_k_anchors, config.max_bundle_passages),
+        "bundles")
+    return Retrieval(candidates, merged, reranked, anchors, contexts, bundles)
+
+
+def retrieve(
+    questions: DataFrame, index: CorpusIndex, config: RetrievalConfig = RetrievalConfig(),
+    query_vectors: DataFrame | None = None, pair_scores: DataFrame | None = None,
+) -> Retrieval:
+    """All nine stages: ``search``, then ``assemble``."""
+    return assemble(search(questions, index, config, query_vectors), index, config, pair_scores)
 
 
 def candidate_rows(candidates: DataFrame, rank: str, top_k: int | None = None) -> DataFrame:
@@ -99,7 +134,7 @@ def debug_record(run: Retrieval, config: RetrievalConfig, top_k: int | None = No
         F.col("normalized_question").alias("normalized_query"), "lexical_query", "expanded_terms",
         _setting_struct(config).alias("retrieval_config"))
     stages = (
-        ("lexical_hits", run.lexical, "rank_lexical"), ("dense_hits", run.dense, "rank_dense"),
+        ("lexical_hits", run.candidates.lexical, "rank_lexical"), ("dense_hits", run.candidates.dense, "rank_dense"),
         ("merged_candidates", run.merged, "rank_hybrid"),
         ("reranked_candidates", run.reranked, "rank_rerank"),
     )

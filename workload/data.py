@@ -4,6 +4,7 @@ tables, and one index per table folder, built once per Spark application."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,16 +12,25 @@ from groundsieve.config import RetrievalConfig
 from groundsieve.functions.text import lexical_tokens, normalize_text
 from groundsieve.operators.evaluation import gather_ids, locate_quotes
 from groundsieve.plans.ingest import CorpusIndex, build_index, ingest
-from groundsieve.plans.retrieval import Retrieval, retrieve
+from groundsieve.plans.retrieval import Candidates, Retrieval, assemble, search
 from groundsieve.sources.corpus import as_documents
 from groundsieve.sources.staging import spread, stage
 
 
-@dataclass(frozen=True)
+@dataclass
 class Prepared:
+    """An index with its questions; candidates and gold are made when first asked for."""
+
     index: CorpusIndex
     questions: DataFrame
-    gold: DataFrame
+
+    @cached_property
+    def candidates(self) -> Candidates:
+        return search(self.questions, self.index)
+
+    @cached_property
+    def gold(self) -> DataFrame:
+        return stage(gather_ids(locate_quotes(self.index.passages, quotes(self.questions))), "gold")
 
 
 _prepared: dict[tuple, Prepared] = {}
@@ -57,36 +67,31 @@ def prepared(spark: SparkSession, folder: str, compat: bool = False) -> Prepared
     if key not in _prepared:
         config = RetrievalConfig(compat=compat)
         index = build_index(ingest(documents(spark, folder), config).passages, config)
-        asked = questions(spark, folder)
-        gold = stage(gather_ids(locate_quotes(index.passages, quotes(asked))), "gold")
-        _prepared[key] = Prepared(index, asked, gold)
+        _prepared[key] = Prepared(index, questions(spark, folder))
     return _prepared[key]
 
 
 def found(spark: SparkSession, folder: str, with_pairs: bool = False) -> Retrieval:
-    """The retrieval run over the benchmark questions; its candidates are staged once."""
+    """The retrieval run over the benchmark questions, with or without outside
+    pair scores; both start from the same searched candidates."""
     key = (spark.sparkContext.applicationId, folder, with_pairs)
     if key not in _runs:
         base = prepared(spark, folder)
-        if with_pairs:
-            plain = found(spark, folder)
-            pairs = pair_scores(plain, base)
-            _runs[key] = retrieve(base.questions, base.index, RetrievalConfig(), pair_scores=pairs)
-        else:
-            _runs[key] = retrieve(base.questions, base.index, RetrievalConfig())
+        pairs = pair_scores(base) if with_pairs else None
+        _runs[key] = assemble(base.candidates, base.index, RetrievalConfig(), pairs)
     return _runs[key]
 
 
-def pair_scores(run: Retrieval, base: Prepared) -> DataFrame:
+def pair_scores(base: Prepared) -> DataFrame:
     """Stand-in for an outside reranker: the share of a question's terms that
     the passage holds. First passages of a document get NaN and second ones
     none, as a failing model would give."""
-    asked = run.questions.select("query_id", F.array_distinct("normalized_tokens").alias("wanted"))
-    texts = base.index.passages.select(
-        "passage_id", "passage_index", lexical_tokens(F.col("normalized_text")).alias("tokens"))
-    pairs = run.merged.select("query_id", "passage_id").join(asked, "query_id").join(
-        texts, "passage_id")
-    share = F.size(F.array_intersect("wanted", "tokens")) / F.greatest(F.size("wanted"), F.lit(1))
+    asked = base.candidates.questions.select(
+        "query_id", F.array_distinct("normalized_tokens").alias("wanted"))
+    pairs = base.candidates.merged.select("query_id", "passage_id").join(asked, "query_id").join(
+        base.index.passages.select("passage_id", "passage_index", "normalized_text"), "passage_id")
+    tokens = lexical_tokens(F.col("normalized_text"))
+    share = F.size(F.array_intersect("wanted", tokens)) / F.greatest(F.size("wanted"), F.lit(1))
     return pairs.where("passage_index <> 1").select(
         "query_id", "passage_id",
         F.when(F.col("passage_index") == 0, F.lit(float("nan"))).otherwise(share).alias("score"))

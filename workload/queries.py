@@ -173,7 +173,7 @@ def q_passage_windows(spark, folder):
 
 def q_passage_windows_gaps(spark, folder):
     """Windows over the passages that hold ten words or more, so places are missing."""
-    passages = ingest(documents(spark, folder)).passages.where("token_count >= 10")
+    passages = prepared(spark, folder).index.passages.where("token_count >= 10")
     rows = _windows(context_windows(passages, radius=2))
     return rows.withColumns({c: F.col(c).cast("int") for c in
                              ("start_passage_index", "end_passage_index")})
@@ -259,20 +259,17 @@ def q_overlap_boost(spark, folder):
 
 
 def _searches(spark, folder) -> DataFrame:
-    return found(spark, folder).merged.select(
-        "query_id", "passage_id", "lexical_score", "rank_lexical", "dense_score", "rank_dense",
-        "overlap_matched", "source_methods")
+    return prepared(spark, folder).candidates.merged
 
 
 def q_rerank_pairs(spark, folder):
     run = found(spark, folder)
-    rows = rerank(run.merged, 25, pair_scores(run, prepared(spark, folder)))
+    rows = rerank(run.merged, 25, pair_scores(prepared(spark, folder)))
     return rows.select("query_id", "passage_id", "hybrid_score", "rerank_score", "rank_rerank")
 
 
 def q_broken_pair_scores(spark, folder):
-    run = found(spark, folder)
-    return count_broken_scores(pair_scores(run, prepared(spark, folder)))
+    return count_broken_scores(pair_scores(prepared(spark, folder)))
 
 
 def q_context_expand(spark, folder):
@@ -441,7 +438,7 @@ def q_model_run_summary(spark, folder):
 
 def q_sweep_summary(spark, folder):
     base, run = prepared(spark, folder), found(spark, folder)
-    fused, reranked = sweep(_searches(spark, folder), SETTINGS, pair_scores(run, base))
+    fused, reranked = sweep(_searches(spark, folder), SETTINGS, pair_scores(base))
     rows = sweep_results(eval_items(base), fused, reranked)
     kinds = F.col("failure_type")
     return rows.groupBy("label").agg(
