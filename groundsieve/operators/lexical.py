@@ -67,7 +67,8 @@ def corpus_statistics(passage_terms: DataFrame, term_stats: DataFrame) -> DataFr
     sizes = passage_terms.agg(
         F.count("*").alias("n_passages"), F.avg("length").alias("mean_length"))
     n = sizes.select("n_passages").scalar()
-    mean_idf = term_stats.agg(F.avg(_raw_idf(n, F.col("df"))).alias("mean_idf"))
+    raw = term_stats.select(_raw_idf(n, F.col("df")).alias("raw"))
+    mean_idf = raw.agg(F.avg("raw").alias("mean_idf"))
     return sizes.withColumn("mean_idf", mean_idf.scalar())
 
 

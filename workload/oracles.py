@@ -552,7 +552,7 @@ def oracles() -> dict[str, str]:
             + " FROM sw_base WHERE label = 'boosted'",
         "rerank_pairs": "SELECT query_id, passage_id, h AS hybrid_score, rs AS rerank_score, "
                         "rr::INTEGER AS rank_rerank FROM rer",
-        "broken_pair_scores": "SELECT query_id, count(*) AS n_pairs, count_if(isnan(score)) AS "
+        "broken_pair_scores": "SELECT query_id, count(*) AS n_pairs, count_if(isnan(score))::BIGINT AS "
                               "n_broken FROM pairs GROUP BY query_id",
         "context_expand": "SELECT query_id, n.passage_id, any_value(p.text) AS anchor_text, "
                           "NULL::VARCHAR AS section_title, any_value(p.o)::INTEGER AS "
@@ -618,8 +618,8 @@ def oracles() -> dict[str, str]:
         "grounding_metrics": "SELECT query_id, cvr::DOUBLE AS citation_validity_rate, round(csr, 6) AS "
                              "claim_support_rate, open::INTEGER AS unsupported_claim_count, status AS "
                              "verifier_status FROM grounded",
-        "run_summary": "SELECT count(*) AS total, count_if(has) AS successful, count_if(NOT has) AS "
-                       "failed, count_if(has AND hit_at_5 IS NOT NULL) AS n_with_gold, "
+        "run_summary": "SELECT count(*) AS total, count_if(has)::BIGINT AS successful, count_if(NOT has)::BIGINT AS "
+                       "failed, count_if(has AND hit_at_5 IS NOT NULL)::BIGINT AS n_with_gold, "
                        + ", ".join(f"round(avg({m}) FILTER (has), 4) AS {m}" for m in (
                            "hit_at_5", "hit_at_10", "hit_at_20", "recall_at_10", "precision_at_10",
                            "mrr"))
@@ -630,24 +630,24 @@ def oracles() -> dict[str, str]:
         "failure_types": "SELECT query_id, h5 AS hit_at_5, hr AS hit_at_10, failed AS failure, kind AS "
                          "failure_type, len(g) > 0 AND NOT hl AND NOT hd AS miss_both, (hl OR hd) AND "
                          "NOT hm AS fusion_miss, array_to_string(r, ' ') AS retrieved_ids FROM fails",
-        "sweep_summary": "SELECT label, count(*) AS n_questions, count_if(h5) AS n_hit_5, count_if(hr) "
-                         "AS n_hit_10, count_if(miss) AS n_failures, count_if(miss AND NOT hl) AS "
-                         "n_lexical_miss, count_if(miss AND hl AND NOT hd) AS n_dense_miss, "
-                         "count_if(miss AND hl AND hd AND hm) AS n_rerank_miss, count_if(miss AND hl "
-                         "AND hd AND NOT hm) AS n_unknown, count_if((hl OR hd) AND NOT hm) AS "
+        "sweep_summary": "SELECT label, count(*) AS n_questions, count_if(h5)::BIGINT AS n_hit_5, count_if(hr)::BIGINT "
+                         "AS n_hit_10, count_if(miss)::BIGINT AS n_failures, count_if(miss AND NOT hl)::BIGINT AS "
+                         "n_lexical_miss, count_if(miss AND hl AND NOT hd)::BIGINT AS n_dense_miss, "
+                         "count_if(miss AND hl AND hd AND hm)::BIGINT AS n_rerank_miss, count_if(miss AND hl "
+                         "AND hd AND NOT hm)::BIGINT AS n_unknown, count_if((hl OR hd) AND NOT hm)::BIGINT AS "
                          "n_fusion_miss FROM (SELECT *, len(g) > 0 AND NOT hr AS miss FROM sw_hits) "
                          "GROUP BY label",
         "model_run_summary": "SELECT 'synthetic' AS label, count(*) AS total_queries, 0::BIGINT AS "
                              "error_count, round(avg(h5::INT), 4) AS hit_at_5, round(avg(hr::INT), 4) "
-                             "AS hit_at_10, count_if(failed) AS failure_count, count_if(fallback) AS "
+                             "AS hit_at_10, count_if(failed)::BIGINT AS failure_count, count_if(fallback)::BIGINT AS "
                              "fallback_count, round(avg(fallback::INT), 4) AS fallback_rate, count(*) "
                              "AS verifier_fallback_count, 1.0::DOUBLE AS verifier_fallback_rate, "
                              "0.0::DOUBLE AS schema_success_rate, round(avg((NOT fallback)::INT), 4) AS "
                              "answer_schema_success_rate, 0.0::DOUBLE AS verifier_schema_success_rate, "
                              "0.0::DOUBLE AS average_retries_used, 0.0::DOUBLE AS "
                              "answer_average_retries_used, 0.0::DOUBLE AS "
-                             "verifier_average_retries_used, count_if(n > 1 AND kind_no IN (1, 4)) AS "
-                             "repair_used_count, count_if(n > 1 AND kind_no = 1) AS repair_success_count FROM fails JOIN "
+                             "verifier_average_retries_used, count_if(n > 1 AND kind_no IN (1, 4))::BIGINT AS "
+                             "repair_used_count, count_if(n > 1 AND kind_no = 1)::BIGINT AS repair_success_count FROM fails JOIN "
                              "(SELECT query_id, fallback, n, kind AS kind_no FROM drafts) "
                              "USING (query_id)",
         "json_validate": "SELECT query_id, attempt, stage AS failure_stage, tried AS "
