@@ -253,7 +253,8 @@ def summarize_model_run(results: DataFrame, by: tuple = (), generation: bool = T
         return F.col(f"{step}.{name}")
 
     def retries(step: str) -> Column:
-        return F.greatest(field(step, "attempts") - 1, F.lit(0))
+        # greatest skips nulls, so a skipped step has to be kept out by hand.
+        return F.when(F.col(step).isNotNull(), F.greatest(field(step, "attempts") - 1, F.lit(0)))
 
     def total(name: str) -> Column:
         return F.count_if(field("answer", name)) + F.count_if(field("verifier", name))
