@@ -18,7 +18,7 @@ from workload.queries import registered
 
 HEADLINE = (
     "normalize_text", "tokenize_stem", "passages_lines", "passages_sentences", "passage_windows",
-    "passage_windows_gaps", "index_build", "bm25_postings", "bm25_topk", "hash_embed",
+    "index_build", "passage_windows_gaps", "bm25_postings", "bm25_topk", "hash_embed",
     "dense_topk_hash", "dense_topk_vectors", "retrieval", "hybrid_fusion", "rerank_pairs",
     "evidence_bundle", "retrieval_metrics", "failure_types", "sweep_summary", "run_summary",
     "final_response", "gold_references", "json_validate", "json_resolve",

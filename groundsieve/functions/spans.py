@@ -29,6 +29,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def value_counts(items: Column) -> Column:
+    """Distinct items of an array in order with their counts, as (value, n): the
+    runs of the sorted array, found inside the row."""
+    def runs(ordered: Column) -> Column:
+        heads = F.filter(
+            F.sequence(F.lit(0), F.size(ordered) - 1),
+            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
+        )
+        return let(heads, lambda h: F.transform(h, lambda first, n: F.struct(
+            F.get(ordered, first).alias("value"),
+            (F.coalesce(F.get(h, n + 1), F.size(ordered)) - first).alias("n"),
+        )))
+
+    # Without items there is no run; the sequence would count down from 0.
+    return let(F.sort_array(items), lambda ordered: F.when(F.size(ordered) > 0, runs(ordered))
+               .otherwise(F.slice(F.transform(ordered, lambda v: F.struct(
+                   v.alias("value"), F.lit(0).alias("n"))), 1, 0)))
+
+
 def _prefix_sums(numbers: Column) -> Column:
     return F.aggregate(
         numbers, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n)

@@ -16,6 +16,7 @@ cloudpickle.register_pickle_by_value(nearest)
 
 # Queries that go to every task at once; more are searched block by block.
 LOCAL_QUERIES = 4096
+LOCAL_DETAILS = 500_000
 CELL_PASSAGES = 50_000
 _OUT = "query_id string, passage_id string, score double"
 
@@ -24,25 +25,27 @@ def block_search(
     passages: DataFrame, queries: DataFrame, details: DataFrame | None, scan_of: Callable,
     k: int, score: str, rank: str,
     local_queries: int = LOCAL_QUERIES, cell_passages: int = CELL_PASSAGES,
+    local_details: int = LOCAL_DETAILS,
 ) -> DataFrame:
     """query_id, passage_id, ``score`` and 0-based ``rank`` of the k best passages per query.
 
     ``queries`` has one row per query_id; ``details`` (by default the same
     table) holds what ``scan_of(details table, query ids)`` needs to build the
-    kernel. Up to ``local_queries`` queries travel with the task and the
-    passages are scanned where they lie, without a shuffle. A larger table is
-    cut into a grid of query blocks and passage cells of bounded size by the
-    hashes of the ids, one task per cell. Either way a task emits at most k
-    rows per query, and the final cut sees nothing else.
+    kernel. Up to ``local_queries`` queries with ``local_details`` rows travel
+    with the task and the passages are scanned where they lie, without a
+    shuffle; no more than that is ever fetched. A larger table is cut into a
+    grid of query blocks and passage cells of bounded size by the hashes of the
+    ids, one task per cell. Either way a task emits at most k rows per query,
+    and the final cut sees nothing else.
     """
     passages = passages.withColumn("passage_id", F.col("passage_id").cast("string"))
     ids = queries.select(F.col("query_id").cast("string"))
     details = (queries if details is None else details).withColumn(
         "query_id", F.col("query_id").cast("string"))
     head = ids.limit(local_queries + 1).toArrow()
-    if head.num_rows <= local_queries:
+    table = details.limit(local_details + 1).toArrow() if head.num_rows <= local_queries else None
+    if table is not None and table.num_rows <= local_details:
         names = sorted(head.column("query_id").to_pylist())
-        table = details.toArrow()
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kernel = scan_of(table, names)
@@ -52,7 +55,7 @@ def block_search(
 
         partial = passages.mapInArrow(scan, _OUT)
     else:
-        blocks = -(-ids.count() // local_queries)
+        blocks = max(-(-ids.count() // local_queries), -(-details.count() // local_details))
         cells = max(1, -(-passages.count() // cell_passages))
 
         def numbers(n: int):

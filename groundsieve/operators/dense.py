@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from groundsieve.config import HASH_DIMS, SCORE_DIGITS
 from groundsieve.functions.nearest import CosineScan
-from groundsieve.functions.vectors import hash_codes
+from groundsieve.functions.vectors import hash_codes, summed_codes
 from groundsieve.operators.blockwise import CELL_PASSAGES, LOCAL_QUERIES, block_search
 
 
@@ -18,15 +18,9 @@ def build_hash_index(passages: DataFrame, dims: int = HASH_DIMS) -> DataFrame:
 
 def hash_embedding(vectors: DataFrame, key: str = "passage_id") -> DataFrame:
     """The unit vectors of hashed tokens as rows: key, dim (from 0), weight; zeros are left out."""
-    code = F.col("code")
-    sums = (
-        vectors.select(key, "vector").repartition(key)
-        .select(key, F.explode("vector").alias("code"))
-        .groupBy(key, (F.abs(code) - 1).alias("dim")).agg(F.sum(F.signum(code)).alias("total"))
-        .where("total <> 0")
-    )
-    norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("total") * F.col("total"))).alias("norm"))
-    return sums.join(norms, key).select(key, "dim", (F.col("total") / F.col("norm")).alias("weight"))
+    summed = vectors.select(key, summed_codes(F.col("vector")).alias("cells"))
+    cells = summed.select(key, F.explode_outer("cells").alias("c")).where(F.col("c").isNotNull())
+    return cells.select(key, F.col("c.dim").alias("dim"), F.col("c.weight").alias("weight"))
 
 
 def embed_questions(queries: DataFrame, dims: int = HASH_DIMS) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from groundsieve.config import BM25_B, BM25_IDF_FLOOR, BM25_K1, SCORE_DIGITS
 from groundsieve.functions.nearest import TermScan
-from groundsieve.functions.spans import let
+from groundsieve.functions.spans import value_counts
 from groundsieve.functions.text import expand_terms, lexical_tokens, normalize_question
 from groundsieve.operators.blockwise import CELL_PASSAGES, LOCAL_QUERIES, block_search
 from groundsieve.sources.staging import bounded, stage
 
-_NO_ENTRIES = "array<struct<term:string,tf:int>>"
+_ENTRIES = "array<struct<term:string,tf:int>>"
 
 
 @dataclass(frozen=True)
@@ -39,19 +39,8 @@ class LexicalIndex:
 
 
 def term_counts(tokens: Column) -> Column:
-    """Distinct tokens with their counts: runs of the sorted array, all inside the row."""
-    def runs(ordered: Column) -> Column:
-        heads = F.filter(
-            F.sequence(F.lit(0), F.size(ordered) - 1),
-            lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
-        )
-        return let(heads, lambda h: F.transform(h, lambda at, n: F.struct(
-            F.get(ordered, at).alias("term"),
-            (F.coalesce(F.get(h, n + 1), F.size(ordered)) - at).alias("tf"),
-        )))
-
-    return F.when(F.size(tokens) == 0, F.array().cast(_NO_ENTRIES)).otherwise(
-        let(F.sort_array(tokens), runs))
+    """Distinct tokens with their counts, as (term, tf)."""
+    return value_counts(tokens).cast(_ENTRIES)
 
 
 def term_statistics(passage_terms: DataFrame) -> DataFrame:

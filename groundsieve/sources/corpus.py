@@ -59,31 +59,39 @@ def parse_units(documents: DataFrame) -> DataFrame:
 
 
 def with_chapter_boundaries(
-    documents: DataFrame, titles: DataFrame | None = None, compat: bool = False
+    documents: DataFrame, titles: dict[int, str] | None = None, compat: bool = False
 ) -> DataFrame:
     """Adds section_boundaries, one per chapter of a unit-per-line text, from the
-    start of its first line to behind its last.
+    start of its first line to behind its last; null if there is no unit line.
 
     Sections are cut from the normalised text, so the offsets are taken there;
-    ``compat`` takes them from the raw text. ``titles``(chapter, title) names
-    the chapters.
+    ``compat`` takes them from the raw text. ``titles`` names chapters. The
+    boundaries of a text come out of its own row, so no text is shuffled.
     """
-    source = F.col("text") if compat else normalize_text(F.col("text"))
-    texts = documents.select("document_id", source.alias("text"))
-    chapters = parse_units(texts).groupBy("document_id", "chapter").agg(
-        F.min("start_offset").alias("start_offset"), F.max("end_offset").alias("end_offset"))
-    name = F.concat(F.lit("Chapter "), F.col("chapter").cast("string"))
-    if titles is not None:
-        chapters = chapters.join(titles, "chapter", "left")
-        name = F.coalesce("title", name)
-    boundary = F.struct(
-        F.col("chapter"),
-        F.struct(
-            name.alias("title"), F.lit("chapter").alias("section_type"), "start_offset",
-            "end_offset",
-            F.create_map(F.lit("chapter_number"), F.col("chapter").cast("string")).alias("metadata"),
-        ).alias("b"))
-    lists = chapters.groupBy("document_id").agg(F.transform(
-        F.array_sort(F.collect_list(boundary), lambda x, y: x["chapter"] - y["chapter"]),
-        lambda c: c["b"]).alias("section_boundaries"))
-    return documents.join(lists, "document_id", "left")
+    text = F.col("text") if compat else normalize_text(F.col("text"))
+    marks = F.transform(_unit_lines(text), lambda u: F.struct(
+        u["chapter"].alias("chapter"), u["start_offset"].alias("start"), u["end_offset"].alias("end")))
+
+    def chapters(ordered: Column) -> Column:
+        firsts = F.filter(
+            F.sequence(F.lit(0), F.size(ordered) - 1),
+            lambda i: (i == 0) | (F.get(ordered, i)["chapter"] != F.get(ordered, i - 1)["chapter"]))
+        return let(firsts, lambda f: F.transform(f, lambda first, n: _boundary(
+            F.get(ordered, first),
+            F.get(ordered, F.coalesce(F.get(f, n + 1), F.size(ordered)) - 1)["end"], titles)))
+
+    # Lines do not overlap, so the last one of a chapter by start ends it.
+    found = let(F.array_sort(marks), lambda ordered: F.when(F.size(ordered) > 0, chapters(ordered)))
+    return documents.withColumn("section_boundaries", found)
+
+
+def _boundary(first: Column, end: Column, titles: dict[int, str] | None) -> Column:
+    number = first["chapter"].cast("string")
+    name = F.concat(F.lit("Chapter "), number)
+    if titles:
+        pairs = F.create_map(*[F.lit(x) for pair in titles.items() for x in pair])
+        name = F.coalesce(F.try_element_at(pairs, first["chapter"]), name)
+    return F.struct(
+        name.alias("title"), F.lit("chapter").alias("section_type"),
+        first["start"].alias("start_offset"), end.alias("end_offset"),
+        F.create_map(F.lit("chapter_number"), number).alias("metadata"))

@@ -163,8 +163,7 @@ def test_texts_and_units(spark, tmp_path):
     assert [(r["chapter"], r["unit"], r["text"]) for r in units] == [
         (1, "1", "In  the beginning"), (1, "2", "there was"), (3, "1", "an|end")]
     docs = C.as_documents(texts, "document_id", sectioning="explicit", passages="natural_units")
-    titles = spark.createDataFrame([(1, "Opening")], "chapter int, title string")
-    out = ingest(C.with_chapter_boundaries(docs, titles))
+    out = ingest(C.with_chapter_boundaries(docs, {1: "Opening"}))
     assert [(r["title"], r["order_index"]) for r in out.sections.orderBy("order_index").collect()] == [
         ("Opening", 0), ("Chapter 3", 1)]
     assert [r["text"] for r in out.passages.orderBy("passage_index").collect()] == [

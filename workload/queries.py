@@ -79,10 +79,10 @@ def q_normalize_question(spark, folder):
 
 
 def q_tokenize_stem(spark, folder):
-    tokens = lexical_tokens(F.col("text"))
-    return _docs(spark, folder).select(
-        "doc_id", F.size(tokens).cast("bigint").alias("n_tokens"),
-        F.array_join(tokens, " ").alias("tokens"),
+    rows = _docs(spark, folder).withColumn("tokens", lexical_tokens(F.col("text")))
+    return rows.select(
+        "doc_id", F.size("tokens").cast("bigint").alias("n_tokens"),
+        F.array_join("tokens", " ").alias("tokens"),
         token_count(F.col("text")).cast("bigint").alias("n_words"))
 
 
