@@ -22,6 +22,7 @@ HEADING_PATTERN = r"^(#{1,4}\s+.+|[A-Z][A-Z\s\d:,.-]{3,}|^\d+[\.\)]\s+.{3,})$"
 PARAGRAPHS_PER_SECTION = 10
 SENTENCES_PER_PASSAGE = 3
 _BLOCK = 256
+_CHUNK = 16384
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -118,16 +119,15 @@ def sentence_passages(
     looks the joined group up in the text instead and, where it is not found
     verbatim, takes the end of the group before.
     """
-    body = F.ltrim(text, F.lit(SPACE_CHARS))
-    lead = F.length(text) - F.length(body)
+    lead = F.length(text) - F.length(F.ltrim(text, F.lit(SPACE_CHARS)))
     marked = F.regexp_replace(strip(text), rf"(?U)(?<=[.!?])({SPACE}+)", "$1" + _CUT)
 
-    def group(pieces: Column, offsets: Column) -> Column:
+    def group(pieces: Column, offsets: Column, begin: Column) -> Column:
         last = F.ceil(F.size(pieces) / group_size).cast("int") - 1
 
         def span(g: Column) -> Column:
             members = F.slice(pieces, g * group_size + 1, F.lit(group_size))
-            first = start + lead + offsets[g * group_size]
+            first = begin + offsets[g * group_size]
             length = F.aggregate(members, F.lit(0), lambda acc, m: acc + F.length(m))
             tail = F.element_at(members, -1)
             blanks = F.length(tail) - F.length(strip(tail))
@@ -138,7 +138,8 @@ def sentence_passages(
         return F.transform(F.sequence(F.lit(0), last), span)
 
     spans = let(F.split(marked, _CUT), lambda pieces: let(
-        running_offsets(F.transform(pieces, F.length)), lambda offsets: group(pieces, offsets)))
+        running_offsets(F.transform(pieces, F.length)), lambda offsets: let(
+            start + lead, lambda begin: group(pieces, offsets, begin))))
     if compat:
         spans = let(spans, lambda s: _looked_up(s, text, start))
     return F.filter(spans, lambda s: s["text"] != "")
@@ -204,10 +205,9 @@ def heading_sections(text: Column) -> Column:
         return F.slice(spans, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
 
     # Every piece but the first carries one mark inside, which is no text.
-    found = let(F.split(marked, _CUT), lambda pieces: let(
-        F.transform(pieces, lambda p, i: F.length(p) - F.when(i == 0, 0).otherwise(1)),
-        lambda sizes: build(pieces, sizes)))
-    return F.when(F.contains(marked, F.lit(_CUT)), found).otherwise(_whole(text))
+    return let(F.split(marked, _CUT), lambda pieces: F.when(F.size(pieces) == 1, _whole(text)).otherwise(
+        let(F.transform(pieces, lambda p, i: F.length(p) - F.when(i == 0, 0).otherwise(1)),
+            lambda sizes: build(pieces, sizes))))
 
 
 def paragraph_sections(text: Column, per_section: int = PARAGRAPHS_PER_SECTION) -> Column:
@@ -229,18 +229,24 @@ def explicit_sections(text: Column, boundaries: Column) -> Column:
     ``boundaries`` is an array of structs with title, section_type,
     start_offset, end_offset and metadata; a section keeps its place in it.
     """
-    size = F.length(text)
-
-    def section(b: Column, i: Column) -> Column:
+    def section(b: Column, i: Column, chunks: Column, size: Column) -> Column:
+        start = b["start_offset"].cast("int")
         end = F.least(b["end_offset"].cast("int"), size)
+        first = F.floor(start / _CHUNK).cast("int")
+        near = F.slice(chunks, first + 1, F.floor(end / _CHUNK).cast("int") - first + 1)
+        body = F.substring(F.array_join(near, ""), start - first * _CHUNK + 1, end - start)
         return _section(
-            F.coalesce(b["section_type"], F.lit("chapter")), b["title"], i, b["start_offset"], end,
-            F.substring(text, b["start_offset"].cast("int") + 1,
-                        F.greatest(end - b["start_offset"].cast("int"), F.lit(0))),
+            F.coalesce(b["section_type"], F.lit("chapter")), b["title"], i, start, end,
+            F.when(end > start, body).otherwise(""),
             F.coalesce(b["metadata"], F.create_map().cast("map<string,string>")),
         )
 
-    return F.filter(F.transform(boundaries, section), lambda s: s["start_offset"] < size)
+    # A substring counts characters from the start of its text; taking it from
+    # the few chunks around it keeps many sections of a long text linear.
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    return let(pieces, lambda chunks: let(F.length(text), lambda size: F.filter(
+        F.transform(boundaries, lambda b, i: section(b, i, chunks, size)),
+        lambda s: s["start_offset"] < size)))
 
 
 def section_spans(

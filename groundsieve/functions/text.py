@@ -118,18 +118,21 @@ def infer_passage_strategy(text: Column) -> Column:
     # A closing line break ends the last line, it does not open another.
     lines = F.when(F.element_at(raw, -1) == "", F.slice(raw, 1, F.size(raw) - 1)).otherwise(raw)
     sizes = F.transform(lines, lambda line: F.length(strip(line)))
-    filled = F.array_remove(sizes, 0)
-    total, used = F.size(sizes), F.size(filled)
-    blank = total - used
-    mean_length = F.aggregate(filled, F.lit(0), lambda acc, n: acc + n) / used
-    line_like = (
-        (used >= 3)
-        & (blank <= F.greatest(F.lit(3), F.floor(total * F.lit(0.02))))
-        & (blank / total <= 0.2)
-        & (used / total >= 0.85)
-        & (mean_length < 220)
-    )
-    return F.when(line_like, "natural_units").otherwise("paragraph")
+
+    def judged(sizes: Column) -> Column:
+        total, used = F.size(sizes), F.size(F.array_remove(sizes, 0))
+        blank = total - used
+        mean_length = F.aggregate(sizes, F.lit(0), lambda acc, n: acc + n) / used
+        line_like = (
+            (used >= 3)
+            & (blank <= F.greatest(F.lit(3), F.floor(total * F.lit(0.02))))
+            & (blank / total <= 0.2)
+            & (used / total >= 0.85)
+            & (mean_length < 220)
+        )
+        return F.when(line_like, "natural_units").otherwise("paragraph")
+
+    return F.transform(F.array(sizes), judged)[0]
 
 
 def unit_reference(text: Column) -> Column:
