@@ -182,26 +182,22 @@ def summarize_run(results: DataFrame, by: tuple = ()) -> DataFrame:
 
 # Model runs -----------------------------------------------------------------
 
-def ranked_ids(candidates: DataFrame, rank: str, name: str, top_k: int = 10,
-               by: tuple = ("query_id",)) -> DataFrame:
-    """The first ``top_k`` passage ids of every query in order."""
+def first_ids(rank: str, top_k: int = 10) -> Column:
+    """Aggregate: the passage ids of the first ``top_k`` ranks in order; rows without a rank stay out."""
     item = F.struct(F.col(rank).alias("place"), "passage_id")
-    return candidates.where(F.col(rank) < top_k).groupBy(*by).agg(
-        F.transform(F.array_sort(F.collect_list(item)), lambda i: i["passage_id"]).alias(name))
+    found = F.array_sort(F.collect_list(F.when(F.col(rank) < top_k, item)))
+    return F.transform(found, lambda i: i["passage_id"])
 
 
 def stage_ids(merged: DataFrame, reranked: DataFrame, top_k: int = 10,
               by: tuple = ("query_id",)) -> DataFrame:
     """lexical_ids, dense_ids, merged_ids and reranked_ids of every query."""
-    out = ranked_ids(merged.where(F.col("rank_lexical").isNotNull()), "rank_lexical",
-                     "lexical_ids", top_k, by)
-    dense = ranked_ids(merged.where(F.col("rank_dense").isNotNull()), "rank_dense", "dense_ids",
-                       top_k, by)
-    fused = ranked_ids(merged, "rank_hybrid", "merged_ids", top_k, by)
-    final = ranked_ids(reranked, "rank_rerank", "reranked_ids", top_k, by)
-    for rows in (dense, fused, final):
-        out = out.join(rows, list(by), "full_outer")
-    return out
+    before = merged.groupBy(*by).agg(
+        first_ids("rank_lexical", top_k).alias("lexical_ids"),
+        first_ids("rank_dense", top_k).alias("dense_ids"),
+        first_ids("rank_hybrid", top_k).alias("merged_ids"))
+    after = reranked.groupBy(*by).agg(first_ids("rank_rerank", top_k).alias("reranked_ids"))
+    return before.join(after, list(by), "left")
 
 
 def classify_failures(items: DataFrame, ids: DataFrame, top_k: int = 10,

@@ -277,3 +277,21 @@ def test_prompts(spark, bundles):
     got = fixes.collect()
     assert len(got) == 1 and got[0]["prompt"].endswith('Previous invalid output:\n{"x"')
     assert "Failure reason: json_parse" in got[0]["prompt"] and '"claim_id"' in got[0]["prompt"]
+
+
+def test_failed_answers_get_a_second_round(spark, bundles):
+    from groundsieve.plans.answering import answer
+
+    weak = GOOD | {"claims": [GOOD["claims"][0] | {"supporting_passage_ids": []}]}
+    first = results_of(spark, {"q1": json.dumps(weak), "q2": json.dumps(GOOD)})
+    second = results_of(spark, {"q1": json.dumps(GOOD | {"final_answer": "Better."}),
+                                "q2": json.dumps(weak)})
+    once = answer(bundles, first)
+    assert one(once.responses)["verification_status"] == "fail"
+    twice = answer(bundles, first, second_answers=second)
+    got = {r["query_id"]: (r["verification_status"], r["final_answer"])
+           for r in twice.responses.collect()}
+    assert got == {"q1": ("pass_with_warnings", "Better."), "q2": ("pass_with_warnings", "Patience wins.")}
+    assert {r["query_id"]: r["round"] for r in twice.reports.collect()} == {"q1": 2, "q2": 1}
+    still = answer(bundles, first, second_answers=first)
+    assert one(still.responses)["verification_status"] == "fail" and one(still.drafts)["round"] == 2

@@ -596,6 +596,10 @@ def oracles() -> dict[str, str]:
                          "ELSE '' END AS unknown_ids, NOT fallback AND kind = 1 AS repair_succeeded "
                          "FROM drafts d JOIN (SELECT query_id, string_agg(passage_id, ' ' ORDER BY "
                          "place) AS ids FROM cites GROUP BY query_id) c USING (query_id)",
+        "answer_rounds": "SELECT query_id, CASE WHEN NOT fallback AND kind IN (2, 3) THEN 2 ELSE 1 END"
+                         "::INTEGER AS round, 'pass_with_warnings' AS verification_status, CASE WHEN "
+                         "fallback THEN array_to_string(texts, ' ') ELSE t1 END AS final_answer FROM "
+                         "drafts",
         "citation_check": "SELECT query_id, place::INTEGER AS place, passage_id, quote, passage_text, "
                           "issue FROM cited",
         "claim_support": "SELECT query_id, status, CASE WHEN fallback THEN 'deterministic_skip' ELSE "

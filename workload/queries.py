@@ -19,6 +19,7 @@ from groundsieve.operators.outputs import check_outputs, latest, resolve_attempt
 from groundsieve.operators.splitting import (
     context_windows, passages_table, sections_table, split_documents, windows_table,
 )
+from groundsieve.plans.answering import Answers, answer
 from groundsieve.plans.evaluation import model_run, sweep, sweep_results
 from groundsieve.plans.ingest import ingest
 from groundsieve.plans.retrieval import debug_record
@@ -337,19 +338,24 @@ def q_retrieval_metrics_compat(spark, folder):
     return rows.select("query_id", *[F.round(m, 6).alias(m) for m in _METRICS])
 
 
+_answered: dict[tuple, Answers] = {}
+
+
 def _drafts(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Bundles with drafts from synthesised model answers, and their reports."""
+    """Bundles with drafts from synthesised model answers, and their reports; written once."""
     bundles = found(spark, folder, with_pairs=True).bundles
-    results = resolve_attempts(check_outputs(_model_answers(bundles), ANSWER))
-    drafts = ans.answer_drafts(bundles, results)
-    return bundles, drafts, ans.verification_reports(drafts, bundles)
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _answered:
+        results = resolve_attempts(check_outputs(_model_answers(bundles), ANSWER))
+        _answered[key] = answer(bundles, results)
+    return bundles, _answered[key].drafts, _answered[key].reports
 
 
-def _model_answers(bundles: DataFrame) -> DataFrame:
+def _model_answers(bundles: DataFrame, sound: bool = False) -> DataFrame:
     """What a model might have answered, by question number modulo five: a sound
     answer, one in a code fence with an altered quote, one that cites an
     unknown passage, one without claims support, and broken JSON."""
-    kind = F.col("query_id").cast("int") % 5
+    kind = F.lit(0) if sound else F.col("query_id").cast("int") % 5
     top = F.get("anchors", 0)
     claim = F.struct(
         F.lit("c1").alias("claim_id"), top["text"].alias("statement"),
@@ -366,14 +372,14 @@ def _model_answers(bundles: DataFrame) -> DataFrame:
         F.struct(top["passage_id"].alias("passage_id"), quote.alias("quote")),
         F.struct(F.when(kind == 2, "ghost").otherwise(F.get("anchors", 1)["passage_id"])
                  .alias("passage_id"), F.lit("").alias("quote")))
-    answer = F.to_json(F.struct(
+    output = F.to_json(F.struct(
         top["text"].alias("final_answer"), F.array(claim, second).alias("claims"),
         citations.alias("supporting_citations"),
         F.array(F.struct(F.lit("open").alias("issue"), F.array(top["passage_id"])
                          .alias("related_passage_ids"))).alias("objections_raised"),
         F.lit("noted").alias("confidence_notes")))
-    raw = F.when(kind == 1, F.concat(F.lit("```json\n"), answer, F.lit("\n```"))).when(
-        kind == 4, F.lit('{"final_answer": ')).otherwise(answer)
+    raw = F.when(kind == 1, F.concat(F.lit("```json\n"), output, F.lit("\n```"))).when(
+        kind == 4, F.lit('{"final_answer": ')).otherwise(output)
     return bundles.where(F.size("anchors") > 1).select(
         "query_id", F.lit(1).alias("attempt"), raw.alias("raw_output"))
 
@@ -386,6 +392,16 @@ def q_answer_drafts(spark, folder):
         F.array_join("raw_unknown_ids", " ").alias("unknown_ids"), "repair_succeeded")
 
 
+def q_answer_rounds(spark, folder):
+    """Failed answers are given again, soundly this time."""
+    bundles = found(spark, folder, with_pairs=True).bundles
+    first = resolve_attempts(check_outputs(_model_answers(bundles), ANSWER))
+    second = resolve_attempts(check_outputs(_model_answers(bundles, sound=True), ANSWER))
+    out = answer(bundles, first, second_answers=second)
+    return out.responses.join(out.reports.select("query_id", "round"), "query_id").select(
+        "query_id", "round", "verification_status", "final_answer")
+
+
 def q_citation_check(spark, folder):
     bundles, drafts, reports = _drafts(spark, folder)
     rows = ans.citation_rows(drafts, bundles).select(
