@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from groundsieve.sources.staging import BROADCAST_ROWS, bounded
+from groundsieve.sources.staging import BROADCAST_ROWS, bounded, stage
 
 SCORES = ("lexical", "dense", "hybrid", "rerank")
 
@@ -38,9 +38,11 @@ def expand_context(
         return F.broadcast(rows) if small else rows
 
     # The passages are only ever filtered by what the anchors ask for, so with
-    # few anchors they are scanned in place and never shuffled.
-    here = passages.join(sent(keys), "passage_id", "left_semi").select(
-        "passage_id", "document_id", "passage_index", "text", "section_title", "section_order")
+    # few anchors they are scanned in place and never shuffled. The anchors'
+    # own rows are needed twice and written down to spare a scan.
+    here = stage(passages.join(sent(keys), "passage_id", "left_semi").select(
+        "passage_id", "document_id", "passage_index", "text", "section_title", "section_order"),
+        "anchor_rows")
     found = base.join(here, "passage_id", "left")
 
     places = F.sequence(F.greatest(F.col("passage_index") - radius, F.lit(0)),
