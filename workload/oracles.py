@@ -1,8 +1,4 @@
-"""The same results in SQL, written out from the tables for a second engine.
-
-Queries without an entry here have results that SQL cannot restate exactly
-(JSON texts of prompts); they are tested on small fixtures instead.
-"""
+"""The same results in SQL, written out from the tables for a second engine."""
 
 from __future__ import annotations
 
@@ -596,6 +592,39 @@ def oracles() -> dict[str, str]:
                          "ELSE '' END AS unknown_ids, NOT fallback AND kind = 1 AS repair_succeeded "
                          "FROM drafts d JOIN (SELECT query_id, string_agg(passage_id, ' ' ORDER BY "
                          "place) AS ids FROM cites GROUP BY query_id) c USING (query_id)",
+        "answer_prompts": "SELECT query_id, 'Question:' || chr(10) || question || chr(10) || chr(10) || "
+                          "'Mode:' || chr(10) || 'source_only' || chr(10) || chr(10) || 'Evidence "
+                          "Passages:' || chr(10) || to_json({'query': question, 'mode': 'source_only', "
+                          "'anchors': items})::VARCHAR || chr(10) || chr(10) || 'Instructions:' || "
+                          "chr(10) || 'Answer using ONLY the provided passages.' || chr(10) || 'Cite "
+                          "passages using passage_id.' || chr(10) || 'Return structured JSON according "
+                          "to the schema.' || chr(10) || 'Return ONLY valid JSON, no other text.' AS "
+                          "prompt FROM qs JOIN (SELECT b.query_id, list({'passage_id': b.passage_id, "
+                          "'text': b.text, 'section_title': '', 'rank': b.rr + 1, 'window_text': "
+                          "w.wtext} ORDER BY b.rr) AS items FROM bun b JOIN (SELECT query_id, rr, "
+                          "string_agg(ntext, ' ' ORDER BY ni) AS wtext FROM near GROUP BY 1, 2) w ON "
+                          "w.query_id = b.query_id AND w.rr = b.rr GROUP BY b.query_id) USING (query_id)",
+        "verifier_prompts": "SELECT query_id, 'Question:' || chr(10) || question || chr(10) || chr(10) || "
+                            "'Evidence Passages:' || chr(10) || to_json({'query': question, 'mode': "
+                            "'source_only', 'anchors': items})::VARCHAR || chr(10) || chr(10) || 'Answer "
+                            "Draft to Verify:' || chr(10) || to_json({'final_answer': CASE WHEN fallback "
+                            "THEN array_to_string(texts, ' ') ELSE t1 END, 'claims': CASE WHEN fallback "
+                            "THEN list_transform(range(1, len(top) + 1), lambda n: {'claim_id': "
+                            "'fallback_c' || n::VARCHAR, 'statement': texts[n], "
+                            "'supporting_passage_ids': [top[n]], 'support_type': 'direct'}) ELSE "
+                            "[{'claim_id': 'c1', 'statement': t1, 'supporting_passage_ids': CASE WHEN "
+                            "kind IN (2, 3) THEN [] ELSE [p1] END, 'support_type': 'direct'}, "
+                            "{'claim_id': 'c2', 'statement': t2, 'supporting_passage_ids': [p2], "
+                            "'support_type': 'interpretive'}] END, 'supporting_citations': quoted})"
+                            "::VARCHAR || chr(10) || chr(10) || 'Instructions:' || chr(10) || 'Verify "
+                            "whether every claim in the answer draft is supported by the cited evidence "
+                            "passages.' || chr(10) || 'Return structured JSON according to the schema.' "
+                            "|| chr(10) || 'Return ONLY valid JSON, no other text.' AS prompt FROM qs "
+                            "JOIN drafts USING (query_id) JOIN (SELECT query_id, list({'passage_id': "
+                            "passage_id, 'text': text, 'section_title': ''} ORDER BY rr) AS items FROM "
+                            "bun GROUP BY query_id) USING (query_id) JOIN (SELECT query_id, "
+                            "list({'passage_id': passage_id, 'quote': quote} ORDER BY place) AS quoted "
+                            "FROM cites GROUP BY query_id) USING (query_id)",
         "answer_rounds": "SELECT query_id, CASE WHEN NOT fallback AND kind IN (2, 3) THEN 2 ELSE 1 END"
                          "::INTEGER AS round, 'pass_with_warnings' AS verification_status, CASE WHEN "
                          "fallback THEN array_to_string(texts, ' ') ELSE t1 END AS final_answer FROM "
