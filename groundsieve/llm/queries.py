@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 
 from groundsieve.llm.common import table
 from groundsieve.llm.packing import PackingOptions, pack_documents
+from groundsieve.llm.quality import quality_table
 from groundsieve.llm.token_files import TokenFileOptions, token_digests
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +17,10 @@ def op2_token_files(spark, folder) -> DataFrame:
     return token_digests(table(spark, folder, "documents"), TokenFileOptions(TOKENIZER))
 
 
+def op5_quality_rules(spark, folder) -> DataFrame:
+    return quality_table(table(spark, folder, "documents"))
+
+
 def op6_best_fit_packing(spark, folder) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), PackingOptions(TOKENIZER))
 
