@@ -3,5 +3,23 @@
 from __future__ import annotations
 
 
+# DuckDB has no base32; SHA-1 is cut into 32 groups of five bits.
+_BASE32 = """array_to_string(list_transform(range(0, 160, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + list_sum(list_transform(range(0, 5), lambda j: CAST(substr(bits, CAST(i + j + 1 AS INTEGER), 1) AS INTEGER)
+        * (16 >> CAST(j AS INTEGER))))::INTEGER, 1)), '')"""
+
+WARC = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS h FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: right('000' || bin(
+        strpos('0123456789abcdef', substr(h, CAST(i AS INTEGER), 1)) - 1), 4)), '') AS bits,
+    count(*) OVER same AS n, max(page_id) OVER same AS first
+    FROM d WINDOW same AS (PARTITION BY h))
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+    CASE WHEN n > 1 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n > 1 AND first <> page_id THEN first END AS refers_to
+FROM b"""
+
+
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op3_warc_salvage": WARC}

@@ -9,14 +9,24 @@ from groundsieve.llm.common import table
 from groundsieve.llm.packing import PackingOptions, pack_documents
 from groundsieve.llm.quality import quality_table
 from groundsieve.llm.token_files import TokenFileOptions, token_digests
+from groundsieve.llm.toxicity import toxicity_table
+from groundsieve.llm.warc import warc_digests
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark, folder) -> DataFrame:
+    return toxicity_table(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op2_token_files(spark, folder) -> DataFrame:
     return token_digests(table(spark, folder, "documents"), TokenFileOptions(TOKENIZER))
 
 
+def op3_warc_salvage(spark, folder) -> DataFrame:
+    return warc_digests(table(spark, folder, "pages"))
+
+
 def op5_quality_rules(spark, folder) -> DataFrame:
     return quality_table(table(spark, folder, "documents"))
 

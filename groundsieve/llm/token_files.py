@@ -117,7 +117,7 @@ class _ShardWriter:
         if self.out is None:
             self.path = f"{self.folder}/shard-{self.part:06d}-{self.files:04d}-{uuid.uuid4().hex}.gst"
             self.fs.create_dir(self.folder, recursive=True)
-            self.out, self.index, self.ids = self.fs.open_output_stream(self.path), [], 0
+            self.out, self.index, self.ids = self.fs.open_output_stream(self.path, compression=None), [], 0
             self.out.write(struct.pack(_HEADER, MAGIC, self.options.id_width, self.hash))
             self.at = struct.calcsize(_HEADER)
         frame = self.zstd.compress(ids.astype(f"<u{self.options.id_width}").tobytes())
@@ -151,7 +151,7 @@ def write_token_files(docs: DataFrame, options: TokenFileOptions, key: str = "do
     name = hashlib.sha256(dictionary).hexdigest()
     fs, inner = file_system(folder)
     fs.create_dir(inner, recursive=True)
-    with fs.open_output_stream(f"{inner}/{name}.zdict") as out:
+    with fs.open_output_stream(f"{inner}/{name}.zdict", compression=None) as out:
         out.write(dictionary)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +213,7 @@ class TokenFile:
 
 def read_dictionary(path: str) -> bytes:
     fs, inner = file_system(path)
-    with fs.open_input_stream(inner) as source:
+    with fs.open_input_stream(inner, compression=None) as source:
         return source.read()
 
 
