@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 
 from groundsieve.llm.common import table
+from groundsieve.llm.html_extraction import main_texts
 from groundsieve.llm.packing import PackingOptions, pack_documents
 from groundsieve.llm.quality import quality_table
 from groundsieve.llm.token_files import TokenFileOptions, token_digests
@@ -35,5 +36,9 @@ def op6_best_fit_packing(spark, folder) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), PackingOptions(TOKENIZER))
 
 
+def op9_html_extraction(spark, folder) -> DataFrame:
+    return main_texts(table(spark, folder, "pages"))
+
+
 def registered() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
