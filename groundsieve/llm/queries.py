@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 
 from groundsieve.llm.common import table
 from groundsieve.llm.html_extraction import main_texts
+from groundsieve.llm.near_duplicates import near_duplicate_classes
 from groundsieve.llm.packing import PackingOptions, pack_documents
 from groundsieve.llm.quality import quality_table
 from groundsieve.llm.token_files import TokenFileOptions, token_digests
@@ -20,6 +21,10 @@ def op1_toxicity(spark, folder) -> DataFrame:
     return toxicity_table(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op10_ngram_jaccard(spark, folder) -> DataFrame:
+    return near_duplicate_classes(table(spark, folder, "documents"))
+
+
 def op2_token_files(spark, folder) -> DataFrame:
     return token_digests(table(spark, folder, "documents"), TokenFileOptions(TOKENIZER))
 
