@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 
 from groundsieve.llm.common import table
+from groundsieve.llm.decontamination import leaks
 from groundsieve.llm.html_extraction import main_texts
 from groundsieve.llm.near_duplicates import near_duplicate_classes
 from groundsieve.llm.packing import PackingOptions, pack_documents
@@ -41,6 +42,10 @@ def op6_best_fit_packing(spark, folder) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), PackingOptions(TOKENIZER))
 
 
+def op7_benchmark_leaks(spark, folder) -> DataFrame:
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op9_html_extraction(spark, folder) -> DataFrame:
     return main_texts(table(spark, folder, "pages"))
 
