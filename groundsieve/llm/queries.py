@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from groundsieve.llm.common import table
 from groundsieve.llm.decontamination import leaks
 from groundsieve.llm.html_extraction import main_texts
+from groundsieve.llm.lm_scoring import pseudo_likelihoods
 from groundsieve.llm.near_duplicates import near_duplicate_classes
 from groundsieve.llm.packing import PackingOptions, pack_documents
 from groundsieve.llm.quality import quality_table
@@ -46,6 +47,10 @@ def op7_benchmark_leaks(spark, folder) -> DataFrame:
     return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_pseudo_likelihood(spark, folder) -> DataFrame:
+    return pseudo_likelihoods(table(spark, folder, "documents"))
+
+
 def op9_html_extraction(spark, folder) -> DataFrame:
     return main_texts(table(spark, folder, "pages"))
 
