@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from groundsieve.llm.common import table
 from groundsieve.llm.decontamination import leaks
 from groundsieve.llm.html_extraction import main_texts
+from groundsieve.llm.line_dedup import line_report
 from groundsieve.llm.lm_scoring import pseudo_likelihoods
 from groundsieve.llm.near_duplicates import near_duplicate_classes
 from groundsieve.llm.packing import PackingOptions, pack_documents
@@ -35,6 +36,10 @@ def op3_warc_salvage(spark, folder) -> DataFrame:
     return warc_digests(table(spark, folder, "pages"))
 
 
+def op4_line_dedup(spark, folder) -> DataFrame:
+    return line_report(table(spark, folder, "documents"))
+
+
 def op5_quality_rules(spark, folder) -> DataFrame:
     return quality_table(table(spark, folder, "documents"))
 
