@@ -8,6 +8,10 @@ from groundsieve.llm import stages
 from groundsieve.sources.staging import stage
 
 STAGES = [
+    ("quality_rules", stages.quality_rules),
+    ("line_dedup", stages.line_dedup),
+    ("ngram_jaccard", stages.ngram_jaccard),
+    ("benchmark_decontamination", stages.benchmark_decontamination),
     ("best_fit_packing", stages.best_fit_packing),
 ]
 
