@@ -346,4 +346,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: LeakOptions = LeakOpti
 def without_leaks(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents without a leak; rows without an id are kept."""
     leaked = found.where("doc_id is not null").select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"].cast("long") == leaked["leaked"], "left_anti")
+    return docs.join(leaked.hint("merge"), docs["doc_id"].cast("long") == leaked["leaked"], "left_anti")

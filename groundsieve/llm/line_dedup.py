@@ -195,7 +195,8 @@ def with_kept_text(docs: DataFrame, options: LineOptions = LineOptions()) -> Dat
     dropped = stage(repeated_lines(docs, options), "dropped-lines").select(
         F.col("doc.id").alias("_id"), F.col("doc.words").alias("_words"), F.col("dropped").alias("_dropped"))
     key = document_key(docs)
-    joined = docs.join(dropped, key["id"].eqNullSafe(dropped["_id"]) & (key["words"] == dropped["_words"]), "left")
+    # Merged at every size, so that the plan and its shuffles grow evenly.
+    joined = docs.join(dropped.hint("merge"), key["id"].eqNullSafe(dropped["_id"]) & (key["words"] == dropped["_words"]), "left")
     numbers = F.transform("_dropped", lambda d: d["line"])
     kept = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda l, n: ~F.array_contains(numbers, n)), "\n")
     text = F.when(F.col("_dropped").isNull(), docs["text"]).otherwise(kept)
