@@ -47,6 +47,7 @@ class EmOptions:
     tolerance: float = 1e-9
     smoothing: float = 0.5     # added to each count of votes
     suspicion: float = 0.9     # first guess that a text with a vote against it is bad
+    false_alarms: float = 0.005  # at most this share of good texts get a vote against them from a rule
     threshold: float = 0.5     # posterior from which a text is kept
 
 
@@ -140,7 +141,10 @@ def fit_patterns(counts: dict[int, int], rules: int, options: EmOptions = EmOpti
 
     Expectation maximisation of a two-class model in which each rule casts each
     of its three votes with a probability of its own per class, independently of
-    the other rules. It starts from a suspicion of every text with a vote against it.
+    the other rules. Rules speak against a text only in the extreme, so few good
+    texts may get such a vote; without that bound, a rule whose finds no other
+    rule shares would pass for noise. It starts from a suspicion of every text
+    with a vote against it.
     """
     votes = {p: votes_of(p, rules) for p in counts}
     good = {p: 1 - options.suspicion if -1 in v else options.suspicion for p, v in votes.items()}
@@ -155,6 +159,11 @@ def fit_patterns(counts: dict[int, int], rules: int, options: EmOptions = EmOpti
                 for r, v in enumerate(votes[p]):
                     table[r][v + 1] += w
             tables.append([[x / sum(row) for x in row] for row in table])
+        for row in tables[1]:
+            over = row[0] - options.false_alarms
+            if over > 0:  # what the class of good texts may not explain
+                rest = row[1] + row[2]
+                row[:] = [options.false_alarms, *(x + over * x / rest for x in row[1:])]
         total, likelihood = sum(share), 0.0
         for p, n in counts.items():
             logs = [math.log(share[s] / total) + sum(
