@@ -80,7 +80,50 @@ def list_offsets(lists: pa.ListArray) -> np.ndarray:
     return lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of the values between successive offsets; 0 for empty stretches."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)])
-    return total[offsets[1:]] - total[offsets[:-1]]
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """A bijective scramble of 64-bit values."""
+    x = hashes ^ (hashes >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def id_filter(ids: DataFrame, bits: int) -> Callable:
+    """A Bloom filter of the ids in the only column, ``2 ** bits`` bits in size
+    however many ids there are, as a function that drops rows of record batches
+    whose id is surely not among them. Missing ids always pass."""
+    (name,) = ids.columns
+
+    def places(values: np.ndarray) -> Iterator[np.ndarray]:
+        for k in range(3):
+            yield mixed(values.astype(np.uint64) + np.uint64(k)) & np.uint64((1 << bits) - 1)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << (bits - 6), np.uint64)
+        for batch in batches:
+            for at in places(batch.column(name).to_numpy()):
+                np.bitwise_or.at(table, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+        held = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(table[held].view(np.int64))], ["word", "set"])
+
+    marks = ids.where(F.col(name).isNotNull()).select(F.col(name).cast("long").alias(name))
+    words = marks.mapInArrow(mark, "word long, set long").groupBy("word").agg(F.bit_or("set").alias("set"))
+    got = words.toArrow()  # at most 2 ** (bits - 6) rows
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[got.column("word").to_numpy()] = got.column("set").to_numpy().view(np.uint64)
+    shared = ids.sparkSession.sparkContext.broadcast(table)
+
+    def passing(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            values = batch.column(column)
+            known = values.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            keep = np.ones(len(known), bool)
+            for at in places(known):
+                keep &= (held[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            every = np.ones(batch.num_rows, bool)
+            every[pc.is_valid(values).to_numpy(zero_copy_only=False)] = keep
+            yield batch.filter(pa.array(every))
+
+    return passing

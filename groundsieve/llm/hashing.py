@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from groundsieve.llm.common import list_offsets, plain
+from groundsieve.llm.common import list_offsets, mixed, plain
 
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»“”‘’…*_-"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -42,15 +42,6 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return string_hashes(words)[codes], offsets
 
 
-def mixed(hashes: np.ndarray) -> np.ndarray:
-    """A bijective scramble of 64-bit values."""
-    x = hashes ^ (hashes >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def gram_hashes(hashes: np.ndarray, offsets: np.ndarray, steps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of word n-grams or skip-grams, and the text of each: words at i,
     i + steps[0], i + steps[1] and so on, all within one text."""

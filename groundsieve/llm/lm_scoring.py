@@ -28,8 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from groundsieve.llm.common import sliced, texts_of
-from groundsieve.llm.hashing import mixed, word_hashes
+from groundsieve.llm.common import mixed, sliced, texts_of
+from groundsieve.llm.hashing import word_hashes
 
 _SLICE = 1 << 20
 _PART = 1 << 14  # weights of a slice that is averaged at once
@@ -159,9 +159,9 @@ def word_classes(counts: np.ndarray, o: WindowOptions) -> tuple[np.ndarray, np.n
     words come first; a class ends when it has its part of all words."""
     mass = counts + o.smoothing
     order = np.lexsort((np.arange(len(mass)), -mass))
-    before = np.cumsum(mass[order]) - mass[order]
+    middle = np.cumsum(mass[order]) - mass[order] / 2
     cls = np.empty(len(mass), np.int64)
-    cls[order] = np.minimum((before / mass.sum() * o.classes).astype(np.int64), o.classes - 1)
+    cls[order] = np.minimum((middle / mass.sum() * o.classes).astype(np.int64), o.classes - 1)
     return cls, np.log(mass / np.bincount(cls, mass, o.classes)[cls]).astype(np.float32)
 
 

@@ -29,9 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from groundsieve.llm.common import sliced, texts_of
+from groundsieve.llm.common import id_filter, mixed, sliced, texts_of
 from groundsieve.llm.graph import components
-from groundsieve.llm.hashing import gram_hashes, mixed, word_hashes
+from groundsieve.llm.hashing import gram_hashes, word_hashes
 from groundsieve.sources.staging import stage
 
 _SLICE = 1 << 20
@@ -45,6 +45,7 @@ class JaccardOptions:
     recall: float = 0.9995    # of pairs right at the threshold
     most_hashes: int = 128
     block: int = 1000         # units of a block of the grid
+    filter_bits: int = 26     # of the filter of ids, 8 MB; a full one only lets more texts through
     bin_units: int = 2000     # units of small components that one task verifies, on average
 
 
@@ -142,7 +143,7 @@ def gram_sets(docs: DataFrame, wanted: DataFrame, options: JaccardOptions) -> Da
     n = options.n
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", _SLICE):
+        for batch in sliced(passing(batches, "doc_id"), "text", _SLICE):
             grams, owner, hashes, offsets = _shingles(batch.column("text"), n)
             k1, k2 = _text_keys(hashes, offsets)
             cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
@@ -150,10 +151,10 @@ def gram_sets(docs: DataFrame, wanted: DataFrame, options: JaccardOptions) -> Da
             yield pa.RecordBatch.from_arrays(
                 [pa.array(k1), pa.array(k2), pa.array(sets, pa.binary())], ["k1", "k2", "grams"])
 
+    # Only texts that pass the filter are read as sets; the join by words decides.
+    passing = id_filter(wanted.select("first_id"), options.filter_bits)
     texts = texts_of(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    first = wanted.select(F.col("first_id").alias("key")).distinct()
-    found = texts.join(first, texts["doc_id"].eqNullSafe(first["key"]), "left_semi").mapInArrow(
-        collect, "k1 long, k2 long, grams binary")
+    found = texts.mapInArrow(collect, "k1 long, k2 long, grams binary")
     return found.join(wanted, ["k1", "k2"]).groupBy("unit", "label").agg(F.any_value("grams").alias("grams"))
 
 
@@ -303,7 +304,8 @@ def keep_first(docs: DataFrame, options: JaccardOptions = JaccardOptions()) -> D
         F.count("*").alias("n")).where("doc_id is not null"), "kept-ids")
     once = rows.where("n = 1").select(F.col("doc_id").alias("kept"))
     keys = docs["doc_id"].cast("long")
-    kept = docs.join(once, keys == once["kept"], "left_semi")
+    # Merged at every size, so that the plan and its shuffles grow evenly.
+    kept = docs.join(once.hint("merge"), keys == once["kept"], "left_semi")
     # Rows whose id is missing or comes up again among the kept ones are told apart by their words.
     shared = rows.where("n > 1").select(F.col("doc_id").alias("kept"))
     if shared.isEmpty() and sketched.where("doc_id is null").isEmpty():

@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from groundsieve.llm.common import sliced, texts_of
-from groundsieve.llm.hashing import gram_hashes, mixed, word_hashes
+from groundsieve.llm.common import mixed, sliced, texts_of
+from groundsieve.llm.hashing import gram_hashes, word_hashes
 
 SKIPS = ((), (1,), (2,), (3,))  # words, neighbours, one word between, two between
 
