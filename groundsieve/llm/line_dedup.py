@@ -190,32 +190,33 @@ def repeated_lines(docs: DataFrame, options: LineOptions = LineOptions()) -> Dat
 
 
 def with_kept_text(docs: DataFrame, options: LineOptions = LineOptions()) -> DataFrame:
-    """The documents with their columns, ``text`` without repeated lines, and
-    ``_dropped``: the lines that left, null if none did."""
+    """``row``: each document as it was; ``kept``: its text without repeated lines;
+    ``dropped``: the lines that left, null if none did."""
     dropped = stage(repeated_lines(docs, options), "dropped-lines").select(
-        F.col("doc.id").alias("_id"), F.col("doc.words").alias("_words"), F.col("dropped").alias("_dropped"))
-    key = document_key(docs)
+        F.col("doc.id").alias("id"), F.col("doc.words").alias("words"), "dropped")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), document_key(docs).alias("doc"))
     # Merged at every size, so that the plan and its shuffles grow evenly.
-    joined = docs.join(dropped.hint("merge"), key["id"].eqNullSafe(dropped["_id"]) & (key["words"] == dropped["_words"]), "left")
-    numbers = F.transform("_dropped", lambda d: d["line"])
-    kept = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda l, n: ~F.array_contains(numbers, n)), "\n")
-    text = F.when(F.col("_dropped").isNull(), docs["text"]).otherwise(kept)
-    return joined.select(*[(text if c == "text" else docs[c]).alias(c) for c in docs.columns], "_dropped")
+    joined = rows.join(dropped.hint("merge"), F.col("doc.id").eqNullSafe(F.col("id")) & (
+        F.col("doc.words") == F.col("words")), "left")
+    numbers = F.transform("dropped", lambda d: d["line"])
+    kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda l, n: ~F.array_contains(numbers, n)), "\n")
+    return joined.select("row", "dropped", F.when(
+        F.col("dropped").isNull(), F.col("row.text")).otherwise(kept).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, options: LineOptions = LineOptions()) -> DataFrame:
     """The documents without the lines that an earlier line repeats."""
-    return with_kept_text(docs, options).drop("_dropped")
+    return with_kept_text(docs, options).select(
+        *[F.col("kept" if c == "text" else f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, options: LineOptions = LineOptions()) -> DataFrame:
     """doc_id, n_lines (that are not blank), n_dropped, n_near (dropped lines with
     near ones in their class) and the kept text of every document."""
-    rows = docs.select("doc_id", "text", F.size(F.filter(
-        F.split("text", "\n"), lambda l: F.btrim(l, F.lit(SPACE)) != "")).alias("n_lines"))
-    size = F.coalesce(F.size("_dropped"), F.lit(0))
-    near = F.size(F.filter("_dropped", lambda d: d["near"]))
-    return with_kept_text(rows, options).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.greatest("n_lines", F.lit(0)).alias("n_lines"),
-        F.when(F.col("_dropped").isNull(), 0).otherwise(size).alias("n_dropped"),
-        F.when(F.col("_dropped").isNull(), 0).otherwise(near).alias("n_near"), "text")
+    lines = F.filter(F.split("row.text", "\n"), lambda l: F.btrim(l, F.lit(SPACE)) != "")
+    near = F.filter("dropped", lambda d: d["near"])
+    return with_kept_text(docs.select("doc_id", "text"), options).select(
+        F.col("row.doc_id").cast("long").alias("doc_id"), *[
+            F.when(values.isNull(), 0).otherwise(F.size(values)).alias(name)
+            for name, values in (("n_lines", lines), ("n_dropped", F.col("dropped")), ("n_near", near))],
+        F.col("kept").alias("text"))
