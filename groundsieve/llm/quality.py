@@ -1,10 +1,10 @@
 """Quality rules as weak supervision, in built-in functions only.
 
 Every rule looks at a few measures of a text and votes for a good text (1), for
-a bad one (-1) or abstains (0). How often each rule casts each vote on good and
-on bad texts is not set by hand: expectation maximisation estimates it, with the
-share of good texts, from the votes of all documents. A document's
-quality is then the posterior probability that it is good given its votes.
+a bad one (-1) or abstains (0). How often each rule errs on good texts and finds
+each kind of bad ones is not set by hand: expectation maximisation estimates it,
+with the share of each kind, from the votes of all documents. A document's quality
+is then the posterior probability that it is good given its votes.
 
 All passes over texts stay in the JVM. Documents with the same votes are alike
 to the model, so it is fitted on a table of vote patterns with their counts: at
@@ -47,7 +47,7 @@ class EmOptions:
     tolerance: float = 1e-9
     smoothing: float = 0.5     # added to each count of votes
     suspicion: float = 0.9     # first guess that a text with a vote against it is bad
-    false_alarms: float = 0.005  # at most this share of good texts get a vote against them from a rule
+    false_alarms: float = 0.001  # at most this share of good texts get a vote against them from a rule
     threshold: float = 0.5     # posterior from which a text is kept
 
 
@@ -139,43 +139,47 @@ def votes_of(pattern: int, rules: int) -> list[int]:
 def fit_patterns(counts: dict[int, int], rules: int, options: EmOptions = EmOptions()) -> dict[int, float]:
     """The posterior probability of a good text for each vote pattern.
 
-    Expectation maximisation of a two-class model in which each rule casts each
-    of its three votes with a probability of its own per class, independently of
-    the other rules. Rules speak against a text only in the extreme, so few good
-    texts may get such a vote; without that bound, a rule whose finds no other
-    rule shares would pass for noise. It starts from a suspicion of every text
-    with a vote against it.
+    Expectation maximisation of a latent class model: one class of good texts and
+    one kind of bad text for each rule, since texts are bad in different ways and
+    a rule is blind to most of them. In each class a rule's vote is against the
+    text with a probability of its own, independently of the other rules; that a
+    rule abstains says nothing. Rules speak against a text only in the extreme, so
+    few good texts may get such a vote. It starts from a suspicion of every text with a vote against it.
     """
     votes = {p: votes_of(p, rules) for p in counts}
-    good = {p: 1 - options.suspicion if -1 in v else options.suspicion for p, v in votes.items()}
+    parts = {}  # of each pattern in the classes: good first, then the kinds
+    for p, v in votes.items():
+        against = [r for r in range(rules) if v[r] == -1]
+        good = 1 - options.suspicion if against else options.suspicion
+        kinds = against or range(rules)
+        parts[p] = [good] + [(1 - good) / len(kinds) if r in kinds else 0.0 for r in range(rules)]
     before = -math.inf
     for _ in range(options.steps):
-        tables, share = [], [0.0, 0.0]
-        for side in (0, 1):
-            weight = {p: n * (good[p] if side else 1 - good[p]) for p, n in counts.items()}
-            share[side] = sum(weight.values()) + options.smoothing
-            table = [[options.smoothing] * 3 for _ in range(rules)]
-            for p, w in weight.items():
+        tables, share = [], []
+        for c in range(rules + 1):
+            against, cast, mass = [options.smoothing] * rules, [2 * options.smoothing] * rules, options.smoothing
+            for p, n in counts.items():
+                weight = n * parts[p][c]
+                mass += weight
                 for r, v in enumerate(votes[p]):
-                    table[r][v + 1] += w
-            tables.append([[x / sum(row) for x in row] for row in table])
-        for row in tables[1]:
-            over = row[0] - options.false_alarms
-            if over > 0:  # what the class of good texts may not explain
-                rest = row[1] + row[2]
-                row[:] = [options.false_alarms, *(x + over * x / rest for x in row[1:])]
+                    against[r] += weight * (v == -1)
+                    cast[r] += weight * (v != 0)
+            share.append(mass)
+            most = options.false_alarms if c == 0 else 1.0  # what the class of good texts may explain
+            tables.append([min(a / b, most) for a, b in zip(against, cast)])
         total, likelihood = sum(share), 0.0
         for p, n in counts.items():
-            logs = [math.log(share[s] / total) + sum(
-                math.log(tables[s][r][v + 1]) for r, v in enumerate(votes[p])) for s in (0, 1)]
+            logs = [math.log(share[c] / total) + sum(
+                math.log(tables[c][r] if v < 0 else 1 - tables[c][r])
+                for r, v in enumerate(votes[p]) if v) for c in range(rules + 1)]
             top = max(logs)
             mass = top + math.log(sum(math.exp(x - top) for x in logs))
-            good[p] = math.exp(logs[1] - mass)
+            parts[p] = [math.exp(x - mass) for x in logs]
             likelihood += n * mass
         if likelihood - before <= options.tolerance * abs(likelihood):
             break
         before = likelihood
-    return good
+    return {p: x[0] for p, x in parts.items()}
 
 
 def pattern_posteriors(voted: DataFrame, rules: int, options: EmOptions = EmOptions()) -> DataFrame:
