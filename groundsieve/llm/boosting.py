@@ -13,7 +13,7 @@ class BoostingOptions:
     depth: int = 4
     rate: float = 0.25
     bins: int = 32
-    least_weight: float = 5.0
+    least_weight: float = 0.2
     l2: float = 1.0
 
 

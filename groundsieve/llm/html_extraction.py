@@ -81,17 +81,19 @@ def _moved(page: Page, label: np.ndarray, rng: random.Random) -> Page:
         out.hints.append(hint)
         return len(out.tags) - 1
 
-    if outer and rng.random() < 0.5:  # a copy of a part of the surroundings
+    if outer and rng.random() < 0.3:  # a copy of a part of the surroundings
         top, copies = rng.choice(outer), {}
         for k in range(top, len(page.tags)):
             if k == top or page.parents[k] in copies:
                 copies[k] = add(page.tags[k], copies.get(page.parents[k], home), page.hints[k])
         extra = [(copies[b], run + r, t, link) for b, r, t, link in page.texts if b in copies]
     elif prose:  # readers' prose, adverts or notices under a telling name
-        box = add(rng.choice(["div", "section", "aside", "form"]), home, (0, 1))
+        tag = rng.choice(["div", "section", "aside", "form"])
+        box = add(tag, home, (0, 0 if tag in TAGS_AGAINST and rng.random() < 0.5 else 1))
         for k in range(rng.randint(1, 4)):
-            block = add(rng.choice(["p", "div", "li"]), box, (0, 0))
-            extra.append((block, run + k, rng.choice(prose)[2], False))
+            block = add(rng.choice(["p", "div", "li"]), box, (0, 0)) if rng.random() < 0.7 else box
+            text = rng.choice(prose)[2]
+            extra.append((block, run + k, text if rng.random() < 0.5 else text[: rng.randint(1, 40)], rng.random() < 0.2))
     out.texts += extra
     return out
 
@@ -104,7 +106,7 @@ def training_rows(pages: Iterator[str], seed: int = 1) -> tuple[np.ndarray, np.n
         if label is None:
             continue
         rng = random.Random(seed * 1_000_003 + n)
-        if rng.random() < 0.5:
+        for _ in range(rng.choice([0, 1, 2])):
             page = _moved(page, label, rng)
             label = weak_labels(page)
         row = features(page)

@@ -9,8 +9,8 @@ of equal payloads are found from digests alone.
 Reader: every record is checked (gzip checksum, version line, header, length,
 end of the record, payload digest). After a failed check the reader searches on
 from the next byte for a gzip member that begins with a version line, or for a
-version line at the start of a line, and goes on from there; the bytes between
-are reported as a gap with the reason. Compressed and plain records may be mixed.
+version line (anywhere, since damage may have taken the line break before it),
+and goes on from there; the bytes between are reported as a gap with the reason. Compressed and plain records may be mixed.
 A file is read in chunks; memory holds one record.
 
 Defined results: a null payload is empty; a page without an id never is the one
@@ -40,7 +40,7 @@ _GZIP = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1."
 _CHUNK = 1 << 20
 _HEADER_LIMIT = 1 << 16
-_START = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/1\.\d\r\n")
+_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.\d\r\n")
 _RECORD = ("path string, at long, size long, reason string, page_id long, record_type string, "
            "target_uri string, payload_digest string, payload_bytes long, refers_to long")
 
@@ -232,11 +232,9 @@ def _plain(source: _Window, at: int, limit: int) -> tuple[bytes, int]:
 def _next_start(source: _Window, at: int) -> int:
     """The next place from ``at`` on where a record may start; the file's size if none."""
     while at < source.size:
-        # One byte before, for the line break; an overlap, for what a chunk's end cuts.
-        before = max(at - 1, 0)
-        chunk = source.get(before, _CHUNK)
-        for m in _START.finditer(chunk, at - before):
-            place = before + m.start()
+        chunk = source.get(at, _CHUNK)
+        for m in _START.finditer(chunk):
+            place = at + m.start()
             if m[0] != _GZIP:
                 return place
             try:
@@ -244,9 +242,9 @@ def _next_start(source: _Window, at: int) -> int:
                     return place
             except zlib.error:
                 pass
-        if before + len(chunk) >= source.size:
+        if at + len(chunk) >= source.size:
             return source.size
-        at = before + len(chunk) - 16
+        at += len(chunk) - 16  # an overlap, for what a chunk's end cuts
     return source.size
 
 
