@@ -7,7 +7,7 @@ from types import MappingProxyType
 
 # The stop words of the lexical tokeniser.
 STOP_WORDS = (
-    "a", "about", "according", "an", "and", "anything", "are", "associated", "be", "by",
+    "a", "about", "an", "and", "are", "according", "anything", "associated", "be", "by",
     "can", "concept", "describe", "does", "given", "how", "is", "say", "should", "text",
     "that", "the", "their", "there", "these", "this", "to", "together", "what", "which",
     "with",
@@ -15,15 +15,15 @@ STOP_WORDS = (
 
 # The default query expansions.
 DEFAULT_EXPANSIONS = MappingProxyType({
+    "fasting": ("fast", "abstain", "abstinence", "ramadan"),
     "abstain": ("fast", "fasting", "ramadan"),
     "charity": ("alms", "giving", "poor", "zakat"),
-    "eat": ("eating", "food", "lawful", "prohibited"),
-    "fasting": ("fast", "abstain", "abstinence", "ramadan"),
     "mercy": ("merciful", "compassion", "forgiveness", "forgiver"),
-    "moses": ("musa", "pharaoh", "israel"),
-    "parents": ("parent", "mother", "father"),
-    "patience": ("patient", "steadfast", "perseverance"),
     "prayer": ("pray", "prayers", "worship"),
+    "patience": ("patient", "steadfast", "perseverance"),
+    "parents": ("parent", "mother", "father"),
+    "moses": ("musa", "pharaoh", "israel"),
+    "eat": ("eating", "food", "lawful", "prohibited"),
     "restrictions": ("prohibited", "forbidden", "lawful", "food"),
 })
 

@@ -13,7 +13,10 @@ _CELLS = 4_000_000  # scores held at once: 32 MB
 
 
 class RunningBest:
-    """The k best passages per query over the blocks seen so far; ties go to the smaller id."""
+    """The k best passages per query over the blocks seen so far; ties go to the smaller id.
+
+    A score that is not finite makes no hit: one broken passage must not hide the rest of its block.
+    """
 
     def __init__(self, query_ids: list, k: int, digits: int, positive: bool):
         self.query_ids, self.k, self.digits, self.positive = query_ids, k, digits, positive
@@ -22,10 +25,10 @@ class RunningBest:
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
         """Scores come as one row per query and one column per passage."""
-        scores = np.round(scores, self.digits) + 0.0
+        scores = np.where(np.isfinite(scores), np.round(scores, self.digits) + 0.0, -np.inf)
         for q in np.flatnonzero(scores.max(axis=1) >= self.bar):
             fresh = scores[q]
-            near = fresh >= self.bar[q]
+            near = (fresh >= self.bar[q]) & (fresh > -np.inf)
             if self.positive:
                 near &= fresh > 0
             old, old_ids = self.held[q]

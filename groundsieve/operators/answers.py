@@ -232,17 +232,18 @@ def citation_rows(drafts: DataFrame, bundles: DataFrame) -> DataFrame:
 
 def final_responses(drafts: DataFrame, reports: DataFrame, bundles: DataFrame) -> DataFrame:
     """What the asker gets, by report status: the answer, the answer with
-    warnings, or a blank answer with an error."""
+    warnings, or a blank answer with an error. A draft that has no report (there
+    was no evidence for it) or no bundle fails with the draft's own error."""
     rows = (
         drafts.select("query_id", "final_answer", "supporting_citations", "objections_raised",
-                      "confidence_notes")
+                      "confidence_notes", F.col("error").alias("draft_error"))
         .join(reports.select("query_id", "status", "unsupported_claims", "citation_issues",
-                             "notes"), "query_id")
-        .join(bundles.select("query_id", "anchors"), "query_id")
+                             "notes"), "query_id", "left")
+        .join(bundles.select("query_id", "anchors"), "query_id", "left")
     )
-    good = F.col("status").isin("pass", "pass_with_warnings")
-    n_open = F.size("unsupported_claims")
-    n_issues = F.size("citation_issues")
+    good = F.coalesce(F.col("status").isin("pass", "pass_with_warnings"), F.lit(False))
+    n_open = F.coalesce(F.size("unsupported_claims"), F.lit(0))
+    n_issues = F.coalesce(F.size("citation_issues"), F.lit(0))
     notes = F.coalesce("notes", F.lit(""))
     debug = F.concat(F.lit("/queries/"), "query_id", F.lit("/retrieval-debug"))
 
@@ -253,7 +254,8 @@ def final_responses(drafts: DataFrame, reports: DataFrame, bundles: DataFrame) -
             anchor["section_title"].alias("section_title"),
             F.coalesce(anchor["text"], F.lit("")).alias("passage_text"))
 
-    citations = F.transform("supporting_citations", cited)
+    none_cited = F.array().cast(drafts.schema["supporting_citations"].dataType)
+    citations = F.transform(F.coalesce("supporting_citations", none_cited), cited)
     objections = F.transform("objections_raised", lambda o: o["issue"])
     soft = F.array_compact(F.array(
         F.when(n_open > 0, F.concat(n_open.cast("string"),
@@ -274,10 +276,10 @@ def final_responses(drafts: DataFrame, reports: DataFrame, bundles: DataFrame) -
         F.when(good, objections).otherwise(none).alias("objections"),
         F.when(good, F.col("confidence_notes")).otherwise("").alias("confidence_notes"),
         F.when(good, F.col("status")).otherwise("fail").alias("verification_status"),
-        F.when(F.col("status") == "pass", none).when(good, soft).otherwise(hard)
-        .alias("verification_warnings"),
+        F.when(F.col("status") == "pass", none).when(good, soft)
+        .when(F.col("status").isNull(), none).otherwise(hard).alias("verification_warnings"),
         debug.alias("debug_url"),
-        F.when(~good, F.concat(
+        F.when(F.col("status").isNull(), F.coalesce("draft_error", F.lit(NO_EVIDENCE))).when(~good, F.concat(
             F.lit("Verification failed. The answer contained "), n_open.cast("string"),
             F.lit(" unsupported claim(s). See "), debug, F.lit(" for details."))).alias("error"),
     )

@@ -16,6 +16,7 @@ cloudpickle.register_pickle_by_value(nearest)
 
 # Queries that go to every task at once; more are searched block by block.
 LOCAL_QUERIES = 4096
+SALTS = 32
 LOCAL_DETAILS = 500_000
 CELL_PASSAGES = 50_000
 _OUT = "query_id string, passage_id string, score double"
@@ -78,5 +79,8 @@ def block_search(
             "block", numbers(blocks))
         partial = asked.groupBy("block", "cell").cogroup(
             held.groupBy("block", "cell")).applyInArrow(cell, _OUT)
-    return best(partial.withColumnRenamed("score", score), rank, k,
-                F.desc(score), F.asc("passage_id"))
+    order = F.desc(score), F.asc("passage_id")
+    # Cut by query and salt first: a query's hits from all tasks never meet in one task.
+    salted = best(partial.withColumnRenamed("score", score).withColumn(
+        "salt", F.pmod(F.xxhash64("passage_id"), F.lit(SALTS))), rank, k, *order, by=("query_id", "salt"))
+    return best(salted.drop("salt", rank), rank, k, *order)

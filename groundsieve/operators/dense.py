@@ -28,6 +28,22 @@ def embed_questions(queries: DataFrame, dims: int = HASH_DIMS) -> DataFrame:
     return queries.select("query_id", hash_codes(F.col("normalized_question"), dims).alias("vector"))
 
 
+def checked_length(rows: DataFrame, key: str, dims: int) -> DataFrame:
+    """The rows as they are; reading one whose vector has not ``dims`` numbers fails."""
+    message = F.concat(F.lit("vector of "), F.col(key).cast("string"), F.lit(" has "),
+                       F.size("vector").cast("string"), F.lit(f" numbers, not {dims}"))
+    return rows.withColumn("vector", F.when(F.size("vector") == dims, F.col("vector")).otherwise(
+        F.raise_error(message)))
+
+
+def broken_vectors(vectors: DataFrame, key: str = "passage_id") -> DataFrame:
+    """The keys of plain vectors that can be no hits, and why."""
+    bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x.cast("double")) | (
+        F.abs(x.cast("double")) == float("inf")))
+    reason = F.when(F.col("vector").isNull(), "missing").when(bad, "not finite")
+    return vectors.select(key, reason.alias("reason")).where("reason is not null")
+
+
 def dense_search(
     vectors: DataFrame, queries: DataFrame, k: int, dims: int = HASH_DIMS, hashed: bool = True,
     local_queries: int = LOCAL_QUERIES, cell_passages: int = CELL_PASSAGES,
@@ -37,9 +53,14 @@ def dense_search(
 
     ``vectors`` holds passage_id and vector, ``queries`` query_id and vector;
     both are hashed tokens, or plain numbers of ``dims`` dimensions with
-    ``hashed=False``.
+    ``hashed=False``. Rows without a vector and vectors with a NaN, an infinite or
+    a missing number are no hits (``broken_vectors`` lists them); a plain vector
+    of another length is an error that names its row.
     """
-    queries = queries.select("query_id", "vector")
+    queries = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
+    vectors = vectors.where(F.col("vector").isNotNull())
+    if not hashed:
+        queries, vectors = checked_length(queries, "query_id", dims), checked_length(vectors, "passage_id", dims)
     return block_search(
         vectors.select("passage_id", "vector"), queries, None,
         lambda table, names: CosineScan(table, k, SCORE_DIGITS, dims, hashed),

@@ -132,8 +132,10 @@ def evaluate_bundles(items: DataFrame, bundles: DataFrame, compat: bool = False)
 
 def grounding_metrics(drafts: DataFrame, reports: DataFrame, bundles: DataFrame,
                       compat: bool = False) -> DataFrame:
-    """Per question: share of citations that are in the bundle, share of
-    supported claims (both 1 if there are none), open claims and status.
+    """Per draft: share of citations that are in the bundle, share of
+    supported claims (both 1 if there are none), open claims and status. A draft
+    without a report (there was no evidence for it) keeps its row; what a report
+    would tell is null there.
 
     Citations are counted as the model gave them; ``compat`` counts those left
     after cleaning, all of which are valid by then.
@@ -143,9 +145,9 @@ def grounding_metrics(drafts: DataFrame, reports: DataFrame, bundles: DataFrame,
         else F.col("raw_citations")
     )
     rows = drafts.withColumn("cited", cited).select("query_id", "cited").join(
-        reports.select("query_id", "status", "supported_claims", "unsupported_claims"), "query_id"
-    ).join(bundles.select("query_id", F.col("anchors.passage_id").alias("known")), "query_id")
-    valid = F.size(F.filter("cited", lambda i: F.array_contains("known", i)))
+        reports.select("query_id", "status", "supported_claims", "unsupported_claims"), "query_id", "left"
+    ).join(bundles.select("query_id", F.col("anchors.passage_id").alias("known")), "query_id", "left")
+    valid = F.size(F.filter("cited", lambda i: F.coalesce(F.array_contains("known", i), F.lit(False))))
     good, bad = F.size("supported_claims"), F.size("unsupported_claims")
     return rows.select(
         "query_id",

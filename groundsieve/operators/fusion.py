@@ -57,8 +57,8 @@ def fuse_scores(
 
 
 def rerank(
-    candidates: DataFrame, top_k, pair_scores: DataFrame | None = None, compat: bool = False,
-    enabled: Column | bool = True, by: tuple = _KEYS,
+    candidates: DataFrame, top_k, pair_scores: DataFrame | None = None,
+    compat: Column | bool = False, enabled: Column | bool = True, by: tuple = _KEYS,
 ) -> DataFrame:
     """Reorders the first ``top_k`` candidates by an outside score per (query, passage).
 
@@ -75,20 +75,15 @@ def rerank(
     scored = top.join(
         pair_scores.select("query_id", "passage_id", F.col("score").cast("double").alias("_pair")),
         ["query_id", "passage_id"], "left")
-    outside = _setting(enabled)
-    if compat:
-        broken = F.max(F.isnan(F.coalesce("_pair", F.lit(0.0)))).over(W.partitionBy(*by))
-        key = F.when(outside & ~broken, F.coalesce("_pair", F.lit(0.0))).otherwise(F.lit(0.0))
-        scored = scored.withColumn("_key", key).withColumn(
-            "rerank_score", F.when(outside, F.col("_pair")).otherwise(F.col("hybrid_score")))
-        order = (F.desc("_key"), F.asc("rank_hybrid"))
-    else:
-        usable = outside & F.col("_pair").isNotNull() & ~F.isnan("_pair")
-        scored = scored.withColumn(
-            "rerank_score",
-            F.when(usable, F.round("_pair", SCORE_DIGITS)).otherwise(F.col("hybrid_score")))
-        order = (F.when(outside, F.col("rerank_score")).otherwise(0.0).desc(), F.asc("rank_hybrid"))
-    return ranked(scored, "rank_rerank", *order, by=by).drop("_pair", "_key")
+    outside, quirk = _setting(enabled), _setting(compat)
+    broken = F.max(F.isnan(F.coalesce("_pair", F.lit(0.0)))).over(W.partitionBy(*by))
+    usable = outside & F.col("_pair").isNotNull() & ~F.isnan("_pair")
+    own = F.when(usable, F.round("_pair", SCORE_DIGITS)).otherwise(F.col("hybrid_score"))
+    scored = scored.withColumn("_key", F.when(
+        quirk, F.when(outside & ~broken, F.coalesce("_pair", F.lit(0.0))).otherwise(0.0),
+    ).otherwise(F.when(outside, own).otherwise(0.0))).withColumn(
+        "rerank_score", F.when(quirk & outside, F.col("_pair")).otherwise(own))
+    return ranked(scored, "rank_rerank", F.desc("_key"), F.asc("rank_hybrid"), by=by).drop("_pair", "_key")
 
 
 def score_pairs(candidates: DataFrame, questions: DataFrame, passages: DataFrame, scorer) -> DataFrame:

@@ -9,9 +9,21 @@ from groundsieve.functions.outputs import fits, misfits, repair_json, spark_type
 MAX_ATTEMPTS = 3
 
 
+def is_whole_json(text: Column) -> Column:
+    """True if the text is one JSON value: the parser stops behind the first
+    value, so what follows it shows only where the text stands inside another one."""
+    inside = (F.concat(F.lit("["), text, F.lit("]")), F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return (F.try_parse_json(text).isNotNull() & F.try_parse_json(inside[0]).isNotNull()
+            & F.try_parse_json(inside[1]).isNotNull())
+
+
 def check_outputs(attempts: DataFrame, shape: dict) -> DataFrame:
     """Parses and validates attempts(query_id, attempt, raw_output[, transport_error]).
 
+    An output parses if it is one JSON value and nothing else; text behind the
+    value goes to the repair like text before it. Repeated keys and the bare words NaN
+    and Infinity are no JSON here and end as json_parse.
+
     Adds parsed (null unless valid), failure_stage (llm_error, json_parse,
     schema_validation or null), failure_reason, repair_attempted and
     repair_succeeded. Only outputs that do not parse are sent to the repair.
@@ -19,7 +31,7 @@ def check_outputs(attempts: DataFrame, shape: dict) -> DataFrame:
     if "transport_error" not in attempts.columns:
         attempts = attempts.withColumn("transport_error", F.lit(None).cast("string"))
     lost = F.col("transport_error").isNotNull()
-    parses = F.try_parse_json("raw_output").isNotNull()
+    parses = is_whole_json(F.col("raw_output"))
     checked = (
         attempts.withColumn("repair_attempted", ~lost & ~parses)
         .withColumn("_repaired", repair_json(F.when(F.col("repair_attempted"), F.col("raw_output"))))

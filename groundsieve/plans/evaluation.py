@@ -64,7 +64,9 @@ def model_run(
         results = results.join(checks.select(
             "query_id", step.alias("verifier"), F.col("status").alias("verification_status"),
             F.col("notes").alias("verification_notes")), "query_id", "left")
-        results = results.withColumn("error", F.col("draft_error")).drop("draft_error")
+        bundled = found.bundles.select("query_id", F.lit(True).alias("bundled"))
+        results = results.join(bundled, "query_id", "left").withColumn("error", F.coalesce(
+            "draft_error", F.when(F.col("bundled").isNull(), "no evidence bundle"))).drop("draft_error", "bundled")
     return (results, summarize_model_run(results, ("label",), generation),
             failure_histogram(results, ("label",)))
 
@@ -84,7 +86,8 @@ def sweep(
             F.lit(label).alias("label"), F.lit(c.hybrid_alpha).alias("alpha"),
             F.lit(c.hybrid_beta).alias("beta"), F.lit(c.overlap_boost_enabled).alias("boost"),
             F.lit(c.overlap_boost_value).alias("boost_value"),
-            F.lit(c.reranker_enabled).alias("reranker"), F.lit(c.reranker_top_k).alias("top_k"))
+            F.lit(c.reranker_enabled).alias("reranker"), F.lit(c.reranker_top_k).alias("top_k"),
+            F.lit(c.compat).alias("compat"))
         for label, c in settings.items()
     ])
     scaled = normalize_scores(normalize_scores(candidates, "lexical"), "dense")
@@ -92,13 +95,19 @@ def sweep(
     by = ("label", "query_id")
     fused = fuse_scores(rows, F.col("alpha"), F.col("beta"), F.col("boost"),
                         F.col("boost_value"), by=by)
-    compat = any(c.compat for c in settings.values())
-    return fused, rerank(fused, F.col("top_k"), pair_scores, compat, F.col("reranker"), by=by)
+    return fused, rerank(fused, F.col("top_k"), pair_scores, F.col("compat"), F.col("reranker"), by=by)
 
 
-def sweep_results(items: DataFrame, fused: DataFrame, reranked: DataFrame) -> DataFrame:
-    """Hits and failure types of every item under every setting."""
+def sweep_results(items: DataFrame, fused: DataFrame, reranked: DataFrame,
+                  labels: tuple = ()) -> DataFrame:
+    """Hits and failure types of every item under every setting. An item
+    without candidates has nothing found. ``labels`` names the settings; without
+    it they are those that found anything."""
     by = ("label", "query_id")
     ids = stage_ids(fused, reranked, by=by)
-    keyed = items.join(ids.select("query_id", "label"), "query_id")
+    if labels:
+        keyed = items.withColumn("label", F.explode(F.array(*map(F.lit, labels))))
+    else:
+        names = ids.agg(F.array_sort(F.collect_set("label")).alias("labels"))  # one row, a name for each setting
+        keyed = items.join(F.broadcast(names)).withColumn("label", F.explode("labels")).drop("labels")
     return classify_failures(keyed, ids, by=by)

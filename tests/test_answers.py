@@ -291,7 +291,8 @@ def test_failed_answers_get_a_second_round(spark, bundles):
     twice = answer(bundles, first, second_answers=second)
     got = {r["query_id"]: (r["verification_status"], r["final_answer"])
            for r in twice.responses.collect()}
-    assert got == {"q1": ("pass_with_warnings", "Better."), "q2": ("pass_with_warnings", "Patience wins.")}
+    assert got == {"q1": ("pass_with_warnings", "Better."), "q2": ("pass_with_warnings", "Patience wins."),
+                   "q3": ("fail", "")}  # without evidence
     assert {r["query_id"]: r["round"] for r in twice.reports.collect()} == {"q1": 2, "q2": 1}
     still = answer(bundles, first, second_answers=first)
     assert one(still.responses)["verification_status"] == "fail" and one(still.drafts)["round"] == 2

@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from groundsieve.config import RetrievalConfig
-from groundsieve.functions.text import lexical_tokens, normalize_text
+from groundsieve.functions.text import blank_tokens, lexical_tokens, normalize_text
 from groundsieve.operators.evaluation import gather_ids, locate_quotes
 from groundsieve.plans.ingest import CorpusIndex, build_index, ingest
 from groundsieve.plans.retrieval import Candidates, Retrieval, assemble, search
@@ -56,10 +56,10 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quotes(asked: DataFrame) -> DataFrame:
-    """The longest line of every question, the first of equals."""
-    lines = F.transform(F.split(normalize_text(F.col("question")), "\n"),
-                        lambda l, n: F.struct(F.length(l).alias("n"), (-n).alias("at"), l.alias("l")))
-    return asked.select("query_id", F.array_max(lines)["l"].alias("quote"))
+    """Every line of every question; one or two words are no quote."""
+    lines = F.array_distinct(F.split(normalize_text(F.col("question")), "\n"))
+    return asked.select("query_id", F.explode(lines).alias("quote")).where(
+        F.size(blank_tokens(F.col("quote"))) >= 3)
 
 
 def prepared(spark: SparkSession, folder: str, compat: bool = False) -> Prepared:

@@ -227,9 +227,8 @@ CTES: dict[str, str] = {
     # Gold.
     "qlines": f"SELECT item_id::VARCHAR AS query_id, unnest(string_split({norm('text')}, {NL})) AS l, "
               f"generate_subscripts(string_split({norm('text')}, {NL}), 1) AS nth FROM benchmark",
-    "qquote": "SELECT query_id, l AS quote FROM (SELECT *, row_number() OVER (PARTITION BY query_id "
-              "ORDER BY length(l) DESC, nth) AS k FROM qlines) WHERE k = 1",
-    "goldp": "SELECT query_id, passage_id FROM qquote JOIN pas ON contains(pas.text, quote)",
+    "qquote": f"SELECT DISTINCT query_id, l AS quote FROM qlines WHERE len({word_list('l')}) >= 3",
+    "goldp": "SELECT DISTINCT query_id, passage_id FROM qquote JOIN pas ON contains(pas.text, quote)",
     "gold": "SELECT query_id, coalesce(ids, []) AS g FROM qs LEFT JOIN (SELECT query_id, "
             "list(passage_id ORDER BY passage_id) AS ids FROM goldp GROUP BY query_id) "
             "USING (query_id)",
@@ -354,11 +353,11 @@ CTES |= {
                 f"max(i) OVER (PARTITION BY doc_id) AS hi FROM pas WHERE len({word_list('text')}) >= 10",
     # Model outputs made of conversation turns.
     "turns": "SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS query_id, a AS attempt, text, "
-             "(conv_id + turn * 2 + a * 3) % 9 AS kind FROM conversations, "
+             "(conv_id + turn * 2 + a * 3) % 10 AS kind FROM conversations, "
              "(SELECT unnest([1, 2, 3]) AS a)",
     "checked": "SELECT query_id, attempt, text, kind, CASE WHEN kind = 7 THEN 'llm_error' WHEN kind = "
                "3 THEN 'json_parse' WHEN kind IN (4, 5, 6, 8) THEN 'schema_validation' END AS stage, "
-               "kind IN (1, 2, 3) AS tried, kind IN (1, 2) AS mended FROM turns",
+               "kind IN (1, 2, 3, 9) AS tried, kind IN (1, 2, 9) AS mended FROM turns",
     "last_try": "SELECT query_id, coalesce(min(CASE WHEN stage IS NULL OR stage = 'llm_error' THEN "
                 "attempt END), 3) AS n FROM checked GROUP BY query_id",
 }
@@ -419,6 +418,8 @@ _OBJECTION = ("This answer was assembled directly from the top retrieved passage
               "model did not return the required schema.")
 _NOTES = ("Fallback verification used deterministic passage/citation checks because the local model "
           "did not return the required schema.")
+# Messages of the answer checks.
+_NO_EVIDENCE = "Answer generator failed and no evidence was available for fallback"
 _ALTERED = "Citation quote was not found verbatim in the anchor passage."
 CTES |= {
     # supported and open claims, citations and issues of every draft
@@ -443,6 +444,20 @@ CTES |= {
 }
 
 
+def _dense_vectors(usable: str) -> str:
+    """The ten vectors that are usable and nearest to the mean vector of each label."""
+    return (f"WITH d AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, "
+            f"generate_subscripts(embedding, 1) AS dim FROM embeddings), c AS (SELECT label, dim, "
+            f"avg(x) AS x FROM d GROUP BY ALL), n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM d "
+            f"WHERE {usable} GROUP BY ALL), cn AS (SELECT label, sqrt(sum(x * x)) AS n FROM c GROUP BY "
+            f"ALL), s AS (SELECT c.label, d.vec_id, round(sum(c.x * d.x) / any_value(n.n * cn.n), 6) AS "
+            f"score FROM c JOIN d USING (dim) JOIN n ON n.vec_id = d.vec_id JOIN cn ON cn.label = "
+            f"c.label GROUP BY ALL) SELECT query_id, passage_id, score AS dense_score, "
+            f"(r - 1)::INTEGER AS rank_dense FROM (SELECT label::VARCHAR AS query_id, vec_id::VARCHAR "
+            f"AS passage_id, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, "
+            f"vec_id::VARCHAR) AS r FROM s) WHERE r <= 10")
+
+
 def oracles() -> dict[str, str]:
     r6 = lambda x: f"round({x}, 6)"
     section_cols = ("order_index::INTEGER AS order_index, s::INTEGER AS start_offset, "
@@ -529,17 +544,9 @@ def oracles() -> dict[str, str]:
                         "SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, "
                         "1) - 1 AS dim, sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * "
                         "v::DOUBLE))) AS n FROM embeddings)",
-        "dense_topk_vectors": "WITH d AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, "
-                              "generate_subscripts(embedding, 1) AS dim FROM embeddings), c AS (SELECT "
-                              "label, dim, avg(x) AS x FROM d GROUP BY ALL), n AS (SELECT vec_id, "
-                              "sqrt(sum(x * x)) AS n FROM d GROUP BY ALL), cn AS (SELECT label, "
-                              "sqrt(sum(x * x)) AS n FROM c GROUP BY ALL), s AS (SELECT c.label, "
-                              "d.vec_id, round(sum(c.x * d.x) / any_value(n.n * cn.n), 6) AS score FROM "
-                              "c JOIN d USING (dim) JOIN n ON n.vec_id = d.vec_id JOIN cn ON cn.label = "
-                              "c.label GROUP BY ALL) SELECT query_id, passage_id, score AS dense_score, "
-                              "(r - 1)::INTEGER AS rank_dense FROM (SELECT label::VARCHAR AS query_id, "
-                              "vec_id::VARCHAR AS passage_id, score, row_number() OVER (PARTITION BY "
-                              "label ORDER BY score DESC, vec_id::VARCHAR) AS r FROM s) WHERE r <= 10",
+        # Every seventh vector has a NaN, every eleventh is missing: neither is a hit.
+        "dense_topk_broken": _dense_vectors("vec_id % 7 <> 3 AND vec_id % 11 <> 5"),
+        "dense_topk_vectors": _dense_vectors("true"),
         "hybrid_fusion": f"SELECT {candidate.format(boost='0.0::DOUBLE')}, CASE WHEN both_found THEN "
                          f"'lexical+dense' WHEN ls IS NULL THEN 'dense' ELSE 'lexical' END AS "
                          f"source_methods FROM base",
@@ -648,6 +655,12 @@ def oracles() -> dict[str, str]:
                           f"/queries/' || query_id || '/retrieval-debug for details.' END AS error FROM "
                           f"verdict JOIN drafts USING (query_id) JOIN (SELECT query_id, count(*) AS nc, "
                           f"count(issue) AS ni FROM cited GROUP BY query_id) USING (query_id)",
+        "final_response_errors": "SELECT query_id, CASE WHEN lost THEN 'fail' ELSE 'pass_with_warnings' END AS "
+                                 "verification_status, CASE WHEN lost THEN 0 ELSE len(top) END::INTEGER AS "
+                                 "n_citations, CASE WHEN lost THEN 0 ELSE 1 END AS n_warnings, CASE WHEN "
+                                 f"lost THEN '{_NO_EVIDENCE}' END AS error FROM (SELECT *, "
+                                 "query_id::INTEGER % 4 = 1 AS lost FROM top2)",
+        "sweep_mixed_compat": "SELECT query_id, passage_id, true AS same_rank FROM rer",
         "grounding_metrics": "SELECT query_id, cvr::DOUBLE AS citation_validity_rate, round(csr, 6) AS "
                              "claim_support_rate, open::INTEGER AS unsupported_claim_count, status AS "
                              "verifier_status FROM grounded",

@@ -228,13 +228,28 @@ def q_l2_normalize(spark, folder):
 def q_dense_topk_vectors(spark, folder):
     """The vectors nearest to the mean vector of each label."""
     rows = table(spark, folder, "embeddings")
+    vectors = rows.select(F.col("vec_id").cast("string").alias("passage_id"),
+                          F.col("embedding").alias("vector"))
+    return dense_search(vectors, _centres(rows), 10, dims=64, hashed=False)
+
+
+def _centres(rows: DataFrame) -> DataFrame:
     parts = rows.select("label", F.posexplode("embedding").alias("dim", "x")).groupBy(
         "label", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    centres = parts.groupBy("label").agg(
+    return parts.groupBy("label").agg(
         F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("p")).select(
         F.col("label").cast("string").alias("query_id"), F.col("p.x").alias("vector"))
-    vectors = rows.select(F.col("vec_id").cast("string").alias("passage_id"),
-                          F.col("embedding").alias("vector"))
+
+
+def q_dense_topk_broken(spark, folder):
+    """The same search where some vectors hold a NaN or are missing."""
+    rows = table(spark, folder, "embeddings")
+    centres = _centres(rows)
+    broken = F.concat(F.slice("embedding", 1, 63), F.array(F.lit(float("nan")).cast("float")))
+    vectors = rows.select(
+        F.col("vec_id").cast("string").alias("passage_id"),
+        F.when(F.col("vec_id") % 11 == 5, F.lit(None)).when(F.col("vec_id") % 7 == 3, broken)
+        .otherwise(F.col("embedding")).alias("vector"))
     return dense_search(vectors, centres, 10, dims=64, hashed=False)
 
 
@@ -426,6 +441,24 @@ def q_final_response(spark, folder):
         F.array_join("verification_warnings", "|").alias("warnings"), "error")
 
 
+def _without_evidence(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The bundles with the anchors of every fourth question taken away, no model
+    answers, and what the answering plan makes of them."""
+    bundles = found(spark, folder, with_pairs=True).bundles
+    bundles = bundles.withColumn("anchors", F.when(
+        F.col("query_id").cast("int") % 4 == 1, F.slice("anchors", 1, 0)).otherwise(F.col("anchors")))
+    drafts = ans.answer_drafts(bundles)
+    return bundles, drafts, ans.verification_reports(drafts, bundles)
+
+
+def q_final_response_errors(spark, folder):
+    """Questions without evidence get their error instead of vanishing."""
+    bundles, drafts, reports = _without_evidence(spark, folder)
+    return ans.final_responses(drafts, reports, bundles).select(
+        "query_id", "verification_status", F.size("citations").cast("int").alias("n_citations"),
+        F.size("verification_warnings").cast("int").alias("n_warnings"), "error")
+
+
 def q_grounding_metrics(spark, folder):
     bundles, drafts, reports = _drafts(spark, folder)
     rows = ev.grounding_metrics(drafts, reports, bundles)
@@ -455,7 +488,7 @@ def q_model_run_summary(spark, folder):
 def q_sweep_summary(spark, folder):
     base, run = prepared(spark, folder), found(spark, folder)
     fused, reranked = sweep(_searches(spark, folder), SETTINGS, pair_scores(base))
-    rows = sweep_results(eval_items(base), fused, reranked)
+    rows = sweep_results(eval_items(base), fused, reranked, tuple(SETTINGS))
     kinds = F.col("failure_type")
     return rows.groupBy("label").agg(
         F.count("*").alias("n_questions"), F.count_if("hit_at_5").alias("n_hit_5"),
@@ -465,6 +498,18 @@ def q_sweep_summary(spark, folder):
         F.count_if("fusion_miss").alias("n_fusion_miss"))
 
 
+def q_sweep_mixed_compat(spark, folder):
+    """A setting that reproduces the rerank quirk beside one that does not: the
+    order of the other setting is what it is alone."""
+    base = prepared(spark, folder)
+    settings = {"fixed": RetrievalConfig(), "quirk": RetrievalConfig(compat=True)}
+    _, reranked = sweep(_searches(spark, folder), settings, pair_scores(base))
+    _, alone = sweep(_searches(spark, folder), {"fixed": settings["fixed"]}, pair_scores(base))
+    same = reranked.where("label = 'fixed'").join(
+        alone.select("query_id", "passage_id", F.col("rank_rerank").alias("rank_alone")), ["query_id", "passage_id"])
+    return same.select("query_id", "passage_id", (F.col("rank_rerank") == F.col("rank_alone")).alias("same_rank"))
+
+
 def _turn_outputs(spark, folder) -> DataFrame:
     """Every conversation turn as three model attempts, sound or broken by its number."""
     rows = spread(table(spark, folder, "conversations"), "conv_id", "turn")
@@ -473,7 +518,7 @@ def _turn_outputs(spark, folder) -> DataFrame:
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
         .alias("query_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("attempt"), "conv_id",
         "turn", "text", F.col("role").alias("passage_id"), F.substring("text", 1, 30).alias("quote"))
-    kind = (F.col("conv_id") + F.col("turn") * 2 + F.col("attempt") * 3) % 9
+    kind = (F.col("conv_id") + F.col("turn") * 2 + F.col("attempt") * 3) % 10
     answer = F.to_json(F.struct(
         F.col("text").alias("final_answer"),
         F.array().cast("array<struct<claim_id:string,statement:string,"
@@ -491,6 +536,7 @@ def _turn_outputs(spark, folder) -> DataFrame:
         .when(kind == 5, F.replace(answer, F.lit('"claims":[]'), F.lit('"claims":{}')))
         .when(kind == 6, F.replace(answer, F.lit('"confidence_notes"'), F.lit('"notes"')))
         .when(kind == 7, F.lit(None).cast("string"))
+        .when(kind == 9, F.concat(answer, F.lit(" Done.")))
         .otherwise(F.replace(answer, F.lit('"quote":"'), F.lit('"note":"')))
     )
     return tries.select("query_id", "attempt", raw.alias("raw_output"),
