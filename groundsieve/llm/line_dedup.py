@@ -8,8 +8,8 @@ looks up, for each length that the other may have, the substrings of its own
 that could be such a segment (places that no other choice of segment would
 find are enough). Keys are hashes of length, segment number and substring.
 
-1. Partial sums before the shuffle find the keys with several lines: only the
-   smallest and the largest line of a key move, however many share it.
+1. Partial sums before the shuffle find the keys with several lines: one number
+   for each key moves, however many lines share it.
 2. The lines of those keys alone are looked up again. Pairs must agree in length
    and in counts of letters, inside the join, before a banded bit-parallel edit
    distance decides; pairs that fail are never written down.
@@ -32,6 +32,8 @@ from groundsieve.llm.graph import components
 from groundsieve.llm.quality import SPACE
 from groundsieve.sources.staging import stage
 
+_FILTER_WORDS = 1 << 18
+_ID_BITS = 28  # of a line's hash that tell whether a key has several lines
 # Letters whose counts are compared before the edit distance; any disjoint groups will do.
 _LETTERS = ("a", "e", "i", "o", "n", "t", "rs", "dhl")
 
@@ -54,20 +56,24 @@ def segment_lookups(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def segment_keys(text: Column, length: Column, edits: int) -> Column:
-    """An array of (key, own) for one line."""
+def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """id, text, key and own of each lookup of lines(id, text)."""
+    parts = edits + 1
+    # For each length of the other line: the length, its segments' size, and how
+    # many of them (the last ones) are longer by one.
+    lengths = []
+    for shorter in range(parts):
+        other = F.length("text") - shorter
+        lengths += [other.alias(f"length{shorter}"), ((other - other % parts) / parts).cast("int").alias(f"base{shorter}"),
+                    (other % parts).alias(f"longer{shorter}")]
     keys = []
     for shorter, i, shift in segment_lookups(edits):
-        other = length - shorter
-        base, longer = F.floor(other / (edits + 1)).cast("int"), other % (edits + 1)
-        # The last segments are the longer ones.
-        short = edits + 1 - longer
-        begin = base * i + F.greatest(F.lit(i) - short, F.lit(0))
-        size = base + F.when(F.lit(i) >= short, 1).otherwise(0)
-        keys.append(F.struct(
-            F.xxhash64(other, F.lit(i), F.substring(text, begin + shift + 1, size)).alias("key"),
-            F.lit(int(shorter == 0 and shift == 0)).alias("own")))
-    return F.array(*keys)
+        length, base, longer = (F.col(f"{c}{shorter}") for c in ("length", "base", "longer"))
+        before = F.greatest(longer - (parts - i), F.lit(0))  # longer segments before this one
+        text = F.substring("text", base * i + before + (shift + 1), base + (longer >= parts - i).cast("int"))
+        keys += [F.xxhash64(length, F.lit(i), text), F.lit(int(shorter == 0 and shift == 0))]
+    return lines.select("id", "text", *lengths).select(
+        "id", "text", F.stack(F.lit(len(keys) // 2), *keys).alias("key", "own"))
 
 
 def _let(value: Column, use) -> Column:
@@ -139,16 +145,36 @@ def document_key(docs: DataFrame) -> Column:
     return F.struct(key.isNull().alias("none"), key.alias("id"), F.xxhash64(docs["text"]).alias("words"))
 
 
+def maybe_among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose ``key`` may be one of the keys, without a shuffle of the
+    rows: a bitmap of the keys' hashes goes to all tasks. It has ``_FILTER_WORDS``
+    rows at most however many keys there are; a full one only lets more rows through."""
+    word = lambda key: F.pmod(key, F.lit(_FILTER_WORDS)).cast("int")
+    bit = lambda key: F.shiftrightunsigned(key, 40).bitwiseAND(F.lit(63)).cast("int")
+    key = F.col("key")
+    bitmap = stage(keys.groupBy(word(key).alias("word")).agg(F.bit_or(
+        F.call_function("shiftleft", F.lit(1).cast("long"), bit(key))).alias("bits")), "key-filter")
+    found = rows.withColumn("word", word(key)).join(F.broadcast(bitmap), "word")
+    return found.where(F.call_function("shiftright", F.col("bits"), bit(key)).bitwiseAND(F.lit(1)) == 1).drop(
+        "word", "bits")
+
+
 def near_pairs(lines: DataFrame, options: LineOptions) -> DataFrame:
     """a and b: the hashes of lines that are near, each pair once."""
     edits = options.edits
-    keyed = lines.where(F.length("text") >= options.least).select(
-        F.col("h1").alias("id"), "text", F.explode(segment_keys(F.col("text"), F.length("text"), edits)).alias("k")).select(
-        "id", "text", "k.key", "k.own")
-    busy = stage(keyed.groupBy("key").agg(
-        F.min("id").alias("low"), F.max("id").alias("high"), F.max("own").alias("own")).where(
-        "low <> high and own = 1").select("key"), "busy-keys")
-    held = stage(keyed.join(busy, "key").groupBy("key", "id").agg(
+    keyed = segment_keys(lines.where(F.length("text") >= options.least).select(
+        F.col("h1").alias("id"), "text"), edits)
+    # One number for each key in the shuffle: the bits that any of its lines has, the
+    # bits that any lacks, and whether one of them has the key as a segment of its own.
+    # Lines differ if some bit is both had and lacked.
+    mask = (1 << _ID_BITS) - 1
+    bits = F.col("id").bitwiseAND(F.lit(mask))
+    seen = F.shiftleft(bits, _ID_BITS).bitwiseOR(bits.bitwiseXOR(F.lit(mask))).bitwiseOR(
+        F.shiftleft(F.col("own").cast("long"), 2 * _ID_BITS))
+    had, lacked = F.shiftright("seen", _ID_BITS).bitwiseAND(F.lit(mask)), F.col("seen").bitwiseAND(F.lit(mask))
+    busy = stage(keyed.groupBy("key").agg(F.bit_or(seen).alias("seen")).where(
+        (had.bitwiseAND(lacked) != 0) & (F.shiftright("seen", 2 * _ID_BITS) == 1)).select("key"), "busy-keys")
+    held = stage(maybe_among(keyed, busy).join(busy, "key").groupBy("key", "id").agg(
         F.max("own").alias("own"), F.first("text").alias("text")), "busy-lines")
     counts = [(F.length("text") - F.length(F.translate("text", c, ""))).alias(f"c{n}") for n, c in enumerate(_LETTERS)]
     chars = F.filter(F.split("text", ""), lambda c: c != "")
@@ -211,12 +237,21 @@ def deduplicated(docs: DataFrame, options: LineOptions = LineOptions()) -> DataF
 
 
 def line_report(docs: DataFrame, options: LineOptions = LineOptions()) -> DataFrame:
-    """doc_id, n_lines (that are not blank), n_dropped, n_near (dropped lines with
-    near ones in their class) and the kept text of every document."""
-    lines = F.filter(F.split("row.text", "\n"), lambda l: F.btrim(l, F.lit(SPACE)) != "")
-    near = F.filter("dropped", lambda d: d["near"])
-    return with_kept_text(docs.select("doc_id", "text"), options).select(
-        F.col("row.doc_id").cast("long").alias("doc_id"), *[
-            F.when(values.isNull(), 0).otherwise(F.size(values)).alias(name)
-            for name, values in (("n_lines", lines), ("n_dropped", F.col("dropped")), ("n_near", near))],
-        F.col("kept").alias("text"))
+    """doc_id, n_lines (that are not blank), ``dropped`` (the numbers of the lines
+    that an earlier line repeats) and n_near (those with near lines in their class)
+    of every document. Texts are read in place and not shuffled; ``deduplicated``
+    has the documents themselves."""
+    dropped = stage(repeated_lines(docs, options), "dropped-lines").select(
+        F.col("doc.id").alias("id"), F.col("doc.words").alias("words"), "dropped")
+    lines = F.filter(F.split(docs["text"], "\n"), lambda l: F.btrim(l, F.lit(SPACE)) != "")
+    rows = docs.select(document_key(docs).alias("doc"), F.coalesce(F.size(F.when(
+        docs["text"].isNotNull(), lines)), F.lit(0)).alias("n_lines"))
+    joined = rows.join(dropped.hint("merge"), F.col("doc.id").eqNullSafe(F.col("id")) & (
+        F.col("doc.words") == F.col("words")), "left")
+    numbers = F.array_sort(F.transform("dropped", lambda d: d["line"]))
+    near = F.size(F.filter("dropped", lambda d: d["near"]))
+    none = F.col("dropped").isNull()
+    return joined.select(
+        F.col("doc.id").alias("doc_id"), F.when(F.col("n_lines") < 0, 0).otherwise(F.col("n_lines")).alias("n_lines"),
+        F.when(none, F.array().cast("array<int>")).otherwise(numbers).alias("dropped"),
+        F.when(none, 0).otherwise(near).alias("n_near"))
