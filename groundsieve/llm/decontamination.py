@@ -48,9 +48,10 @@ class LeakOptions:
     short_window: int = 2        # blocks of a window for pieces of up to 24 words
     long_window: int = 4         # and for longer ones
     piece: int = 48              # words of a benchmark piece
-    rank: int = 128
-    oversampling: int = 16
-    cosine: float = 0.4          # of a candidate window
+    rank: int = 56
+    oversampling: int = 8
+    cosine: float = 0.3          # of a candidate window
+    rare: float = 0.02           # words in at most this share of all passages count as rare
     lcs: float = 0.8
     lcs_with_answer: float = 0.6
     least_words: int = 5         # shorter benchmark texts must stand word for word
@@ -93,30 +94,47 @@ def _stretches(offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]
     return place // width + np.repeat(first[:-1], size), first
 
 
-def _sums(rows: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by an owner that does not decrease."""
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
-    if len(rows):
-        there, start = np.unique(owner, return_index=True)
-        out[there] = np.add.reduceat(rows, start)
+def _grid(codes: np.ndarray, offsets: np.ndarray, width: int, blank: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes with a row for each stretch of ``width`` words, ``blank`` for
+    other words and where a text ends, and the numbers of the texts' first rows."""
+    stretch, first = _stretches(offsets, width)
+    place = (np.arange(len(codes)) - np.repeat(offsets[:-1], np.diff(offsets))) % width
+    out = np.full((int(first[-1]), width), blank, np.int64)
+    out[stretch, place] = np.where(codes < 0, blank, codes)
+    return out, first
+
+
+def _projected(grid: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Sums of the vectors of each row's codes; the last vector is the blank's, zero."""
+    out = np.zeros((len(grid), vectors.shape[1]), vectors.dtype)
+    for column in grid.T:
+        out += vectors[column]
     return out
 
 
+def _with_blank(vectors: np.ndarray) -> np.ndarray:
+    return np.concatenate([vectors, np.zeros((1, vectors.shape[1]), vectors.dtype)])
+
+
 def _random(words: int, options: LeakOptions) -> np.ndarray:
     return np.random.default_rng(77).standard_normal(
         (words, options.rank + options.oversampling)).astype(np.float32)
 
 
-def gram_sample(codes: np.ndarray, passage: np.ndarray, passages: int, test: np.ndarray):
-    """Words that occur, their passage counts, sums of squared counts and rows of A'A test."""
-    projected = _sums(test[codes], passage, passages)
+def gram_sample(grid: np.ndarray, test: np.ndarray):
+    """Words that occur, their passage counts, sums of squared counts and rows of
+    A'A test, for passages as rows of codes."""
+    words = len(test)
+    projected = _projected(grid, _with_blank(test))
+    passage, place = np.nonzero(grid != words)
+    codes = grid[passage, place]
     order = np.argsort(codes, kind="stable")
     there, start = np.unique(codes[order], return_index=True)
     sample = np.add.reduceat(projected[passage[order]], start) if len(there) else np.zeros((0, test.shape[1]))
-    pair, count = np.unique(codes * np.int64(passages) + passage, return_counts=True)
-    owner = pair // max(passages, 1)
-    return (there, np.bincount(owner, minlength=len(test))[there],
-            np.bincount(owner, count.astype(float) ** 2, len(test))[there], sample)
+    pair, count = np.unique(codes * np.int64(len(grid)) + passage, return_counts=True)
+    owner = pair // max(len(grid), 1)
+    return (there, np.bincount(owner, minlength=words)[there],
+            np.bincount(owner, count.astype(float) ** 2, words)[there], sample)
 
 
 def corpus_sample(docs: DataFrame, bench: Benchmark, options: LeakOptions):
@@ -141,13 +159,12 @@ def corpus_sample(docs: DataFrame, bench: Benchmark, options: LeakOptions):
         sample = np.zeros((n_words + 1, columns))
         for batch in sliced(batches, "text", _SLICE):
             codes, offsets = coded(batch.column("text"), known)
-            passage, first = _stretches(offsets, width)
-            inner = codes >= 0
-            there, counts, square, part = gram_sample(codes[inner], passage[inner], int(first[-1]), test)
+            grid, _ = _grid(codes, offsets, width, n_words)
+            there, counts, square, part = gram_sample(grid, test)
             passages[there] += counts
             squares[there] += square
             sample[there] += part
-            passages[-1] += first[-1]
+            passages[-1] += len(grid)
         yield rows_of(passages, squares, sample)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,14 +190,15 @@ def corpus_sample(docs: DataFrame, bench: Benchmark, options: LeakOptions):
 
 
 def semantic_space(n_passages: float, passages: np.ndarray, squares: np.ndarray, sample: np.ndarray,
-                   bench: Benchmark, options: LeakOptions) -> np.ndarray:
-    """The vector of each vocabulary word: its IDF times its row of the leading
-    right singular vectors of the TF-IDF passages."""
+                   bench: Benchmark, options: LeakOptions) -> tuple[np.ndarray, np.ndarray]:
+    """The vector of each vocabulary word, its IDF times its row of the leading
+    right singular vectors of the TF-IDF passages, and which words are rare."""
     words, test = len(bench.vocabulary), _random(len(bench.vocabulary), options)
     idf = np.maximum(np.log((n_passages + 1) / (passages + 0.5)), 0.05)
     lengths = np.array([len(w) for w in bench.words])
-    codes, owner = np.concatenate(bench.words), np.repeat(np.arange(len(lengths)), lengths)
-    there, _, own_squares, own_sample = gram_sample(codes, owner, len(lengths), test)
+    grid, _ = _grid(np.concatenate(bench.words), np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)]),
+                    max(int(lengths.max()), 1), words)
+    there, _, own_squares, own_sample = gram_sample(grid, test)
     own = np.zeros_like(sample)
     own[there] = own_sample
     own_energy = float((own_squares * idf[there] ** 2).sum())
@@ -195,7 +213,8 @@ def semantic_space(n_passages: float, passages: np.ndarray, squares: np.ndarray,
     held = values > values.max() * 1e-10
     half = image @ (vectors[:, held] / np.sqrt(values[held]))
     left, _, _ = np.linalg.svd(half, full_matrices=False)
-    return (idf[:, None] * left[:, : options.rank]).astype(np.float32).reshape(words, -1)
+    space = (idf[:, None] * left[:, : options.rank]).astype(np.float32).reshape(words, -1)
+    return space, passages <= options.rare * n_passages
 
 
 def lcs_length(mask: dict[int, int], bits: int, words: list[int]) -> int:
@@ -230,20 +249,39 @@ class _Checker:
         self.held = np.zeros((len(bench.words), len(bench.vocabulary) + 1), bool)  # the last for code -1
         for n, w in enumerate(bench.words):
             self.held[n, w] = True
+        self.distinct = [np.unique(w, return_counts=True) for w in bench.words]
+        self.seen = np.zeros(len(bench.vocabulary) + 1, bool)
+
+    def least(self, item: int) -> int:
+        """Words of a benchmark text that its leak must have at least."""
+        o, m = self.options, len(self.bench.words[item])
+        return math.ceil(o.lcs_with_answer * m) if m >= o.least_words else m
+
+    def alone(self, item: int) -> int:
+        """Words that make a leak without the answer."""
+        return max(self.least(item), math.ceil(self.options.lcs * len(self.bench.words[item])))
 
     def check(self, item: int, words: np.ndarray) -> tuple[float, bool] | None:
         """LCS share and whether the answer is there, if a stretch of the words is a leak."""
-        o, m = self.options, len(self.bench.words[item])
-        least = math.ceil(o.lcs_with_answer * m) if m >= o.least_words else m
-        if int(self.held[item][words].sum()) < least:
+        o, m, least = self.options, len(self.bench.words[item]), self.least(item)
+        # No more words can match than those that occur at all; without all words of
+        # the answer, as many must as make a leak by themselves.
+        self.seen[words] = True
+        distinct, times = self.distinct[item]
+        present = int(times[self.seen[distinct]].sum())
+        answered = bool(self.seen[self.bench.answers[item]].all())
+        self.seen[words] = False
+        least = least if answered else self.alone(item)
+        if present < least:
             return None
         masks, listed = self.masks[item], words.tolist()
-        if lcs_length(masks, m, listed) < least:
-            return None
         span = math.ceil(1.25 * m) + 2 if m >= o.least_words else m
         step = max(1, m // 8)
+        starts = np.arange(0, max(len(listed) - span, 0) + step, step)
+        inside = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.held[item][words])])
+        held = inside[np.minimum(starts + span, len(listed))] - inside[np.minimum(starts, len(listed))]
         best, at = 0, 0
-        for start in range(0, max(len(listed) - span, 0) + step, step):
+        for start in starts[held >= least].tolist():
             got = lcs_length(masks, m, listed[start: start + span])
             if got > best:
                 best, at = got, start
@@ -268,7 +306,8 @@ def _windows(blocks: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
     return out, (place + width - 1 <= last) | (place == first[:-1][text])
 
 
-def find_leaks(docs: DataFrame, bench: Benchmark, space: np.ndarray, options: LeakOptions) -> DataFrame:
+def find_leaks(docs: DataFrame, bench: Benchmark, space: np.ndarray, rare: np.ndarray,
+               options: LeakOptions) -> DataFrame:
     """doc_id, item_id, lcs, answer, cosine and at (the word where the window begins)."""
     pieces, owners = [], []
     for n, w in enumerate(bench.words):
@@ -280,17 +319,31 @@ def find_leaks(docs: DataFrame, bench: Benchmark, space: np.ndarray, options: Le
     goal = np.stack([space[p].sum(0) for p in pieces])
     goal = (goal / np.maximum(np.linalg.norm(goal, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     lanes = [(options.short_window, np.flatnonzero(size <= 24)), (options.long_window, np.flatnonzero(size > 24))]
-    shared = docs.sparkSession.sparkContext.broadcast((bench, space, goal, owners, lanes))
+    shared = docs.sparkSession.sparkContext.broadcast((bench, space, rare, goal, owners, lanes))
     width, least = options.block, options.cosine
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench, space, goal, owners, lanes = shared.value
+        bench, space, rare, goal, owners, lanes = shared.value
         known, checker = pa.array(bench.vocabulary, pa.string()), _Checker(bench, options)
+        # Necessary for a leak: of the text's rare words, as many near the window as
+        # its other words leave to be found.
+        rare_held = _with_blank(np.ascontiguousarray(checker.held.T[:-1] & rare[:, None]).astype(np.int16))
+        common = np.array([(~rare[w]).sum() for w in bench.words])
+        alone = np.array([checker.alone(k) for k in range(len(bench.words))])
+        least_of = np.array([checker.least(k) for k in range(len(bench.words))])
+        answers = [np.unique(a) for a in bench.answers]
+        least_rare = np.minimum(alone - common, np.maximum(least_of - common, [rare[a].sum() for a in answers]))
+        # Blocks that a text may reach beyond a window of its own.
+        sizes = np.array([len(w) for w in bench.words])
+        reach = -(-sizes // width)
+        vectors_of = _with_blank(space)
         for batch in sliced(batches, "text", _SLICE):
             codes, offsets = coded(batch.column("text"), known)
-            block, first = _stretches(offsets, width)
-            inner = codes >= 0
-            vectors = _sums(space[codes[inner]], block[inner], int(first[-1]))
+            grid, first = _grid(codes, offsets, width, len(space))
+            vectors = _projected(grid, vectors_of)
+            # Rare words of each benchmark text in the blocks before each block.
+            counts = np.concatenate([np.zeros((1, rare_held.shape[1]), np.int32), np.cumsum(
+                _projected(grid, rare_held), axis=0, dtype=np.int32)])
             text_of_block = np.repeat(np.arange(len(first) - 1), np.diff(first))
             found: dict[tuple[int, int], tuple] = {}
             for blocks, lane in lanes:
@@ -300,16 +353,26 @@ def find_leaks(docs: DataFrame, bench: Benchmark, space: np.ndarray, options: Le
                 norm = np.linalg.norm(summed, axis=1)
                 cosine = (summed @ goal[lane].T) / np.maximum(norm, 1e-9)[:, None]
                 cosine[~used] = -1
-                for at, piece in np.argwhere(cosine >= least).tolist():
-                    item, text = int(owners[lane[piece]]), int(text_of_block[at])
-                    if (text, item) in found:
-                        continue
-                    m = len(bench.words[item])
-                    begin = offsets[text] + (at - first[text]) * width
-                    low = max(begin - m, offsets[text])
-                    high = min(begin + blocks * width + m, offsets[text + 1])
-                    if (hit := checker.check(item, codes[low:high])) is not None:
-                        found[text, item] = (*hit, float(cosine[at, piece]), int(begin - offsets[text]))
+                at, piece = np.nonzero(cosine >= least)
+                item, text = owners[lane[piece]], text_of_block[at]
+                low = np.maximum(at - reach[item], first[text])
+                high = np.minimum(at + blocks + reach[item], first[text + 1])
+                enough = np.flatnonzero(counts[high, item] - counts[low, item] >= least_rare[item])
+                # Windows of a text and an item whose surroundings meet are checked as one stretch.
+                enough = enough[np.lexsort((at[enough], item[enough], text[enough]))]
+                value = cosine[at, piece][enough]
+                at, item, text = at[enough], item[enough], text[enough]
+                begin = offsets[text] + (at - first[text]) * width
+                low = np.maximum(begin - sizes[item], offsets[text])
+                high = np.minimum(begin + blocks * width + sizes[item], offsets[text + 1])
+                fresh = np.ones(len(at), bool)
+                fresh[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1])
+                starts = np.flatnonzero(fresh)
+                ends = np.append(starts[1:], len(at)) - 1 if len(at) else starts
+                for a, b in zip(starts.tolist(), ends.tolist()):
+                    n, i = int(text[a]), int(item[a])
+                    if (n, i) not in found and (hit := checker.check(i, codes[low[a]: high[b]])) is not None:
+                        found[n, i] = (*hit, float(value[a: b + 1].max()), int(begin[a] - offsets[n]))
             if found:
                 ids = batch.column("doc_id").to_pylist()
                 rows = [(ids[t], bench.ids[i], *v) for (t, i), v in sorted(found.items())]
@@ -339,7 +402,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, options: LeakOptions = LeakOpti
     out = docs.sparkSession.createDataFrame([], _LEAK)
     for bench in benchmark_blocks(benchmark, options):
         space = semantic_space(*corpus_sample(docs, bench, options), bench, options)
-        out = out.unionByName(find_leaks(docs, bench, space, options))
+        out = out.unionByName(find_leaks(docs, bench, *space, options))
     return out
 
 
