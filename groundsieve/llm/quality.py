@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from groundsieve.llm.common import texts_of
@@ -43,11 +44,11 @@ class Rule:
 
 @dataclass(frozen=True)
 class EmOptions:
-    steps: int = 100
+    steps: int = 2000
     tolerance: float = 1e-9
-    smoothing: float = 0.5     # added to each count of votes
-    suspicion: float = 0.9     # first guess that a text with a vote against it is bad
-    false_alarms: float = 0.001  # at most this share of good texts get a vote against them from a rule
+    false_alarms: float = 0.05  # expected share of good texts that a rule errs on
+    alarm_weight: float = 0.02  # of this expectation, as a share of all rows
+    unseen: float = 0.001      # expectation that a rule finds nothing in other rules' kinds, as a share of all rows
     threshold: float = 0.5     # posterior from which a text is kept
 
 
@@ -140,46 +141,52 @@ def fit_patterns(counts: dict[int, int], rules: int, options: EmOptions = EmOpti
     """The posterior probability of a good text for each vote pattern.
 
     Expectation maximisation of a latent class model: one class of good texts and
-    one kind of bad text for each rule, since texts are bad in different ways and
-    a rule is blind to most of them. In each class a rule's vote is against the
-    text with a probability of its own, independently of the other rules; that a
-    rule abstains says nothing. Rules speak against a text only in the extreme, so
-    few good texts may get such a vote. It starts from a suspicion of every text with a vote against it.
+    one kind of bad text for each rule, the kind that this rule sees. The kinds are tied:
+    a rule's false alarms are as frequent in every kind as among good texts, and
+    come on top of what it finds there. So the agreement of the rules tells
+    errors from findings: votes that fall on bad texts of other kinds as often as
+    on good ones are errors, votes that avoid them are a kind of their own, and
+    votes that meet others' share a kind with them. That a rule abstains says nothing.
+
+    Priors are shares of all rows, so only the proportions of the patterns count. Where
+    nothing but one rule ever speaks against a text, its votes are errors up to
+    about the expected share of false alarms.
     """
-    votes = {p: votes_of(p, rules) for p in counts}
-    parts = {}  # of each pattern in the classes: good first, then the kinds
-    for p, v in votes.items():
-        against = [r for r in range(rules) if v[r] == -1]
-        good = 1 - options.suspicion if against else options.suspicion
-        kinds = against or range(rules)
-        parts[p] = [good] + [(1 - good) / len(kinds) if r in kinds else 0.0 for r in range(rules)]
+    if not counts:
+        return {}
+    tiny = 1e-12
+    patterns = sorted(counts)
+    votes = np.array([votes_of(p, rules) for p in patterns])
+    against, cast_good = (votes == -1).astype(float), (votes == 1).astype(float)
+    share = np.array([counts[p] for p in patterns], float) / sum(counts.values())
+    number = against.sum(1, keepdims=True)
+    # Of each pattern in the classes, good first: every further vote against halves the first guess.
+    good = 0.5 ** number
+    parts = np.hstack([good, np.where(number > 0, (1 - good) * against / np.maximum(number, 1), 0.0)])
+    alarms = np.full(rules, options.false_alarms)
+    found = np.full((rules, rules), 0.5)  # by the rule (column) in each kind (row)
+    np.fill_diagonal(found, 1.0)
+    unseen = options.unseen * (1 - np.eye(rules))
     before = -math.inf
     for _ in range(options.steps):
-        tables, share = [], []
-        for c in range(rules + 1):
-            against, cast, mass = [options.smoothing] * rules, [2 * options.smoothing] * rules, options.smoothing
-            for p, n in counts.items():
-                weight = n * parts[p][c]
-                mass += weight
-                for r, v in enumerate(votes[p]):
-                    against[r] += weight * (v == -1)
-                    cast[r] += weight * (v != 0)
-            share.append(mass)
-            most = options.false_alarms if c == 0 else 1.0  # what the class of good texts may explain
-            tables.append([min(a / b, most) for a, b in zip(against, cast)])
-        total, likelihood = sum(share), 0.0
-        for p, n in counts.items():
-            logs = [math.log(share[c] / total) + sum(
-                math.log(tables[c][r] if v < 0 else 1 - tables[c][r])
-                for r, v in enumerate(votes[p]) if v) for c in range(rules + 1)]
-            top = max(logs)
-            mass = top + math.log(sum(math.exp(x - top) for x in logs))
-            parts[p] = [math.exp(x - mass) for x in logs]
-            likelihood += n * mass
-        if likelihood - before <= options.tolerance * abs(likelihood):
+        mass = (share[:, None] * parts).T
+        bad, fine = mass @ against, mass @ cast_good
+        either = 1 - (1 - alarms) * (1 - found)
+        alarms_now = (options.alarm_weight * options.false_alarms + bad[0] + (bad[1:] * alarms / either).sum(0)) / (
+            options.alarm_weight + bad.sum(0) + fine.sum(0))
+        cast = bad[1:] + fine[1:] + unseen
+        found = np.where(cast > 0, bad[1:] * found / either / np.where(cast > 0, cast, 1), found)
+        alarms = alarms_now
+        rates = np.clip(np.vstack([alarms, 1 - (1 - alarms) * (1 - found)]), tiny, 1 - tiny)
+        logs = np.log(np.maximum(mass.sum(1), tiny)) + against @ np.log(rates).T + cast_good @ np.log(1 - rates).T
+        top = logs.max(1, keepdims=True)
+        total = top + np.log(np.exp(logs - top).sum(1, keepdims=True))
+        parts = np.exp(logs - total)
+        likelihood = float(share @ total[:, 0])
+        if abs(likelihood - before) <= options.tolerance * abs(likelihood):
             break
         before = likelihood
-    return {p: x[0] for p, x in parts.items()}
+    return {p: float(x) for p, x in zip(patterns, parts[:, 0])}
 
 
 def pattern_posteriors(voted: DataFrame, rules: int, options: EmOptions = EmOptions()) -> DataFrame:

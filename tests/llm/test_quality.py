@@ -76,3 +76,42 @@ def test_estimated_votes():
     for pattern, p in posterior.items():
         assert p < 0.1 if -1 in quality.votes_of(pattern, 3) else p > 0.9
     assert quality.fit_patterns({}, 3) == {}
+
+
+def simulated(errs, texts=40_000, rules=7):
+    """Counts of patterns where the first rule errs on a share of all texts and the others agree on bad ones."""
+    counts, rng = Counter(), random.Random(2)
+    for _ in range(texts):
+        bad = rng.random() < 0.1
+        votes = [-1 if rng.random() < errs else 1] + [-1 if bad and rng.random() < 0.7 else 1 for _ in range(rules - 1)]
+        counts[encoded(votes)] += 1
+    return dict(counts)
+
+
+def encoded(votes):
+    return sum((v + 1) * 3 ** (len(votes) - 1 - k) for k, v in enumerate(votes))
+
+
+def test_a_rule_that_errs_alone_is_outvoted():
+    lone = encoded([-1] + [1] * 6)
+    for errs in (0.002, 0.02):
+        posterior = quality.fit_patterns(simulated(errs), 7)
+        assert posterior[lone] > 0.9
+        for pattern, p in posterior.items():
+            if sum(v == -1 for v in quality.votes_of(pattern, 7)[1:]) > 1:
+                assert p < 0.1
+    # Nothing else to go by: six rules against one.
+    assert quality.fit_patterns({encoded([1] * 7): 998_000, lone: 2000}, 7)[lone] > 0.9
+
+
+def test_a_rule_that_avoids_the_others_findings_sees_a_kind_of_its_own():
+    lone, pair = encoded([-1] + [1] * 6), encoded([1, 1, 1, -1, -1, 1, 1])
+    posterior = quality.fit_patterns({encoded([1] * 7): 8600, lone: 700, pair: 700}, 7)
+    assert posterior[lone] < 0.5 and posterior[pair] < 0.1
+
+
+def test_only_proportions_of_patterns_count():
+    for counts in (simulated(0.002, 10_000), {encoded([1] * 7): 9980, encoded([-1] + [1] * 6): 20}):
+        few = quality.fit_patterns(counts, 7)
+        many = quality.fit_patterns({p: 100 * n for p, n in counts.items()}, 7)
+        assert all(abs(few[p] - many[p]) < 1e-6 for p in counts)
