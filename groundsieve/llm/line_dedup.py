@@ -238,20 +238,16 @@ def deduplicated(docs: DataFrame, options: LineOptions = LineOptions()) -> DataF
 
 def line_report(docs: DataFrame, options: LineOptions = LineOptions()) -> DataFrame:
     """doc_id, n_lines (that are not blank), ``dropped`` (the numbers of the lines
-    that an earlier line repeats) and n_near (those with near lines in their class)
-    of every document. Texts are read in place and not shuffled; ``deduplicated``
-    has the documents themselves."""
-    dropped = stage(repeated_lines(docs, options), "dropped-lines").select(
-        F.col("doc.id").alias("id"), F.col("doc.words").alias("words"), "dropped")
-    lines = F.filter(F.split(docs["text"], "\n"), lambda l: F.btrim(l, F.lit(SPACE)) != "")
-    rows = docs.select(document_key(docs).alias("doc"), F.coalesce(F.size(F.when(
-        docs["text"].isNotNull(), lines)), F.lit(0)).alias("n_lines"))
-    joined = rows.join(dropped.hint("merge"), F.col("doc.id").eqNullSafe(F.col("id")) & (
-        F.col("doc.words") == F.col("words")), "left")
+    that an earlier line repeats), n_dropped, n_near (those with near lines in their
+    class) and the kept text of every document."""
+    lines = F.filter(F.split("row.text", "\n"), lambda l: F.btrim(l, F.lit(SPACE)) != "")
     numbers = F.array_sort(F.transform("dropped", lambda d: d["line"]))
-    near = F.size(F.filter("dropped", lambda d: d["near"]))
+    near = F.filter("dropped", lambda d: d["near"])
     none = F.col("dropped").isNull()
-    return joined.select(
-        F.col("doc.id").alias("doc_id"), F.when(F.col("n_lines") < 0, 0).otherwise(F.col("n_lines")).alias("n_lines"),
+    return with_kept_text(docs.select("doc_id", "text"), options).select(
+        F.col("row.doc_id").cast("long").alias("doc_id"),
+        F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
         F.when(none, F.array().cast("array<int>")).otherwise(numbers).alias("dropped"),
-        F.when(none, 0).otherwise(near).alias("n_near"))
+        F.when(none, 0).otherwise(F.size("dropped")).alias("n_dropped"),
+        F.when(none, 0).otherwise(F.size(near)).alias("n_near"),
+        F.col("kept").alias("text"))

@@ -110,6 +110,14 @@ def test_messy(messy, messy_rows):
     assert [r.text for r in rows if r.doc_id == 3] == [None]
 
 
+def test_report_has_the_kept_text(messy):
+    rows = line_dedup.line_report(messy).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+    kept = [(r.doc_id, r.text) for r in line_dedup.deduplicated(messy).collect()]
+    assert sorted(((r.doc_id, r.text) for r in rows), key=key) == sorted(kept, key=key)
+    assert all(r.n_dropped == len(r.dropped) for r in rows)
+
+
 def test_nothing(nothing):
     assert line_dedup.line_report(nothing).count() == 0
 
