@@ -8,9 +8,9 @@ equal mass, and a word's share of its class comes from counts over all
 documents. A document's score is the sum of the log-probabilities of all its words.
 
 1. Words are counted over all documents; partial counts are added up in Spark.
-2. Every task trains the network on its own documents, from one start: of every
-   document each ``stride``-th word is predicted. The weights are
-   averaged by the number of words predicted, slice by slice, in Spark.
+2. Every task trains the network on its own documents, from one start: every
+   word of every document is predicted. The weights are averaged by the number of
+   words predicted, slice by slice, in Spark.
 3. Every document is scored as a whole, where it lies.
 
 Defined results: a null, empty or blank text has no words, score 0 and a null
@@ -42,7 +42,7 @@ class WindowOptions:
     word_bits: int = 16
     classes: int = 64
     width: int = 24        # of the hidden layer
-    stride: int = 4        # one word in so many is predicted in training
+    stride: int = 1        # one word in so many is predicted in training; 1: every word
     batch: int = 4096
     rate: float = 0.1
     smoothing: float = 0.5
@@ -165,6 +165,16 @@ def word_classes(counts: np.ndarray, o: WindowOptions) -> tuple[np.ndarray, np.n
     return cls, np.log(mass / np.bincount(cls, mass, o.classes)[cls]).astype(np.float32)
 
 
+def predicted(word: np.ndarray, offsets: np.ndarray, o: WindowOptions) -> np.ndarray:
+    """The words to predict in training: all of them, unless a stride is asked for."""
+    at = np.arange(len(word))
+    if o.stride == 1 or not len(word):
+        return at
+    # Where a text's first predicted word stands depends on the text's first words.
+    text = np.searchsorted(offsets, at, "right") - 1
+    return at[(at - offsets[text] + word[offsets[text]]) % o.stride == 0]
+
+
 def train(docs: DataFrame, classes: np.ndarray, o: WindowOptions) -> Network:
     shared = docs.sparkSession.sparkContext.broadcast(classes.astype(np.int16))
 
@@ -172,11 +182,7 @@ def train(docs: DataFrame, classes: np.ndarray, o: WindowOptions) -> Network:
         trainer, cls = Trainer(o), shared.value
         for batch in sliced(batches, "text", _SLICE):
             word, near, offsets = places(batch.column("text"), o)
-            # Where a text's first predicted word stands depends on the text's first words.
-            at = np.arange(len(word))
-            text = np.searchsorted(offsets, at, "right") - 1
-            lead = word[offsets[text]] if len(word) else at
-            at = at[(at - offsets[text] + lead) % o.stride == 0]
+            at = predicted(word, offsets, o)
             for k in range(0, len(at), o.batch):
                 some = at[k: k + o.batch]
                 trainer.step(contexts(near, offsets, some, o), cls[word[some]])

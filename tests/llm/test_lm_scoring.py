@@ -58,6 +58,16 @@ def test_scores_and_training(spark, chains, messy_rows):
     assert after / 180 > before / 180 + 0.5
 
 
+def test_every_word_is_predicted_in_training(messy_rows):
+    """With the settings of the registered query."""
+    o = WindowOptions()
+    word, _, offsets = lm_scoring.places(pa.array([t or "" for _, t in messy_rows], pa.string()), o)
+    assert len(word) > 1000
+    assert lm_scoring.predicted(word, offsets, o).tolist() == list(range(len(word)))
+    none, _, at = lm_scoring.places(pa.array([""], pa.string()), o)
+    assert len(lm_scoring.predicted(none, at, o)) == 0
+
+
 def test_classes_cut_all_words_evenly():
     counts = np.array([100, 100, 50, 50, 25, 25, 25, 25, 0] + [0] * 247)
     classes, shares = lm_scoring.word_classes(counts, WindowOptions(word_bits=8, classes=4, smoothing=1e-6))
