@@ -7,7 +7,10 @@ the packing meets the bound it is certified optimal and only its emptiest
 sequence stays open; where a gap remains, all sequences that are not nearly full
 stay open. The pieces of open sequences of several partitions meet in one
 partition of the next round, and best fit decreasing runs again, until one
-partition is left. Each round has a small part of the rows of the one before.
+partition is left. No partition of any round is expected to have more than
+``partition_pieces`` pieces: where more than half of a round's pieces stay open and
+would not fit fewer partitions, the next round closes all; ``bins`` - ``bound`` of
+its partitions is the gap that remains.
 
 Defined results: a null text is empty and makes a piece of the end id alone; a
 repeated row is packed as often as it comes; an empty table gives no rows; other
@@ -28,13 +31,15 @@ from groundsieve.llm.common import sliced, texts_of
 from groundsieve.llm.encoding import SLICE, encoder_of, with_last_id
 from groundsieve.sources.staging import stage
 
+_ROUNDINGS = 100  # pieces a sequence up to which rounding functions are tried
+
 
 @dataclass(frozen=True)
 class PackingOptions:
     tokenizer: str                 # path of a tokenizers JSON file
     end_id: int = 1
     capacity: int = 4096
-    partition_pieces: int = 50_000  # expected pieces of a partition of the first round
+    partition_pieces: int = 50_000  # expected pieces of a partition, at most
     merge: int = 16                 # partitions that meet in one of the next round
     nearly_full: float = 0.995      # sequences that stay closed where a gap remains
 
@@ -99,9 +104,12 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def bin_bound(lengths: np.ndarray, capacity: int) -> int:
-    """A number of bins that no packing can go below: the largest bound of the
-    dual-feasible functions that, for each k, lift sizes above capacity - k to
-    the capacity and drop those below k."""
+    """A number of bins that no packing can go below: the largest bound of two
+    families of dual-feasible functions. The first ones, for each k, lift sizes above
+    capacity - k to the capacity and drop those below k. The second ones round: for
+    each k, a size s counts (k + 1) s / capacity rounded down, of k, or s / capacity
+    itself if that is a whole number; they certify k pieces a sequence where all are
+    a little larger than capacity / (k + 1)."""
     if not len(lengths):
         return 0
     counts = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1]
@@ -110,7 +118,15 @@ def bin_bound(lengths: np.ndarray, capacity: int) -> int:
     k = np.arange(0, capacity // 2 + 1)
     lifted = number[-1] - number[capacity - k + 1]                # sizes above capacity - k
     between = tokens[capacity - k + 1] - tokens[k]                # sizes from k to capacity - k
-    return int((lifted + -(-between // capacity)).max())
+    best = int((lifted + -(-between // capacity)).max())
+    sizes = np.flatnonzero(counts)
+    held = counts[sizes]
+    for k in range(1, min(capacity, _ROUNDINGS) + 1):
+        parts, rest = np.divmod((k + 1) * sizes, capacity)
+        # In units of 1 / (k * capacity).
+        total = int((held * np.where(rest == 0, k * sizes, parts * capacity)).sum())
+        best = max(best, -(-total // (k * capacity)))
+    return best
 
 
 def _pack_group(group: pa.Table, level: int, last: bool, capacity: int, nearly_full: float) -> pa.Table:
@@ -155,23 +171,30 @@ def pack(pieces: DataFrame, options: PackingOptions) -> DataFrame:
     tie = F.xxhash64(*own)
     rows = pieces.select(*own, tie.alias("tie"))
     rows = stage(rows, "pieces")
-    parts = max(1, -(-rows.count() // options.partition_pieces))
-    # Spread by hash and a random salt, so that copies of a row do not meet in one partition.
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("tie", F.monotonically_increasing_id()), F.lit(parts)))
+    held = rows.count()
+    parts = max(1, -(-held // options.partition_pieces))
     for name in ("sequence_id", "offset", "bound", "bins"):
         rows = rows.withColumn(name, none)
-    schema, done, level = rows.schema, None, 0
+    rows = rows.withColumn("part", F.lit(0).cast("long"))
+    schema, done, level, last = rows.schema, None, 0, parts == 1
     capacity, full = options.capacity, options.nearly_full
     while True:
-        last = parts == 1
-        packed = stage(rows.groupBy("part").applyInArrow(
+        # Spread by hash and a random salt, so that copies of a row do not meet in one partition.
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64(
+            F.lit(level), "tie", F.monotonically_increasing_id()), F.lit(parts)).cast("long"))
+        packed = stage(dealt.groupBy("part").applyInArrow(
             _group_packer(level, last, capacity, full), schema), f"packed-{level}")
         placed = packed.where("sequence_id is not null")
         done = placed if done is None else done.unionByName(placed)
         if last:
             return done.select(*own, "sequence_id", "offset", "bound", "bins")
-        parts, level = -(-parts // options.merge), level + 1
-        rows = packed.where("sequence_id is null").withColumn("part", F.floor(F.col("part") / options.merge))
+        rows, level = packed.where("sequence_id is null"), level + 1
+        left = rows.count()
+        fewer, needed = -(-parts // options.merge), -(-left // options.partition_pieces)
+        # Where exchange does not help, it ends: partitions stay as small as in the first round.
+        parts = max(1, fewer, needed)
+        last = parts == 1 or (needed > fewer and 2 * left > held)
+        held = left
 
 
 def sequences(packed: DataFrame) -> DataFrame:
