@@ -32,6 +32,8 @@ LEFT_OUT = frozenset("head script style textarea title xmp iframe noembed nofram
                      "button option object video audio canvas".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure "
                    "footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+# What may stand in a head; any other start tag ends one that is still open.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 # What a start tag closes, and the elements that shield what lies outside of them.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}),
@@ -120,6 +122,8 @@ def read_page(source: str) -> Page:
             elif place:
                 drop(place)
             continue
+        if stack[-1][0] == "head" and name not in IN_HEAD:
+            drop(len(stack) - 1)
         if name in ENDS_P:
             place = innermost({"p"}, {"table", "td", "th", "button", "object"})
             if place:

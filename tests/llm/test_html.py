@@ -108,3 +108,11 @@ def test_tables(spark):
     assert extraction.main_texts(spark.createDataFrame([], PAGES)).count() == 0
     without = extraction.main_texts(spark.createDataFrame([(1, "u", "<p>a</p><nav>b</nav>", "x", "x", "x")], PAGES))
     assert [r.text for r in without.collect()] == ["a"]
+
+
+def test_a_head_without_end():
+    """</head> and <body> may be left out."""
+    said = lambda source: "".join(t for _, _, t, _ in read_page(source).texts).strip()
+    assert said("<html><head><title>T</title><p>Text of the page") == "Text of the page"
+    assert said("<head><meta charset=utf-8><link href=x><div><p>One</div></html>") == "One"
+    assert said("<head><template><p>hidden</p></template><style>a</style></head><body><p>Two") == "Two"
