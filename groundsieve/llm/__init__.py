@@ -2,7 +2,7 @@
 extraction, encoding and packing of large text collections.
 
 Nothing else in the library imports this package. Code that runs inside tasks
-travels with them, so executors need numpy, pyarrow and the tokenizer library
+travels with them, so executors need numpy, pyarrow and the tokenizer libraries
 but not this package.
 """
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
+from groundsieve.llm.byte_bpe import ByteBpeOptions, byte_bpe_digests
 from groundsieve.llm.common import table
 from groundsieve.llm.decontamination import leaks
 from groundsieve.llm.html_extraction import main_texts
@@ -18,6 +19,7 @@ from groundsieve.llm.toxicity import toxicity_table
 from groundsieve.llm.warc import warc_digests
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = ByteBpeOptions(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op1_toxicity(spark, folder) -> DataFrame:
@@ -60,5 +62,9 @@ def op9_html_extraction(spark, folder) -> DataFrame:
     return main_texts(table(spark, folder, "pages"))
 
 
+def op11_byte_bpe(spark, folder) -> DataFrame:
+    return byte_bpe_digests(table(spark, folder, "documents"), BYTE_BPE)
+
+
 def registered() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
