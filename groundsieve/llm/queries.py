@@ -9,6 +9,7 @@ from groundsieve.llm.byte_bpe import ByteBpeOptions, byte_bpe_digests
 from groundsieve.llm.common import table
 from groundsieve.llm.decontamination import leaks
 from groundsieve.llm.html_extraction import main_texts
+from groundsieve.llm.lexical_search import ranked_documents
 from groundsieve.llm.line_dedup import line_report
 from groundsieve.llm.lm_scoring import pseudo_likelihoods
 from groundsieve.llm.near_duplicates import near_duplicate_classes
@@ -66,5 +67,9 @@ def op11_byte_bpe(spark, folder) -> DataFrame:
     return byte_bpe_digests(table(spark, folder, "documents"), BYTE_BPE)
 
 
+def op13_ranked_search(spark, folder) -> DataFrame:
+    return ranked_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def registered() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
