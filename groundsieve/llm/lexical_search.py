@@ -45,6 +45,7 @@ _TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LISTS = ("shard long, term string, n int, firsts binary, widths binary, maxima binary, payload binary, "
           "documents binary")
 _DOCUMENT = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("m", "<i8")])
+_PACKED = 200_000  # postings packed at once
 _HITS = "item long, item_id long, doc_id long, score long"
 
 
@@ -52,7 +53,7 @@ _HITS = "item long, item_id long, doc_id long, score long"
 class SearchOptions:
     k: int = 10
     shard_documents: int = 65_536     # at most, as a number of 16 bits
-    shard_postings: int = 4_000_000   # a shard is closed by the document that reaches so many
+    shard_postings: int = 2_000_000   # a shard is closed by the document that reaches so many
     items: int = 1024                 # of a block; so many are searched together
     window: int = 512                 # documents of the first window, each next one is twice as long
     salts: int = 16
@@ -134,7 +135,7 @@ class Shard:
         n = np.diff(offsets)
         doc = np.repeat(np.arange(len(n)), n) + self.n_documents
         key, tf = np.unique(doc << 32 | codes, return_counts=True)
-        self.slices.append((words, key >> 32, key & 0xFFFFFFFF, tf))
+        self.slices.append((words, *(x.astype(np.int32) for x in (key >> 32, key & 0xFFFFFFFF, tf))))
         self.ids.append(ids)
         self.lengths.append(n)
         self.n_documents += len(n)
@@ -156,18 +157,24 @@ class Shard:
         sorted_terms = pc.sort_indices(every.dictionary).to_numpy()
         rank = np.empty(len(sorted_terms), np.int64)
         rank[sorted_terms] = np.arange(len(sorted_terms))
-        term_of = rank[every.indices.to_numpy()]
-        starts = np.cumsum([0, *(len(s[0]) for s in self.slices)])
+        term_of = rank[every.indices.to_numpy()].astype(np.int32)
+        starts = np.cumsum([0, *(len(x[0]) for x in self.slices)])
         term = np.concatenate([term_of[start + codes] for start, (_, _, codes, _) in zip(starts, self.slices)])
-        doc = place[np.concatenate([s[1] for s in self.slices])]
-        tf = np.concatenate([s[3] for s in self.slices])
-        by = np.argsort(term << 16 | doc)
-        yield from self._lists(number, every.dictionary.take(pa.array(sorted_terms)), term[by], doc[by], tf[by], m)
-
-    def _lists(self, number, terms, term, doc, tf, m) -> Iterator[pa.RecordBatch]:
-        n = np.bincount(term, minlength=len(terms))
-        held = np.flatnonzero(n)  # a term of empty slices has none
-        terms, n = terms.take(pa.array(held)), n[held]
+        doc = place.astype(np.int32)[np.concatenate([x[1] for x in self.slices])]
+        tf = np.concatenate([x[3] for x in self.slices])
+        self.slices = []
+        by = np.argsort(term.astype(np.int64) << 16 | doc)
+        n = np.bincount(term, minlength=len(every.dictionary))
+        terms, ends = every.dictionary.take(pa.array(sorted_terms)), np.cumsum(n)
+        cuts = np.searchsorted(ends, np.arange(_PACKED, ends[-1] + _PACKED, _PACKED), "left") + 1
+        for low, high in zip([0, *cuts], [*cuts[:-1], len(terms)]):
+            some = by[ends[low] - n[low]: ends[high - 1]] if high > low else by[:0]
+            if len(some):
+                held = low + np.flatnonzero(n[low:high])  # a term of no posting comes from a slice cut in two
+                yield from self._lists(number, terms.take(pa.array(held)), n[held],
+                                       *(x[some].astype(np.int64) for x in (doc, tf)), m)
+
+    def _lists(self, number, terms, n, doc, tf, m) -> Iterator[pa.RecordBatch]:
         list_end = np.cumsum(n)
         within = np.arange(len(doc)) - np.repeat(list_end - n, n)
         first = np.flatnonzero(within % BLOCK == 0)  # of each block
@@ -191,17 +198,10 @@ class Shard:
         blocks = -(-n // BLOCK)
         block_bounds = np.concatenate([[0], np.cumsum(blocks)])
         payload_bounds = np.concatenate([[0], block_end[block_bounds[1:] - 1]])
-        step = 65_536
-        for a in range(0, len(terms), step):
-            b = min(a + step, len(terms))
-            low, high = block_bounds[a], block_bounds[b]
-            bounds = block_bounds[a: b + 1] - low
-            yield self._rows(
-                number, terms.slice(a, b - a), n[a:b],
-                _binary(doc[first[low:high]].astype("<u2"), bounds * 2),
-                _binary((gap_width | tf_width << 4)[low:high].astype(np.uint8), bounds),
-                _binary(maxima[low:high].astype("<u4"), bounds * 4),
-                _binary(payload[payload_bounds[a]: payload_bounds[b]], payload_bounds[a: b + 1] - payload_bounds[a]))
+        yield self._rows(
+            number, terms, n, _binary(doc[first].astype("<u2"), block_bounds * 2),
+            _binary((gap_width | tf_width << 4).astype(np.uint8), block_bounds),
+            _binary(maxima.astype("<u4"), block_bounds * 4), _binary(payload, payload_bounds))
 
     @staticmethod
     def _rows(number, terms, n, firsts, widths, maxima, payload, documents=None) -> pa.RecordBatch:
@@ -286,7 +286,7 @@ class PostingList:
 
     def __post_init__(self):
         self.firsts = self.firsts.astype(np.int64)
-        self.docs, self.parts = np.empty(self.n, np.int64), np.empty(self.n, np.int64)
+        self.docs, self.parts = np.empty(self.n, np.int32), np.empty(self.n, np.int32)
         self.open = np.zeros(len(self.firsts), bool)
         self.sizes = np.full(len(self.firsts), BLOCK)
         self.sizes[-1] = self.n - BLOCK * (len(self.firsts) - 1)
