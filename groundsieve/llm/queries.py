@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame
 
+from groundsieve.llm.alignment import AlignmentOptions, alignment_table
 from groundsieve.llm.byte_bpe import ByteBpeOptions, byte_bpe_digests
 from groundsieve.llm.common import table
 from groundsieve.llm.decontamination import leaks
@@ -20,6 +21,7 @@ from groundsieve.llm.toxicity import toxicity_table
 from groundsieve.llm.warc import warc_digests
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+ALIGNED = AlignmentOptions(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 BYTE_BPE = ByteBpeOptions(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -67,6 +69,10 @@ def op11_byte_bpe(spark, folder) -> DataFrame:
     return byte_bpe_digests(table(spark, folder, "documents"), BYTE_BPE)
 
 
+def op12_alignment(spark, folder) -> DataFrame:
+    return alignment_table(table(spark, folder, "documents"), ALIGNED)
+
+
 def op13_ranked_search(spark, folder) -> DataFrame:
     return ranked_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
