@@ -21,6 +21,7 @@ OPTIONS = AlignmentOptions(public_tokenizers.path("byte_bpe_50k.json"), public_t
 PAIR = TokenizerPair(OPTIONS)
 A, B = Tokenizer.from_file(OPTIONS.first), SentencePieceProcessor(model_file=OPTIONS.second)
 A.encode_special_tokens = True
+ALPHABET = alignment.byte_alphabet()
 
 
 def spans(sizes):
@@ -34,7 +35,7 @@ def by_hand(text):
         return [], [], [], []
     given = (" " + text).encode()
     a, b = A.encode(" " + text, add_special_tokens=False), B.encode(text)
-    raw_a = [bytes(alignment.byte_alphabet()[c] for c in t) for t in a.tokens]
+    raw_a = [bytes(ALPHABET[c] for c in t) for t in a.tokens]
     raw_b = [bytes([int(p[3:5], 16)]) if B.is_byte(i) else p.replace("▁", " ").encode()
              for i, p in zip(b, B.id_to_piece(b))]
     if b"".join(raw_a) != given or b"".join(raw_b) != given:
