@@ -34,11 +34,14 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from groundsieve.llm.common import plain, sliced, texts_of, worker_state
+from groundsieve.llm.common import list_offsets, plain, sliced, texts_of, worker_state
 from groundsieve.sources.staging import stage
 
 _DENSE = 4096  # numbers of a block that take as much room as its bits
 _SLICE = 2 * 1024 * 1024
+_WORDS = 400_000  # that a worker keeps
+# Space beside a space, or at an end; marks that a normalisation could join with their neighbours.
+_ODD_SPACE = r"^ | $|[\s\p{Z}\x{85}\x{1c}-\x{1f}\x{b}] | [\s\p{Z}\x{85}\x{1c}-\x{1f}\x{b}\pM]|▁"
 _GROUPS = 64  # rows of the postings table for a block, by a hash of the pair
 
 
@@ -88,29 +91,92 @@ class TokenizerPair:
         names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
         self.a_tokens = _Vocabulary([
             bytes(alphabet[c] for c in n) if all(c in alphabet for c in n) else n.encode() for n in names])
+        pieces = self.b.id_to_piece(list(range(self.b.get_piece_size())))
         self.b_tokens = _Vocabulary([
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
-            for i, p in enumerate(self.b.id_to_piece(list(range(self.b.get_piece_size()))))])
+            for i, p in enumerate(pieces)])
         self.decimal = pa.array(self.a_tokens.decimal + self.b_tokens.decimal)
         self.b_first = len(self.a_tokens.decimal)
+        # Words can be encoded one by one if no token holds a space behind other bytes.
+        self.by_word = not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def encode(self, texts: list[str | None]) -> "AlignedTexts":
-        given = [" " + t if t else "" for t in texts]
-        a = [e.ids for e in self.a.encode_batch_fast(given, add_special_tokens=False)]
-        b = self.b.encode([t or "" for t in texts], num_threads=1)
-        ids, counts = [], []
-        for tokens, lists in ((self.a_tokens, a), (self.b_tokens, b)):
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all words but the empty one, which has no ids."""
+        self.slot = {"": 0}
+        self.held = [(np.zeros(2, np.int64), np.empty(0, np.int64)) for _ in "ab"]
+
+    def _whole(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For both tokenizers all ids in a row, and how many each text has."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        out = []
+        for lists in (a, self.b.encode(texts, num_threads=1)):
             n = np.array([len(x) for x in lists], np.int64)
-            flat = np.fromiter((i for x in lists for i in x), np.int64, n.sum())
-            ids.append(flat)
-            counts.append(n)
-        same = np.ones(len(texts), bool)
-        raw = [t.encode() for t in given]
-        for tokens, flat, n in zip((self.a_tokens, self.b_tokens), ids, counts):
+            out.append((np.fromiter((i for x in lists for i in x), np.int64, n.sum()), n))
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words, many as one text, and cuts the ids where the words end."""
+        groups = [words[i: i + 200] for i in range(0, len(words), 200)]
+        sizes = np.array([len(w.encode()) + 1 for w in words])
+        known = np.ones(len(words), bool)
+        found = self._whole([" ".join(g) for g in groups])
+        cuts = []
+        for tokens, (ids, _) in zip((self.a_tokens, self.b_tokens), found):
+            ends = np.cumsum(tokens.sizes[ids])
+            at = np.searchsorted(ends, np.cumsum(sizes))
+            known &= (at < len(ends)) & (ends[np.minimum(at, len(ends) - 1)] == np.cumsum(sizes))
+            cuts.append(at + 1)
+        if not known.all():  # not given back byte for byte: each by itself
+            found = self._whole(words)
+            cuts = [np.cumsum(n) for _, n in found]
+        first = len(self.slot)
+        self.slot.update(zip(words, range(first, first + len(words))))
+        self.held = [(np.concatenate([starts, starts[-1] + cut]), np.concatenate([old, ids]))
+                     for (starts, old), (ids, _), cut in zip(self.held, found, cuts)]
+
+    def _encoded(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same as ``_whole``, each distinct word between single spaces encoded once: neither
+        tokenizer has a token that goes on behind the end of a word. Texts with other space
+        beside a space are handed over as a whole."""
+        odd = pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False) | (not self.by_word)
+        split = plain(pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " "))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.slot) + len(words) > _WORDS:
+            self.clear()
+        fresh = [w for w in words if w not in self.slot]
+        if fresh:
+            self._learn(fresh)
+        slots = np.fromiter((self.slot[w] for w in words), np.int64, len(words))[coded.indices.to_numpy()]
+        offsets = list_offsets(split)
+        whole = self._whole(texts.filter(pa.array(odd)).to_pylist()) if odd.any() else None
+        out = []
+        for side, (starts, ids) in enumerate(self.held):
+            counts = starts[slots + 1] - starts[slots]
+            ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+            flat = ids[np.repeat(starts[slots] - ends[:-1], counts) + np.arange(ends[-1])]
+            n = np.diff(ends[offsets])
+            if whole is not None:
+                owner = np.repeat(np.arange(len(n)), n)
+                more, lengths = whole[side]
+                owners = np.concatenate([owner[~odd[owner]], np.repeat(np.flatnonzero(odd), lengths)])
+                flat = np.concatenate([flat[~odd[owner]], more])[np.argsort(owners, kind="stable")]
+                n[odd] = lengths
+            out.append((flat, n))
+        return out
+
+    def encode(self, texts: pa.Array) -> "AlignedTexts":
+        texts = pc.fill_null(texts, "")
+        found = self._encoded(texts)
+        raw = [(" " + t).encode() if t else b"" for t in texts.to_pylist()]
+        same = np.array([len(r) > 0 for r in raw], bool)
+        for tokens, (flat, n) in zip((self.a_tokens, self.b_tokens), found):
             joined, ends = tokens.joined(flat), np.concatenate([[0], np.cumsum(tokens.sizes[flat])])
             bounds = ends[np.concatenate([[0], np.cumsum(n)])]
-            same &= np.array([joined[x:y] == r and len(r) > 0 for x, y, r in zip(bounds[:-1], bounds[1:], raw)], bool)
-        (a, n_a), (b, n_b) = ((flat[np.repeat(same, n)], np.where(same, n, 0)) for flat, n in zip(ids, counts))
+            same &= np.array([joined[x:y] == r for x, y, r in zip(bounds[:-1], bounds[1:], raw)], bool)
+        (a, n_a), (b, n_b) = ((flat[np.repeat(same, n)], np.where(same, n, 0)) for flat, n in found)
         return AlignedTexts(self, a, n_a, b, n_b)
 
 
@@ -275,7 +341,7 @@ def build_postings(docs: DataFrame, options: AlignmentOptions) -> DataFrame:
             start = 0
             while start < rows.num_rows:
                 part = rows.slice(start, options.block_documents - first)
-                texts = pair.encode(part.column("text").to_pylist())
+                texts = pair.encode(part.column("text"))
                 yield _document_rows(block, first, part.column("doc_id"), texts)
                 held.append(texts.pairs(first))
                 key = part.column("doc_id").type
@@ -381,7 +447,7 @@ def aligned_groups(docs: DataFrame, options: AlignmentOptions) -> DataFrame:
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(options)
         for rows in sliced(batches, "text", _SLICE):
-            groups = pair.encode(rows.column("text").to_pylist()).groups()
+            groups = pair.encode(rows.column("text")).groups()
             kind = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(groups, kind)], ["doc_id", "groups"])
 

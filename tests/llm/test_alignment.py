@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.dataset as ds
 import pytest
 from hypothesis import given, settings, strategies as st
 from sentencepiece import SentencePieceProcessor
@@ -76,15 +78,31 @@ def rows_by_hand(docs):
 @given(st.lists(st.none() | st.text(st.one_of(
     st.sampled_from(" \n\t'aetoinsé▁<|>½ﬁ東"), st.characters(codec="utf-8")), max_size=40), max_size=4))
 def test_texts(texts):
-    got = PAIR.encode(texts)
+    got = PAIR.encode(pa.array(texts, pa.string()))
     for text, groups, a, b, n_groups, n_links in zip(texts, got.groups(), got.n_a, got.n_b, got.n_groups, got.n_links):
         ids_a, ids_b, want, links = by_hand(text)
         assert [(g["a"], g["b"]) for g in groups] == want
         assert (a, b, n_groups, n_links) == (len(ids_a), len(ids_b), len(want), len(links))
 
 
+def test_a_full_memory_is_cleared(monkeypatch):
+    monkeypatch.setattr("groundsieve.llm.alignment._WORDS", 4)
+    pair = TokenizerPair(OPTIONS)
+    for texts in (["one two three", "four  five"], ["one six", None, "seven\neight nine ten", "one"], ["two ▁ x", "one"]):
+        got = pair.encode(pa.array(texts)).groups()
+        assert [[(g["a"], g["b"]) for g in x] for x in got] == [by_hand(t)[2] for t in texts]
+
+
+@pytest.mark.parametrize("folder", ["check_l", "check_h"])
+def test_words_one_by_one_give_the_ids_of_whole_texts(folder):
+    texts = next(ds.dataset(f"/root/testdata/{folder}/documents.parquet").to_batches(
+        columns=["text"], batch_size=1500)).column("text").slice(0, 1500)
+    for (ids, n), (want, lengths) in zip(PAIR._encoded(texts), PAIR._whole(texts.to_pylist())):
+        assert n.tolist() == lengths.tolist() and np.array_equal(ids, want)
+
+
 def test_tokens_that_are_not_given_back():
-    got = PAIR.encode(["a ▁ b", "<|endoftext|> <s>", "plain words"])
+    got = PAIR.encode(pa.array(["a ▁ b", "<|endoftext|> <s>", "plain words"]))
     assert got.n_a.tolist()[0] == 0 and got.n_b.tolist()[0] == 0 and min(got.n_a[1:]) > 0
 
 
