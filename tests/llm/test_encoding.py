@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -139,4 +141,7 @@ def test_best_fit_against_a_plain_form_and_the_bound(sizes):
     for k in range(16):
         lifted = sum(30 if s > 30 - k else s if s >= k else 0 for s in sizes)
         bounds.append(-(-lifted // 30))
+    for k in range(1, 31):  # rounded down to parts of k, or s / 30 itself where that is a whole number of them
+        total = sum(Fraction(s, 30) if (k + 1) * s % 30 == 0 else Fraction((k + 1) * s // 30, k) for s in sizes)
+        bounds.append(math.ceil(total))
     assert bin_bound(lengths, 30) == max(bounds) <= len(room)

@@ -22,8 +22,8 @@ def grams(w):
     return frozenset(w[k: k + 5] for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([w] if w else [])
 
 
-def brute_force(rows):
-    """(id, class id, links, copies) of every row."""
+def grouped(rows):
+    """The ids of each distinct text, its links, and a number of its class."""
     units = defaultdict(list)
     for i, t in rows:
         units[words(t)].append(i)
@@ -42,12 +42,18 @@ def brute_force(rows):
                 links[a] += 1
                 links[b] += 1
                 group[root(a)] = root(b)
+    return list(units.values()), links, [root(k) for k in range(len(texts))]
+
+
+def brute_force(rows):
+    """(id, class id, links, copies) of every row."""
+    units, links, classes = grouped(rows)
     first = {}
-    for k, w in enumerate(texts):
-        ids = [i for i in units[w] if i is not None] + [i for i in [first.get(root(k))] if i is not None]
-        first[root(k)] = min(ids, default=None)
-    return sorted((((i is None, i or 0), first[root(k)], links[k], len(units[w]) - 1)
-                  for k, w in enumerate(texts) for i in units[w]), key=repr)
+    for ids, c in zip(units, classes):
+        known = [i for i in [*ids, first.get(c)] if i is not None]
+        first[c] = min(known, default=None)
+    return sorted((((i is None, i or 0), first[c], n, len(ids) - 1)
+                  for ids, c, n in zip(units, classes, links) for i in ids), key=repr)
 
 
 def near_copy(text, rng, changes):
@@ -98,13 +104,11 @@ def test_first_of_each_class_stays(spark, copies):
 
 def test_first_stays_of_repeated_and_missing_ids(messy, messy_rows):
     kept = near_duplicates.keep_first(messy).collect()
-    classes = brute_force(messy_rows)
     # Rows 1, 1, 7 and one without id hold one story; no class has two rows left, none has none.
     left = [words(r.text) for r in kept]
     assert len(left) == len(set(left))
     assert sum(r.doc_id == 1 for r in kept) == 1 and sum(r.doc_id == 2 for r in kept) == 2
-    assert len(kept) == len({words(t) for _, t in messy_rows}) - sum(
-        1 for (none, i), c, n, _ in set(classes) if n and c != i)
+    assert len(kept) == len(set(grouped(messy_rows)[2]))
 
 
 def test_components(spark):
