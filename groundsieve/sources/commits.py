@@ -51,13 +51,14 @@ def write_run(tables: dict[str, DataFrame], path: str, run: str, key: str = "run
 
 
 def committed(spark: SparkSession, path: str) -> DataFrame:
-    """run, attempt, tables and committed_at of the attempt that counts of each run."""
+    """run, table, attempt and committed_at: of each run and table the attempt that counts."""
     rows = spark.read.schema(_COMMITS).parquet(f"{path}/commits")
     # What was committed before this read began. As a comparison it also tells Spark that the
     # list is selective, so the partitions of a table are pruned by it.
     rows = rows.where(F.col("committed_at") <= F.current_timestamp())
-    newest = F.max_by(F.struct("attempt", "tables", "committed_at"), F.struct("committed_at", "attempt"))
-    return rows.groupBy("run").agg(newest.alias("last")).select("run", "last.*")
+    newest = F.max(F.struct("committed_at", "attempt"))
+    return rows.withColumn("table", F.explode("tables")).groupBy("run", "table").agg(newest.alias("last")).select(
+        "run", "table", "last.*")
 
 
 def typed_partitions(spark: SparkSession, path: str, *names: str, form: str = "parquet") -> DataFrame:
@@ -74,8 +75,7 @@ def read_runs(spark: SparkSession, path: str, name: str, run: str | None = None,
     The list of commits is one row for each run; it travels to the scan, which opens only
     the partitions that it names.
     """
-    chosen = committed(spark, path).where(F.array_contains("tables", name)).select(
-        F.col("run").alias(key), "attempt")
+    chosen = committed(spark, path).where(F.col("table") == name).select(F.col("run").alias(key), "attempt")
     rows = typed_partitions(spark, f"{path}/{name}", key, "attempt", form=form)
     if run is not None:
         chosen, rows = chosen.where(F.col(key) == run), rows.where(F.col(key) == run)
@@ -90,4 +90,5 @@ def read_runs(spark: SparkSession, path: str, name: str, run: str | None = None,
 def lost_attempts(spark: SparkSession, path: str, name: str, key: str = "run") -> DataFrame:
     """run and attempt of partitions that no reader sees: replaced or never committed."""
     there = typed_partitions(spark, f"{path}/{name}", key, "attempt").select(key, "attempt").distinct()
-    return there.join(committed(spark, path).select(F.col("run").alias(key), "attempt"), [key, "attempt"], "left_anti")
+    counting = committed(spark, path).where(F.col("table") == name).select(F.col("run").alias(key), "attempt")
+    return there.join(counting, [key, "attempt"], "left_anti")

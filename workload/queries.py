@@ -15,6 +15,7 @@ from groundsieve.operators.dense import dense_search, embed_questions, hash_embe
 from groundsieve.operators.evidence import bundle_anchors
 from groundsieve.operators.fusion import count_broken_scores, rerank
 from groundsieve.operators.lexical import bm25_search, prepare_questions
+from groundsieve.operators.postings import block_search, read_postings, write_postings
 from groundsieve.operators.outputs import check_outputs, latest, resolve_attempts
 from groundsieve.operators.splitting import (
     context_windows, passages_table, sections_table, split_documents, windows_table,
@@ -24,7 +25,7 @@ from groundsieve.plans.evaluation import model_run, sweep, sweep_results
 from groundsieve.plans.ingest import ingest
 from groundsieve.plans.retrieval import debug_record
 from groundsieve.sources.corpus import parse_units, with_chapter_boundaries
-from groundsieve.sources.staging import spread
+from groundsieve.sources.staging import new_folder, spread
 from workload.data import (
     documents, eval_items, found, pair_scores, prepared, questions, quotes, table,
 )
@@ -200,6 +201,14 @@ def q_bm25_topk(spark, folder):
     return rows.select("query_id", "passage_id", "lexical_score", "rank_lexical")
 
 
+def q_bm25_topk_blocks(spark, folder):
+    """The same search over a stored index that skips blocks."""
+    base = prepared(spark, folder)
+    path = new_folder(spark, "postings")
+    write_postings(base.index.lexical, path)
+    return block_search(read_postings(spark, path), prepare_questions(base.questions), 10).hits
+
+
 def q_bm25_topk_compat(spark, folder):
     base = prepared(spark, folder, compat=True)
     asked = prepare_questions(base.questions, compat=True)
