@@ -549,6 +549,7 @@ def oracles() -> dict[str, str]:
         # Every seventh vector has a NaN, every eleventh is missing: neither is a hit.
         "dense_topk_broken": _dense_vectors("vec_id % 7 <> 3 AND vec_id % 11 <> 5"),
         "dense_topk_vectors": _dense_vectors("true"),
+        "dense_topk_cells": _dense_vectors("true"),
         "hybrid_fusion": f"SELECT {candidate.format(boost='0.0::DOUBLE')}, CASE WHEN both_found THEN "
                          f"'lexical+dense' WHEN ls IS NULL THEN 'dense' ELSE 'lexical' END AS "
                          f"source_methods FROM base",

@@ -11,6 +11,7 @@ from groundsieve.functions.text import (
 )
 from groundsieve.functions.vectors import l2_normalize
 from groundsieve.operators import answers as ans, evaluation as ev, prompts
+from groundsieve.operators.cells import build_cells, cell_search, read_cells, write_cells
 from groundsieve.operators.dense import dense_search, embed_questions, hash_embedding
 from groundsieve.operators.evidence import bundle_anchors
 from groundsieve.operators.fusion import count_broken_scores, rerank
@@ -242,6 +243,15 @@ def q_dense_topk_vectors(spark, folder):
     return dense_search(vectors, _centres(rows), 10, dims=64, hashed=False)
 
 
+def q_dense_topk_cells(spark, folder):
+    """The same from a stored index of cells, those that cannot reach the k-th score left out."""
+    rows = table(spark, folder, "embeddings")
+    path = new_folder(spark, "cells")
+    write_cells(build_cells(rows.select(F.col("vec_id").cast("string").alias("passage_id"),
+                                        F.col("embedding").alias("vector")), 64), path)
+    return cell_search(read_cells(spark, path), _centres(rows), 10).hits
+
+
 def _centres(rows: DataFrame) -> DataFrame:
     parts = rows.select("label", F.posexplode("embedding").alias("dim", "x")).groupBy(
         "label", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
