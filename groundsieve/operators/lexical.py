@@ -55,10 +55,14 @@ def _raw_idf(n: Column, df: Column) -> Column:
 def corpus_statistics(passage_terms: DataFrame, term_stats: DataFrame) -> DataFrame:
     sizes = passage_terms.agg(
         F.count("*").alias("n_passages"), F.avg("length").alias("mean_length"))
+    return mean_idf(sizes, term_stats)
+
+
+def mean_idf(sizes: DataFrame, term_stats: DataFrame) -> DataFrame:
+    """The one row of sizes(n_passages, mean_length) with the mean idf of all terms."""
     n = sizes.select("n_passages").scalar()
     raw = term_stats.select(_raw_idf(n, F.col("df")).alias("raw"))
-    mean_idf = raw.agg(F.avg("raw").alias("mean_idf"))
-    return sizes.withColumn("mean_idf", mean_idf.scalar())
+    return sizes.withColumn("mean_idf", raw.agg(F.avg("raw").alias("mean_idf")).scalar())
 
 
 def build_lexical_index(passages: DataFrame, compat: bool = False) -> LexicalIndex:

@@ -7,12 +7,13 @@ the attempts that the commits name: of several for a run the latest, so a run th
 is tried again replaces what it wrote before, all tables at once, and one that
 was killed on the way leaves nothing that is read.
 
-The partition columns are declared as strings. Left to inference, the runs ``1``, ``01``
-and ``1.0`` would be one.
+The commit also declares the columns of each table. The partition columns are strings: left to
+inference, the runs ``1``, ``01`` and ``1.0`` would be one.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -20,7 +21,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from groundsieve.sources.staging import bounded
 
-_COMMITS = "run string, attempt string, tables array<string>, committed_at timestamp"
+_TABLES = "array<struct<name:string,schema:string>>"
+_COMMITS = f"run string, attempt string, tables {_TABLES}, committed_at timestamp"
 
 
 def write_attempt(tables: dict[str, DataFrame], path: str, run: str, key: str = "run",
@@ -35,9 +37,11 @@ def write_attempt(tables: dict[str, DataFrame], path: str, run: str, key: str =
     return attempt
 
 
-def commit(spark: SparkSession, path: str, run: str, attempt: str, tables: list[str]) -> None:
+def commit(path: str, run: str, attempt: str, tables: dict[str, DataFrame], key: str = "run") -> None:
     """Makes an attempt count. Committing it again changes nothing."""
-    row = spark.createDataFrame([(run, attempt, tables)], "run string, attempt string, tables array<string>")
+    spark = next(iter(tables.values())).sparkSession
+    schemas = [(name, rows.drop(key, "attempt").schema.json()) for name, rows in sorted(tables.items())]
+    row = spark.createDataFrame([(run, attempt, schemas)], f"run string, attempt string, tables {_TABLES}")
     row.withColumn("committed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(
         f"{path}/commits")
 
@@ -46,26 +50,31 @@ def write_run(tables: dict[str, DataFrame], path: str, run: str, key: str = "run
               form: str = "parquet") -> str:
     """Writes and commits the tables of a run; returns the name of the attempt."""
     attempt = write_attempt(tables, path, run, key, form)
-    commit(next(iter(tables.values())).sparkSession, path, run, attempt, sorted(tables))
+    commit(path, run, attempt, tables, key)
     return attempt
 
 
 def committed(spark: SparkSession, path: str) -> DataFrame:
-    """run, table, attempt and committed_at: of each run and table the attempt that counts."""
+    """run, table, committed_at, attempt and schema: of each run and table the attempt that counts."""
     rows = spark.read.schema(_COMMITS).parquet(f"{path}/commits")
     # What was committed before this read began. As a comparison it also tells Spark that the
     # list is selective, so the partitions of a table are pruned by it.
-    rows = rows.where(F.col("committed_at") <= F.current_timestamp())
-    newest = F.max(F.struct("committed_at", "attempt"))
-    return rows.withColumn("table", F.explode("tables")).groupBy("run", "table").agg(newest.alias("last")).select(
-        "run", "table", "last.*")
+    rows = rows.where(F.col("committed_at") <= F.current_timestamp()).select(
+        "run", "attempt", "committed_at", F.inline("tables")).withColumnRenamed("name", "table")
+    newest = F.max(F.struct("committed_at", "attempt", "schema"))
+    return rows.groupBy("run", "table").agg(newest.alias("last")).select("run", "table", "last.*")
 
 
-def typed_partitions(spark: SparkSession, path: str, *names: str, form: str = "parquet") -> DataFrame:
-    """A partitioned table whose partition columns ``names`` are strings, as written."""
-    found = spark.read.format(form).load(path).schema
-    schema = StructType([StructField(f.name, StringType()) if f.name in names else f for f in found])
-    return spark.read.schema(schema).format(form).load(path)
+def stored_table(spark: SparkSession, path: str, name: str, key: str = "run", form: str = "parquet") -> DataFrame:
+    """All rows of a table, also those that do not count, with the columns that its commits
+    declare: fields of any of its runs, and ``key`` and attempt as strings."""
+    fields: dict[str, StructField] = {}
+    schemas = committed(spark, path).where(F.col("table") == name).groupBy("schema").agg(
+        F.max("committed_at").alias("at")).orderBy("at").collect()  # one row for each form the table has had
+    for row in schemas:
+        fields |= {f.name: StructField(f.name, f.dataType) for f in StructType.fromJson(json.loads(row["schema"]))}
+    partitions = [StructField(c, StringType()) for c in (key, "attempt")]
+    return spark.read.schema(StructType([*fields.values(), *partitions])).format(form).load(f"{path}/{name}")
 
 
 def read_runs(spark: SparkSession, path: str, name: str, run: str | None = None, key: str = "run",
@@ -76,7 +85,7 @@ def read_runs(spark: SparkSession, path: str, name: str, run: str | None = None,
     the partitions that it names.
     """
     chosen = committed(spark, path).where(F.col("table") == name).select(F.col("run").alias(key), "attempt")
-    rows = typed_partitions(spark, f"{path}/{name}", key, "attempt", form=form)
+    rows = stored_table(spark, path, name, key, form)
     if run is not None:
         chosen, rows = chosen.where(F.col(key) == run), rows.where(F.col(key) == run)
     if runs is not None:
@@ -89,6 +98,6 @@ def read_runs(spark: SparkSession, path: str, name: str, run: str | None = None,
 
 def lost_attempts(spark: SparkSession, path: str, name: str, key: str = "run") -> DataFrame:
     """run and attempt of partitions that no reader sees: replaced or never committed."""
-    there = typed_partitions(spark, f"{path}/{name}", key, "attempt").select(key, "attempt").distinct()
+    there = stored_table(spark, path, name, key).select(key, "attempt").distinct()
     counting = committed(spark, path).where(F.col("table") == name).select(F.col("run").alias(key), "attempt")
     return there.join(counting, [key, "attempt"], "left_anti")

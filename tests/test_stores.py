@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from groundsieve.plans.ingest import build_index, ingest
 from groundsieve.sources import corpus as C, tables
 from groundsieve.sources.commits import (
-    commit, committed, lost_attempts, read_runs, typed_partitions, write_attempt, write_run,
+    commit, committed, lost_attempts, read_runs, write_attempt, write_run,
 )
 
 NAMES = ["1", "01", "1.0", "a/b", "a=b", "50%", "é ü", "null", "2024-01-01", "A", "a"]
@@ -51,10 +51,21 @@ def test_a_killed_run_leaves_nothing_that_is_read(spark, tmp_path):
     assert read(spark, path) == [("x", 1)]
     assert sorted(r["run"] for r in lost_attempts(spark, path, "t").collect()) == ["x", "y", "z"]
     for _ in range(2):  # a commit that is repeated counts once
-        commit(spark, path, "x", attempt, ["t"])
+        commit(path, "x", attempt, {"t": numbers(spark)})
     assert read(spark, path) == [("x", 9)] and committed(spark, path).count() == 1
 
 
+def test_runs_of_other_columns(spark, tmp_path):
+    for form in ("parquet", "json"):
+        path = str(tmp_path / form)
+        write_run({"t": numbers(spark, 1)}, path, "x", form=form)
+        write_run({"t": spark.createDataFrame([("a", 2)], "s string, n int")}, path, "y", form=form)
+        write_run({"t": spark.createDataFrame([], "n int, more double")}, path, "z", form=form)
+        rows = read_runs(spark, path, "t", form=form)
+        assert rows.select("n", "s", "more", "run").orderBy("run").collect() == [(1, None, None, "x"), (2, "a", None, "y")]
+    assert read_runs(spark, path, "t", "z", form="json").count() == 0
+
+
 def test_a_run_needs_a_name(spark, tmp_path):
     with pytest.raises(ValueError):
         write_run({"t": numbers(spark, 1)}, str(tmp_path), "")

@@ -534,6 +534,8 @@ def oracles() -> dict[str, str]:
                                 rows="bm WHERE score > 0"),
         "bm25_topk_blocks": top.format(score="lexical_score", rank="rank_lexical", k=10,
                                        rows="bm WHERE score > 0"),
+        "bm25_topk_segments": top.format(score="lexical_score", rank="rank_lexical", k=10,
+                                         rows="bm WHERE score > 0"),
         "bm25_topk_compat": top.format(
             score="lexical_score", rank="rank_lexical", k=30,
             rows="(SELECT qs.query_id, pas.passage_id, coalesce(b.score, 0.0) AS score FROM qs CROSS "

@@ -25,6 +25,7 @@ from groundsieve.plans.answering import Answers, answer
 from groundsieve.plans.evaluation import model_run, sweep, sweep_results
 from groundsieve.plans.ingest import ingest
 from groundsieve.plans.retrieval import debug_record
+from groundsieve.plans.segments import compact_segments, create_segments, open_segments, update_segments
 from groundsieve.sources.corpus import parse_units, with_chapter_boundaries
 from groundsieve.sources.staging import new_folder, spread
 from workload.data import (
@@ -210,6 +211,21 @@ def q_bm25_topk_blocks(spark, folder):
     return block_search(read_postings(spark, path), prepare_questions(base.questions), 10).hits
 
 
+def q_bm25_topk_segments(spark, folder):
+    """The same search over a store that came to hold all documents by changes: it starts without
+    some, with a wrong text of others, and with some twice."""
+    docs, path, n = documents(spark, folder), new_folder(spark, "segments"), F.col("document_id").cast("int") % 10
+    old = docs.where(n != 3).withColumn("text", F.when(n == 5, F.reverse("text")).otherwise(F.col("text")))
+    twice = docs.where(n == 7).withColumn("document_id", F.concat(F.lit("copy-"), "document_id"))
+    create_segments(old.unionByName(twice), path)
+    update_segments(path, docs.where(n == 3), twice)
+    compact_segments(spark, path)
+    update_segments(path, docs.where(n == 5))
+    index = open_segments(spark, path)
+    return bm25_search(index.lexical, prepare_questions(questions(spark, folder)), 10).select(
+        "query_id", "passage_id", "lexical_score", "rank_lexical")
+
+
 def q_bm25_topk_compat(spark, folder):
     base = prepared(spark, folder, compat=True)
     asked = prepare_questions(base.questions, compat=True)
