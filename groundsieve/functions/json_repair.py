@@ -10,7 +10,8 @@ _STRING_OR_BRACKET = {
     "{": re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|([{}])', re.DOTALL),
     "[": re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|([\[\]])', re.DOTALL),
 }
-_FENCE = "```"
+_VALUE = re.compile(r"\{.*\}|\[.*\]", re.DOTALL)
+_FENCED = re.compile(r"```.*\n((?:.|\n)*?)(?:\n```\s*)?")
 
 
 def first_block(text: str) -> str | None:
@@ -28,25 +29,15 @@ def first_block(text: str) -> str | None:
 
 
 def without_fence(text: str) -> str:
-    """The text between the lines of a code fence, if it starts with one."""
-    if not text.startswith(_FENCE):
-        return text
-    body = text.splitlines()[1:]
-    if body and body[-1].strip() == _FENCE:
-        body.pop()
-    return "\n".join(body).strip()
-
-
-def _bracketed(text: str | None) -> bool:
-    return bool(text) and (text[0], text[-1]) in {("{", "}"), ("[", "]")}
+    """What stands below the first line of a code fence, without the line that ends it."""
+    fenced = _FENCED.fullmatch(text)
+    return fenced.group(1).strip() if fenced else text
 
 
 def json_candidate(text: str) -> str | None:
-    """The first thing in the output that looks like JSON: the output itself or
-    its first block, then the same without the code fence."""
+    """What may be the JSON value of an output: all of it if its ends look like one, else the
+    first balanced block, which may stand below a fence whose own line has a bracket."""
     whole = text.strip()
-    for form in (whole, without_fence(whole)):
-        for option in (form, first_block(form)):
-            if _bracketed(option):
-                return option
-    return None
+    if _VALUE.fullmatch(whole):
+        return whole
+    return first_block(whole) or first_block(without_fence(whole))

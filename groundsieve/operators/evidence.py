@@ -32,10 +32,9 @@ def expand_context(
         if column not in known:
             base = base.withColumn(f"own_{column}", F.lit(None).cast(kind))
     keys = anchors.select("passage_id").distinct()
-    small = bounded(keys, BROADCAST_ROWS // (2 * radius + 1))
 
     def sent(rows: DataFrame) -> DataFrame:
-        return F.broadcast(rows) if small else rows
+        return F.broadcast(rows) if bounded(rows, BROADCAST_ROWS) else rows
 
     # The passages are only ever filtered by what the anchors ask for, so with
     # few anchors they are scanned in place and never shuffled. The anchors'
