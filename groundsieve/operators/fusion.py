@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from groundsieve.config import SCORE_DIGITS
+from groundsieve.functions import scoring
 from groundsieve.operators.topk import ranked
 
+# What runs in the workers travels with the tasks instead of being imported there.
+cloudpickle.register_pickle_by_value(scoring)
+
 _KEYS = ("query_id",)
 
 
@@ -59,6 +68,7 @@ def fuse_scores(
 def rerank(
     candidates: DataFrame, top_k, pair_scores: DataFrame | None = None,
     compat: Column | bool = False, enabled: Column | bool = True, by: tuple = _KEYS,
+    whole_queries: bool = False,
 ) -> DataFrame:
     """Reorders the first ``top_k`` candidates by an outside score per (query, passage).
 
@@ -78,6 +88,8 @@ def rerank(
     outside, quirk = _setting(enabled), _setting(compat)
     broken = F.max(F.isnan(F.coalesce("_pair", F.lit(0.0)))).over(W.partitionBy(*by))
     usable = outside & F.col("_pair").isNotNull() & ~F.isnan("_pair")
+    if whole_queries:
+        usable = F.min(F.coalesce(usable, F.lit(False))).over(W.partitionBy(*by))
     own = F.when(usable, F.round("_pair", SCORE_DIGITS)).otherwise(F.col("hybrid_score"))
     scored = scored.withColumn("_key", F.when(
         quirk, F.when(outside & ~broken, F.coalesce("_pair", F.lit(0.0))).otherwise(0.0),
@@ -97,6 +109,33 @@ def score_pairs(candidates: DataFrame, questions: DataFrame, passages: DataFrame
     )
 
 
+def score_pairs_in_batches(
+    candidates: DataFrame, questions: DataFrame, passages: DataFrame, make_scorer: Callable,
+    batch: int = 64,
+) -> DataFrame:
+    """query_id, passage_id, score and error from a scorer that is dear to make.
+
+    ``make_scorer()`` is called once for each Python worker and returns a function of two
+    lists, questions and texts, that gives a list of numbers. Pairs go to it in batches
+    of like length. A batch that fails is scored query by query; a query that still
+    fails has null scores and the reason of it, and the others are not touched.
+    """
+    pairs = candidates.select("query_id", "passage_id").join(
+        questions.select("query_id", "normalized_question"), "query_id").join(
+        passages.select("passage_id", "text"), "passage_id")
+    name = f"scorer-{uuid.uuid4().hex}"
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = scoring.held_scorer(name, make_scorer)
+        for rows in batches:
+            if rows.num_rows:
+                yield scoring.scored_batch(rows, scorer, batch)
+
+    # All pairs of a query in one task, so that what fails is asked once.
+    return pairs.repartition("query_id").mapInArrow(
+        score, "query_id string, passage_id string, score double, error string")
+
+
 def count_broken_scores(pair_scores: DataFrame) -> DataFrame:
     """Per query how many outside scores are missing or NaN."""
     bad = F.col("score").isNull() | F.isnan("score")

@@ -12,10 +12,10 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Whole text files as documents, named by their place below ``path``: files of one name in
     two folders are two documents. Spark raises if the path does not exist."""
     files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    return files.select(_place_below(path).alias("document_id"), F.col("value").alias("text"))
+    return files.select(place_below(path).alias("document_id"), F.col("value").alias("text"))
 
 
-def _place_below(path: str) -> Column:
+def place_below(path: str) -> Column:
     """The file's path below a folder; the bare name for the file itself, the whole path for a pattern."""
     full = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     if any(c in path for c in "*?[{"):

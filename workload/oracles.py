@@ -65,6 +65,10 @@ def word_list(x: str) -> str:
     return f"list_filter(string_split(regexp_replace({x}, '\\s+', ' ', 'g'), ' '), lambda w: w <> '')"
 
 
+def letter_words(x: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({x}), '[a-z]+'))"
+
+
 def first_k(ids: str, relevant: str, k: int) -> str:
     return f"len(list_filter({ids}[1:{k}], lambda i: list_contains({relevant}, i)))"
 
@@ -438,6 +442,11 @@ CTES |= {
              f"JOIN bun b ON b.query_id = c.query_id AND b.passage_id = c.passage_id",
     "verdict": "SELECT query_id, good, bad, CASE WHEN len(bad) > 0 THEN 'fail' ELSE "
                "'pass_with_warnings' END AS status FROM claims",
+    # Reports of a stand-in verifier.
+    "model_said": "SELECT d.query_id, n4 AS n, CASE WHEN fallback THEN 'skip' WHEN n4 = 3 THEN 'lost' ELSE 'structured' END AS "
+                  "how, CASE WHEN n4 = 1 THEN 'fail' ELSE 'pass' END AS said, status, good, bad, ni, CASE WHEN fallback THEN "
+                  "good ELSE ['c1', 'c2'] END AS every FROM (SELECT *, query_id::INTEGER % 4 AS n4 FROM drafts) d JOIN "
+                  "verdict USING (query_id) JOIN (SELECT query_id, count(issue) AS ni FROM cited GROUP BY query_id) USING (query_id)",
     "grounded": "SELECT v.query_id, CASE WHEN d.fallback THEN 1.0 WHEN d.kind = 2 THEN 0.5 ELSE 1.0 "
                 "END AS cvr, len(good) / (len(good) + len(bad)) AS csr, len(bad) AS open, status FROM "
                 "verdict v JOIN drafts d USING (query_id)",
@@ -711,12 +720,66 @@ def oracles() -> dict[str, str]:
         "latest_artifact": "SELECT query_id, turn, role, text FROM (SELECT conv_id::VARCHAR AS "
                            "query_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER "
                            "BY turn DESC) AS k FROM conversations) WHERE k = 1",
+        "bm25_topk_saved": top.format(score="lexical_score", rank="rank_lexical", k=10,
+                                      rows="bm WHERE score > 0"),
+        "rerank_scorer": "SELECT query_id, passage_id, round(rs, 6) AS rerank_score, rr::INTEGER AS rank_rerank FROM ("
+                         "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rs DESC, rh) - 1 AS rr FROM ("
+                         "SELECT b.query_id, b.passage_id, b.rh, CASE WHEN lower(left(nq, 1)) IN ('a', 'e', 'i', 'o', 'u') "
+                         f"THEN h ELSE round(len(list_intersect({letter_words('nq')}, {letter_words('text')})) / "
+                         f"greatest(len({letter_words('nq')}), 1), 6) END AS rs FROM base b JOIN qs USING (query_id) "
+                         "JOIN pas USING (passage_id) WHERE rh < 25))",
+        "unit_rejects": "SELECT doc_id::VARCHAR AS document_id, count(*) AS n_lines, count_if(why = '')::BIGINT AS n_units, "
+                        "count_if(why = 'blank')::BIGINT AS n_blank, count_if(why = 'short')::BIGINT AS n_short, "
+                        "count_if(why = 'chapter')::BIGINT AS n_chapter FROM (SELECT doc_id, CASE WHEN trim(line, ' ') = '' "
+                        "THEN 'blank' WHEN len(string_split(line, '|')) < 3 THEN 'short' WHEN try_cast(trim("
+                        "string_split(line, '|')[1], ' ') AS INTEGER) IS NULL THEN 'chapter' ELSE '' END AS why FROM "
+                        f"(SELECT doc_id, unnest(string_split(t, {NL})) AS line FROM unit_docs)) GROUP BY doc_id",
+        "question_rejects": "WITH i AS (SELECT item_id, item_id // 10 AS g, item_id % 7 AS kind, text, row_number() OVER ("
+                            "PARTITION BY item_id // 10 ORDER BY item_id) - 1 AS place FROM benchmark) SELECT "
+                            "g::VARCHAR AS file, place::INTEGER AS place, CASE WHEN kind NOT IN (1, 2, 3) THEN item_id::VARCHAR "
+                            "END AS query_id, CASE WHEN kind NOT IN (1, 2, 3) THEN text END AS question, CASE WHEN kind NOT "
+                            "IN (1, 2, 3) THEN 'p1' END AS expected_ids, CASE kind WHEN 1 THEN 'question is missing' WHEN 2 THEN "
+                            "'expected_relevant_passage_ids has the wrong type' WHEN 3 THEN 'no object' END AS reason "
+                            "FROM i WHERE g % 4 <> 3 UNION ALL SELECT DISTINCT g::VARCHAR, NULL::INTEGER, NULL, NULL, NULL, "
+                            "'no JSON' FROM i WHERE g % 4 = 3",
+        "project_documents": "SELECT source AS project_id, count(*) AS n_documents, sum(length(text))::BIGINT AS n_chars FROM "
+                             "documents WHERE source IN (SELECT source FROM documents GROUP BY source ORDER BY source "
+                             "LIMIT 3) GROUP BY source",
+        "stored_candidates": "SELECT query_id, passage_id, CASE WHEN rs <> 0 THEN rs ELSE h END AS raw_score, "
+                             "rr::INTEGER AS rank FROM rer",
+        "stored_results": "SELECT query_id, " + ", ".join(
+            f"{m}_at_{k}" for k in (5, 10, 20) for m in ("hit", "recall", "precision"))
+            + f", mrr, '1' AS label FROM (SELECT query_id, {_metric_columns(True)} FROM judged)",
+        "failure_histogram": "SELECT 'shifted' AS label, kind AS failure_type, count(*) AS count FROM (SELECT CASE WHEN NOT "
+                             "list_has_any(coalesce(l, []), b.g) THEN 'lexical_miss' WHEN NOT list_has_any(coalesce(d, []), "
+                             "b.g) THEN 'dense_miss' WHEN list_has_any(coalesce(m, []), b.g) THEN 'rerank_miss' ELSE "
+                             "'unknown' END AS kind FROM gold q JOIN gold b ON b.query_id::INTEGER + 1 = q.query_id::INTEGER "
+                             "LEFT JOIN ids_l ON ids_l.query_id = q.query_id LEFT JOIN ids_d ON ids_d.query_id = q.query_id "
+                             "LEFT JOIN ids_m ON ids_m.query_id = q.query_id LEFT JOIN ids_r ON ids_r.query_id = q.query_id "
+                             "WHERE len(b.g) > 0 AND NOT list_has_any(coalesce(r, []), b.g)) GROUP BY kind",
+        "model_reports": "SELECT query_id, CASE WHEN how = 'structured' THEN said ELSE status END AS status, CASE how WHEN "
+                         "'skip' THEN 'deterministic_skip' WHEN 'lost' THEN 'deterministic_fallback' ELSE how END AS mode, "
+                         "CASE WHEN how = 'skip' THEN 0 WHEN n IN (2, 3) THEN 3 ELSE 1 END::INTEGER AS attempts, "
+                         "array_to_string(CASE WHEN how = 'structured' THEN every ELSE good END, ' ') AS supported, "
+                         "array_to_string(CASE WHEN how <> 'structured' THEN bad WHEN n = 1 THEN [every[1]] ELSE [] END, ' ') "
+                         "AS unsupported, CASE WHEN how = 'structured' THEN 1 ELSE ni END::INTEGER AS n_issues FROM model_said",
+        "model_responses": "SELECT query_id, CASE WHEN how = 'structured' THEN said ELSE status END AS verification_status, "
+                           "CASE WHEN how = 'structured' THEN said ELSE status END <> 'fail' AS answered FROM model_said",
+        "correction_prompts": "SELECT query_id, attempt, stage AS failure_stage, true AS begins, true AS ends FROM checked "
+                              "WHERE stage IN ('json_parse', 'schema_validation')",
+        "retrieval_metrics_alternatives": f"SELECT query_id, {_metric_columns(True)} FROM (SELECT j.query_id, list_distinct("
+                                          "list_concat(j.g, coalesce(o.g, []))) AS g, j.ids, j.anchors FROM judged j LEFT "
+                                          "JOIN judged o ON o.query_id::INTEGER + 1 = j.query_id::INTEGER)",
         "query_overview": "SELECT query_id, question, CASE WHEN fallback THEN array_to_string(texts, "
                           "' ') ELSE t1 END AS final_answer, nc::INTEGER AS n_citations, status AS "
                           "verification_status FROM qs JOIN drafts USING (query_id) JOIN verdict USING "
                           "(query_id) JOIN (SELECT query_id, count(*) AS nc FROM cites GROUP BY "
                           "query_id) USING (query_id)",
     }
+    queries["eval_run"] = queries["run_summary"]
+    queries["eval_run_retrieval"] = (
+        "SELECT * EXCLUDE (citation_validity_rate, claim_support_rate, avg_unsupported_claims) FROM ("
+        + queries["run_summary"] + ")")
     return {name: _combined(sql) for name, sql in queries.items()}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from groundsieve.config import DEFAULT_EXPANSIONS, RetrievalConfig
-from groundsieve.functions.outputs import ANSWER
+from groundsieve.functions.outputs import ANSWER, REPORT
 from groundsieve.functions.text import (
     infer_passage_strategy, lexical_tokens, normalize_question, normalize_text, token_count,
 )
@@ -14,7 +14,7 @@ from groundsieve.operators import answers as ans, evaluation as ev, prompts
 from groundsieve.operators.cells import build_cells, cell_search, read_cells, write_cells
 from groundsieve.operators.dense import dense_search, embed_questions, hash_embedding
 from groundsieve.operators.evidence import bundle_anchors
-from groundsieve.operators.fusion import count_broken_scores, rerank
+from groundsieve.operators.fusion import count_broken_scores, rerank, score_pairs_in_batches
 from groundsieve.operators.lexical import bm25_search, prepare_questions
 from groundsieve.operators.postings import block_search, read_postings, write_postings
 from groundsieve.operators.outputs import check_outputs, latest, resolve_attempts
@@ -22,12 +22,16 @@ from groundsieve.operators.splitting import (
     context_windows, passages_table, sections_table, split_documents, windows_table,
 )
 from groundsieve.plans.answering import Answers, answer
-from groundsieve.plans.evaluation import model_run, sweep, sweep_results
+from groundsieve.plans.evaluation import model_run, run_eval, sweep, sweep_results
 from groundsieve.plans.ingest import ingest
 from groundsieve.plans.retrieval import debug_record
 from groundsieve.plans.segments import compact_segments, create_segments, open_segments, update_segments
 from groundsieve.sources.corpus import parse_units, with_chapter_boundaries
+from groundsieve.sources.rejects import check_eval_items, check_units
 from groundsieve.sources.staging import new_folder, spread
+from groundsieve.sources.tables import (
+    load_documents, load_index, read_candidates, read_results, save_candidates, save_documents, save_index, save_results,
+)
 from workload.data import (
     documents, eval_items, found, pair_scores, prepared, questions, quotes, table,
 )
@@ -323,6 +327,26 @@ def q_broken_pair_scores(spark, folder):
     return count_broken_scores(pair_scores(prepared(spark, folder)))
 
 
+def q_rerank_scorer(spark, folder):
+    """Reranked by a scorer that fails for some questions, which keep their hybrid order as a whole."""
+    def term_share():
+        import re
+
+        def score(asked: list, texts: list) -> list:
+            if any(q[:1].lower() in "aeiou" for q in asked):
+                raise ValueError("a vowel")
+            words = [[set(re.findall("[a-z]+", x.lower())) for x in pair] for pair in zip(asked, texts)]
+            return [len(q & t) / max(len(q), 1) for q, t in words]
+
+        return score
+
+    base, run = prepared(spark, folder), found(spark, folder)
+    top = run.merged.where("rank_hybrid < 25")
+    scores = score_pairs_in_batches(top, base.candidates.questions, base.index.passages, term_share, 16)
+    rows = rerank(run.merged, 25, scores, whole_queries=True)
+    return rows.select("query_id", "passage_id", F.round("rerank_score", 6).alias("rerank_score"), "rank_rerank")
+
+
 def q_context_expand(spark, folder):
     rows = found(spark, folder, with_pairs=True).contexts
     return rows.select("query_id", "passage_id", "anchor_text", "section_title",
@@ -614,5 +638,163 @@ def q_query_overview(spark, folder):
                        .alias("n_citations"), "verification_status")
 
 
+def q_unit_rejects(spark, folder):
+    """Per document its numbered lines, those that are units and those that are not, by reason."""
+    docs = documents(spark, folder, _unit_text(F.col("text")), sectioning="explicit")
+    rows = check_units(docs).groupBy("document_id")
+    return rows.agg(
+        F.count("*").alias("n_lines"), F.count_if(F.col("reason").isNull()).alias("n_units"),
+        *[F.count_if(F.col("reason") == reason).alias(name) for name, reason in (
+            ("n_blank", "blank"), ("n_short", "fewer than three fields"), ("n_chapter", "chapter is no number"))])
+
+
+def q_question_rejects(spark, folder):
+    """The benchmark as question files of ten items, some broken; items that pass and rejects with
+    their reasons. Every fourth file is cut off."""
+    n = F.col("item_id")
+    item = F.to_json(F.struct(
+        n.cast("string").alias("id"), F.col("text").alias("question"),
+        F.array(F.lit("p1")).alias("expected_relevant_passage_ids")))
+    item = F.when(n % 7 == 1, F.replace(item, F.lit('"question"'), F.lit('"asked"'))).when(
+        n % 7 == 2, F.replace(item, F.lit('["p1"]'), F.lit('"p1"'))).when(
+        n % 7 == 3, F.concat(F.lit('"'), n.cast("string"), F.lit('"'))).otherwise(item)
+    group = F.floor(n / 10).alias("g")
+    rows = table(spark, folder, "benchmark").select(group, F.struct(n.alias("n"), item.alias("item")).alias("i"))
+    text = F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("i"))["item"], ","), F.lit("]"))
+    files = rows.groupBy("g").agg(text.alias("value")).select(
+        "g", F.when(F.col("g") % 4 == 3, F.substring("value", 1, 40)).otherwise(F.col("value")).alias("value"))
+    path = new_folder(spark, "questions")
+    files.write.partitionBy("g").text(path)
+    checked = check_eval_items(spark, path)
+    return checked.select(
+        F.regexp_extract("source", r"g=(\d+)", 1).alias("file"), "place",
+        F.when(F.col("reason").isNull(), F.col("query_id")).alias("query_id"),
+        F.when(F.col("reason").isNull(), F.col("question")).alias("question"),
+        F.when(F.col("reason").isNull(), F.array_join("expected_ids", " ")).alias("expected_ids"), "reason")
+
+
+def q_bm25_topk_saved(spark, folder):
+    """The same search over an index that was saved, beside one of a project with a like name."""
+    base, path = prepared(spark, folder), new_folder(spark, "projects")
+    save_index(base.index, path, "1")
+    save_index(base.index, path, "01")
+    index = load_index(spark, path, "01")
+    return bm25_search(index.lexical, prepare_questions(base.questions), 10).select(
+        "query_id", "passage_id", "lexical_score", "rank_lexical")
+
+
+def q_project_documents(spark, folder):
+    """Documents stored by source as projects, three of which are read."""
+    docs = table(spark, folder, "documents")
+    names = sorted(r[0] for r in docs.select("source").distinct().collect())  # a project each
+    path = new_folder(spark, "projects")
+    for name in names:
+        save_documents(docs.where(F.col("source") == name).select("doc_id", "text"), path, name)
+    wanted = spark.createDataFrame([(n,) for n in names[:3]], "project string")
+    return load_documents(spark, path, wanted).groupBy("project_id").agg(
+        F.count("*").alias("n_documents"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def q_stored_candidates(spark, folder):
+    """Candidates saved twice under the name of their run, and read back in rank order."""
+    path = new_folder(spark, "candidates")
+    for _ in range(2):
+        save_candidates(found(spark, folder, with_pairs=True).reranked, path, "run 1")
+    return read_candidates(spark, path).select("query_id", "passage_id", "raw_score", "rank")
+
+
+def q_stored_results(spark, folder):
+    """Metrics saved under two labels that are one number, the first of them twice."""
+    path, rows = new_folder(spark, "results"), _evaluated(spark, folder).select("query_id", *_METRICS)
+    for label in ("1", "1.0", "1"):
+        save_results(rows, path, label)
+    return read_results(spark, path, "1").select("query_id", *[F.round(m, 6).alias(m) for m in _METRICS], "label")
+
+
+def q_eval_run(spark, folder):
+    """A whole evaluation in one call, from questions to the summary."""
+    base, bundles = prepared(spark, folder), found(spark, folder, with_pairs=True).bundles
+    answers = resolve_attempts(check_outputs(_model_answers(bundles), ANSWER))
+    return run_eval(eval_items(base), base.index, answers=answers, pair_scores=pair_scores(base)).summary
+
+
+def q_eval_run_retrieval(spark, folder):
+    """The same without answers."""
+    base = prepared(spark, folder)
+    return run_eval(eval_items(base), base.index, pair_scores=pair_scores(base), generation=False).summary
+
+
+def _before(base) -> DataFrame:
+    """query_id and the gold of the question before."""
+    return eval_items(base).select((F.col("query_id").cast("int") + 1).cast("string").alias("query_id"),
+                                   F.col("expected_ids").alias("gold_before"))
+
+
+def q_failure_histogram(spark, folder):
+    """Failures by type where the gold of every question is that of the one before."""
+    base, run = prepared(spark, folder), found(spark, folder, with_pairs=True)
+    items = base.questions.join(_before(base), "query_id").withColumnRenamed("gold_before", "expected_ids")
+    return model_run(items, run, "shifted", generation=False)[2]
+
+
+def _model_reports(drafts: DataFrame, bundles: DataFrame) -> DataFrame:
+    """What a verifier might have said, by question number modulo four: all is well, with claims
+    and passages that are not there; an open claim; two broken outputs and then a pass; no JSON."""
+    kind = F.col("query_id").cast("int") % 4
+    claims = F.transform("claims", lambda c: c["claim_id"])
+    top = F.get("anchors", 0)["passage_id"]
+    report = F.to_json(F.struct(
+        F.when(kind == 1, "fail").otherwise("pass").alias("status"), claims.alias("supported_claims"),
+        F.array(*[F.struct(c.alias("claim_id"), F.lit("why").alias("reason")) for c in (
+            F.lit("ghost"), F.when(kind == 1, F.get(claims, F.lit(0))).otherwise(F.lit("none")))]).alias("unsupported_claims"),
+        F.array(*[F.struct(p.alias("passage_id"), F.lit("odd").alias("issue")) for p in (
+            F.lit("ghost"), top)]).alias("citation_issues"), F.lit("checked").alias("notes")))
+    rows = drafts.where("error IS NULL").join(bundles.select("query_id", "anchors"), "query_id").select(
+        "query_id", report.alias("report"), kind.alias("kind"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("attempt"))
+    return rows.select("query_id", "attempt", F.when((F.col("kind") == 3) | ((F.col("kind") == 2) & (F.col("attempt") < 3)),
+                                                     F.lit('{"status":')).otherwise(F.col("report")).alias("raw_output"))
+
+
+def _judged_drafts(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
+    bundles, drafts, _ = _drafts(spark, folder)
+    results = resolve_attempts(check_outputs(_model_reports(drafts, bundles), REPORT))
+    return bundles, drafts, ans.verification_reports(drafts, bundles, results)
+
+
+def q_model_reports(spark, folder):
+    """Drafts checked by a model: its claims and passages that are not there are left out."""
+    _, _, reports = _judged_drafts(spark, folder)
+    return reports.select(
+        "query_id", "status", "mode", "attempts", F.array_join("supported_claims", " ").alias("supported"),
+        F.array_join(F.col("unsupported_claims.claim_id"), " ").alias("unsupported"),
+        F.size("citation_issues").alias("n_issues"))
+
+
+def q_model_responses(spark, folder):
+    """The responses of these drafts, some of them with the status pass."""
+    bundles, drafts, reports = _judged_drafts(spark, folder)
+    return ans.final_responses(drafts, reports, bundles).select(
+        "query_id", "verification_status", F.col("error").isNull().alias("answered"))
+
+
+def q_correction_prompts(spark, folder):
+    """The prompts that ask again where an output did not parse or fit: what they begin and end with."""
+    checked = check_outputs(_turn_outputs(spark, folder), ANSWER)
+    asked = checked.select("query_id", F.concat(F.lit("Prompt of "), "query_id").alias("prompt")).distinct()
+    rows = prompts.correction_prompts(checked, asked, ANSWER)
+    raw = checked.select("query_id", "attempt", "raw_output", "failure_stage")
+    return rows.join(raw, ["query_id", "attempt"]).select(
+        "query_id", "attempt", "failure_stage", F.startswith("prompt", F.concat(F.lit("Prompt of "), "query_id", F.lit("\n\n")))
+        .alias("begins"), F.endswith("prompt", F.col("raw_output")).alias("ends"))
+
+
+def q_retrieval_metrics_alternatives(spark, folder):
+    """Items that also accept the gold of the question before."""
+    base = prepared(spark, folder)
+    items = eval_items(base).join(_before(base), "query_id", "left").withColumnRenamed("gold_before", "alternative_ids")
+    rows = ev.evaluate_bundles(items, found(spark, folder, with_pairs=True).bundles)
+    return rows.select("query_id", *[F.round(m, 6).alias(m) for m in [*_METRICS, "anchor_hit_at_5", "anchor_mrr"]])
+
+
 def registered() -> dict:
     return {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
