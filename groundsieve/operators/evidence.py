@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from groundsieve.sources.places import PassagePlaces, neighbourhood
 from groundsieve.sources.staging import BROADCAST_ROWS, bounded, stage
 
 SCORES = ("lexical", "dense", "hybrid", "rerank")
@@ -25,12 +26,7 @@ def expand_context(
     askers. An anchor that is in no passage table keeps its own text, if the
     candidate carries one, as its whole context.
     """
-    carried = {"passage_text": "string", "section_title": "string"}
-    known = [c for c in carried if c in anchors.columns]
-    base = anchors.select(*by, "passage_id", *[F.col(c).alias(f"own_{c}") for c in known])
-    for column, kind in carried.items():
-        if column not in known:
-            base = base.withColumn(f"own_{column}", F.lit(None).cast(kind))
+    base = _own_columns(anchors, by)
     keys = anchors.select("passage_id").distinct()
 
     def sent(rows: DataFrame) -> DataFrame:
@@ -51,9 +47,18 @@ def expand_context(
         F.explode(places).alias("passage_index"))
     near = passages.select("document_id", "passage_index", "passage_id", "text").join(
         sent(asked), ["document_id", "passage_index"])
+    windows = _gathered(near, by)
+    return _contexts(found, windows, by)
+
+
+def _gathered(near: DataFrame, by: tuple) -> DataFrame:
+    """The members of each anchor's window, by their places."""
     member = F.struct("passage_index", "passage_id", "text")
-    windows = near.groupBy(*by, F.col("anchor_id").alias("passage_id")).agg(
+    return near.groupBy(*by, F.col("anchor_id").alias("passage_id")).agg(
         F.array_sort(F.collect_list(member)).alias("members"))
+
+
+def _contexts(found: DataFrame, windows: DataFrame, by: tuple) -> DataFrame:
     return found.join(windows, [*by, "passage_id"], "left").select(
         *by, "passage_id",
         F.coalesce("text", "own_passage_text", F.lit("")).alias("anchor_text"),
@@ -67,6 +72,39 @@ def expand_context(
     )
 
 
+def _own_columns(anchors: DataFrame, by: tuple) -> DataFrame:
+    """Anchors with the text and the title that the candidates carry, null where they carry none."""
+    carried = {"passage_text": "string", "section_title": "string"}
+    return anchors.select(*by, "passage_id", *[
+        (F.col(c) if c in anchors.columns else F.lit(None)).cast(kind).alias(f"own_{c}") for c, kind in carried.items()])
+
+
+def context_from_places(
+    anchors: DataFrame, store: PassagePlaces, radius: int = 1, by: tuple = ("query_id",)
+) -> DataFrame:
+    """The contexts of ``expand_context`` from passages that are stored by neighbourhood.
+
+    Only anchors move: to the bucket that knows the place of their passage, then to
+    those that hold its neighbours. Neither passage table is shuffled or broadcast,
+    however many anchors there are. Each distinct passage is looked up once.
+    """
+    base = _own_columns(anchors, by)
+    keys = anchors.select("passage_id").distinct()
+    here = stage(store.places.hint("merge").join(keys, "passage_id"), "anchor_places")
+    index, size = F.col("passage_index"), store.size
+    low, high = F.greatest(index - radius, F.lit(0)), index + radius
+    asked = here.select(
+        F.col("passage_id").alias("anchor_id"), low.alias("low"), high.alias("high"), F.explode(F.transform(
+            F.sequence(F.floor(low / size), F.floor(high / size)), lambda b: neighbourhood(F.col("document_id"), b)))
+        .alias("neighbourhood"))
+    near = store.passages.hint("merge").join(asked, "neighbourhood").where(
+        (F.col("passage_index") >= F.col("low")) & (F.col("passage_index") <= F.col("high")))
+    windows = _gathered(near, ())
+    found = base.join(here, "passage_id", "left")
+    known = found.join(windows, "passage_id", "left").select(*by, "passage_id", "members")
+    return _contexts(found, known, by)
+
+
 def context_from_windows(
     anchors: DataFrame, windows: DataFrame, by: tuple = ("query_id",)
 ) -> DataFrame:

@@ -776,6 +776,7 @@ def oracles() -> dict[str, str]:
                           "(query_id) JOIN (SELECT query_id, count(*) AS nc FROM cites GROUP BY "
                           "query_id) USING (query_id)",
     }
+    queries["context_places"] = queries["context_expand"]
     queries["eval_run"] = queries["run_summary"]
     queries["eval_run_retrieval"] = (
         "SELECT * EXCLUDE (citation_validity_rate, claim_support_rate, avg_unsupported_claims) FROM ("

@@ -13,7 +13,7 @@ from groundsieve.functions.vectors import l2_normalize
 from groundsieve.operators import answers as ans, evaluation as ev, prompts
 from groundsieve.operators.cells import build_cells, cell_search, read_cells, write_cells
 from groundsieve.operators.dense import dense_search, embed_questions, hash_embedding
-from groundsieve.operators.evidence import bundle_anchors
+from groundsieve.operators.evidence import bundle_anchors, context_from_places
 from groundsieve.operators.fusion import count_broken_scores, rerank, score_pairs_in_batches
 from groundsieve.operators.lexical import bm25_search, prepare_questions
 from groundsieve.operators.postings import block_search, read_postings, write_postings
@@ -27,6 +27,7 @@ from groundsieve.plans.ingest import ingest
 from groundsieve.plans.retrieval import debug_record
 from groundsieve.plans.segments import compact_segments, create_segments, open_segments, update_segments
 from groundsieve.sources.corpus import parse_units, with_chapter_boundaries
+from groundsieve.sources.places import store_places
 from groundsieve.sources.rejects import check_eval_items, check_units
 from groundsieve.sources.staging import new_folder, spread
 from groundsieve.sources.tables import (
@@ -355,6 +356,15 @@ def q_context_expand(spark, folder):
                        "window_text")
 
 
+def q_context_places(spark, folder):
+    """The same contexts from passages that are stored by neighbourhood."""
+    run = found(spark, folder, with_pairs=True)
+    store = store_places(prepared(spark, folder).index.passages)
+    rows = context_from_places(run.anchors, store, RetrievalConfig().context_window_radius)
+    return rows.select("query_id", "passage_id", "anchor_text", "section_title", "section_order_index",
+                       F.array_join("window_passage_ids", " ").alias("window_passage_ids"), "window_text")
+
+
 def q_evidence_bundle(spark, folder):
     rows = bundle_anchors(found(spark, folder, with_pairs=True).bundles)
     score = F.col("scores")
