@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from groundsieve.functions.outputs import ANSWER, REPORT, spark_type
 from groundsieve.functions.text import quote_found, strip
+from groundsieve.operators.outputs import latest, matched_rounds
+from groundsieve.sources.staging import stage
 
 FALLBACK_ANCHORS = 3
 QUOTE_LENGTH = 240
@@ -311,6 +313,21 @@ def query_overview(
     )
 
 
+def query_overview_as_of(
+    questions: DataFrame, bundles: DataFrame, drafts: DataFrame, reports: DataFrame,
+    at: str = "created_at", tie: str = "artifact_id", moment=None,
+) -> DataFrame:
+    """``query_overview`` over artifacts of several rounds: the newest draft of each question,
+    by ``moment`` if one is given, with the bundle and the report of its own round."""
+    if moment is not None:
+        bundles, drafts, reports = (t.where(F.col(at) <= F.lit(moment)) for t in (bundles, drafts, reports))
+    rounds = stage(latest(matched_rounds(bundles, drafts, reports, at, tie), "round"), "rounds")
+    return query_overview(questions, *[
+        rounds.where(F.col(name).isNotNull()).select("query_id", *[
+            F.col(name)[c].alias(c) for c in table.columns if c != "query_id"])
+        for name, table in (("bundle", bundles), ("draft", drafts), ("report", reports))])
+
+
 def objection_issues(raw: Column) -> Column:
     """Issues of stored objections, a JSON array of strings or of objects with an issue."""
     items = F.try_variant_get(F.try_parse_json(raw), "$", "array<variant>")

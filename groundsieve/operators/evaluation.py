@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from groundsieve.functions import automaton
 from groundsieve.functions.ranked import (
     CUTOFFS, failure_type, hit_at, lost_in_fusion, missed_by_both, ordered_ids, precision_at,
     recall_at, reciprocal_rank,
 )
 from groundsieve.functions.text import blank_tokens, quote_found, unit_reference
-from groundsieve.sources.staging import bounded
+from groundsieve.sources.staging import bounded, stage
+
+# What runs in the workers travels with the tasks instead of being imported there.
+cloudpickle.register_pickle_by_value(automaton)
 
 _NO_IDS = "array<string>"
 
@@ -75,6 +84,42 @@ def locate_quotes(passages: DataFrame, quotes: DataFrame) -> DataFrame:
         "query_id", "passage_id")
 
 
+def locate_many_quotes(passages: DataFrame, quotes: DataFrame, block_quotes: int = 100_000,
+                       block_chars: int = 16_000_000) -> DataFrame:
+    """The pairs of ``locate_quotes``, each once, for any number of quotes of any length.
+
+    The distinct quotes go out in blocks of bounded size, each as one automaton that finds all of
+    its quotes in one pass over a text. Passages are read where they lie; nothing but
+    hits is shuffled, so no word and no passage that holds many quotes is a hot key.
+    """
+    asked = stage(quotes.where("quote <> ''").select("query_id", "quote").distinct(), "asked_quotes")
+    sizes = asked.select("quote").distinct().agg(F.count("*").alias("n"), F.sum(F.length("quote")).alias("chars")).first()
+    blocks = max(1, -(-sizes["n"] // block_quotes), -(-(sizes["chars"] or 0) // block_chars))
+    # A quote's number is a hash of 64 bits.
+    numbered = asked.select("query_id", "quote", F.xxhash64("quote").alias("number"),
+                            F.pmod(F.xxhash64("quote", F.lit(1)), F.lit(blocks)).alias("block"))
+    texts = passages.select(F.col("passage_id").cast("string").alias("passage_id"), "normalized_text")
+    found = None
+    for block in range(blocks):
+        part = [(r["number"], r["quote"]) for r in numbered.where(F.col("block") == block).select(
+            "number", "quote").distinct().collect()]
+        hits = texts.mapInArrow(_finder(passages.sparkSession.sparkContext.broadcast(part)), "passage_id string, number long")
+        found = hits if found is None else found.unionByName(hits)
+    askers = numbered.select("number", "query_id")
+    return found.join(F.broadcast(askers) if bounded(askers) else askers, "number").select("query_id", "passage_id").distinct()
+
+
+def _finder(quotes):
+    name = uuid.uuid4().hex
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = automaton.automaton_of(name, quotes.value)
+        for batch in batches:
+            yield automaton.found_quotes(held, batch)
+
+    return find
+
+
 def gather_ids(pairs: DataFrame, name: str = "expected_ids") -> DataFrame:
     return pairs.groupBy("query_id").agg(F.array_sort(F.collect_set("passage_id")).alias(name))
 

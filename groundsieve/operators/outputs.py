@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from groundsieve.functions.outputs import fits, misfits, repair_json, spark_type
 
@@ -85,8 +85,35 @@ def resolve_attempts(checked: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> Da
     )
 
 
-def latest(rows: DataFrame, order: str, by: str = "query_id") -> DataFrame:
+def latest(rows: DataFrame, order: str, by: str = "query_id", ties: tuple = ()) -> DataFrame:
     """The row with the greatest ``order`` of each query, as in the newest artifact
-    or the report of the last generation round."""
+    or the report of the last generation round. Of rows with one order that with the
+    greatest ``ties`` counts; name columns there that tell rows apart."""
     whole = F.struct(*[F.col(c) for c in rows.columns])
-    return rows.groupBy(by).agg(F.max_by(whole, order).alias("row")).select("row.*")
+    return rows.groupBy(by).agg(F.max_by(whole, F.struct(order, *ties)).alias("row")).select("row.*")
+
+
+def matched_rounds(bundles: DataFrame, drafts: DataFrame, reports: DataFrame, at: str = "created_at",
+                   tie: str = "artifact_id") -> DataFrame:
+    """Every draft with the bundle and the report of its time: query_id, round (from 1), and
+    draft, bundle and report as structs, null where there is none.
+
+    A draft was made from the newest bundle there was, and a report looks at the newest draft
+    there was; of several reports of a draft the last one counts. Artifacts of one time go in the
+    order bundle, draft, report, those of one kind by ``tie``. The artifacts of a query are
+    few: a handful for each time it was answered.
+    """
+    kinds = {"bundle": bundles, "draft": drafts, "report": reports}
+    whole = {name: F.struct(*[F.col(c) for c in rows.columns]) for name, rows in kinds.items()}
+    events = [rows.select(
+        "query_id", F.col(at).alias("at"), F.lit(step).alias("step"), F.col(tie).cast("string").alias("tie"),
+        *[(whole[n] if n == name else F.lit(None)).alias(n) for n in kinds])
+        for step, (name, rows) in enumerate(kinds.items())]
+    rows = events[0].unionByName(events[1]).unionByName(events[2])
+    order = W.partitionBy("query_id").orderBy("at", "step", "tie").rowsBetween(W.unboundedPreceding, 0)
+    placed = rows.withColumn("round", F.sum((F.col("step") == 1).cast("int")).over(order)).withColumn(
+        "bundle", F.last("bundle", ignorenulls=True).over(order))
+    checks = placed.where("step = 2 AND round > 0").groupBy("query_id", "round").agg(
+        F.max_by("report", F.struct("at", "tie")).alias("report"))
+    return placed.where("step = 1").select("query_id", "round", "draft", "bundle").join(
+        checks, ["query_id", "round"], "left")

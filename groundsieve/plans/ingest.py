@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from groundsieve.config import HASH_DIMS, RetrievalConfig
 from groundsieve.operators.dense import build_hash_index
@@ -39,6 +39,17 @@ def ingest(documents: DataFrame, config: RetrievalConfig = RetrievalConfig()) ->
                   windows_table(split, config.context_window_radius))
 
 
+def ingest_once(documents: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> Corpus:
+    """The tables of ``ingest`` as views of one written table of split documents, nested as they
+    came out of the split: each document is split once, and a view of sections does not read
+    the passages, nor one of passages the sections."""
+    split = split_documents(documents, config.compat)
+    # Text and title of a section stand with its passages or its offsets; the raw text stays behind.
+    sections = F.transform("sections", lambda s: s.dropFields("text"))
+    held = stage(split.select("document_id", sections.alias("sections"), "passages"), "split_documents")
+    return Corpus(sections_table(held), passages_table(held), windows_table(held, config.context_window_radius))
+
+
 def build_index(
     passages: DataFrame, config: RetrievalConfig = RetrievalConfig(),
     vectors: DataFrame | None = None, dims: int = HASH_DIMS, staged: bool = True,

@@ -776,6 +776,13 @@ def oracles() -> dict[str, str]:
                           "(query_id) JOIN (SELECT query_id, count(*) AS nc FROM cites GROUP BY "
                           "query_id) USING (query_id)",
     }
+    queries["passage_windows_nested"] = queries["passage_windows"]
+    queries["gold_many_quotes"] = (
+        "SELECT DISTINCT query_id, passage_id FROM (SELECT DISTINCT query_id, l AS quote FROM qlines WHERE l <> '') "
+        "JOIN pas ON contains(pas.text, quote)")
+    queries["query_overview_rounds"] = (
+        "SELECT o.*, with_text FROM (" + queries["query_overview"] + ") o JOIN (SELECT query_id, string_agg('true', ' ') "
+        "AS with_text FROM cites GROUP BY query_id) USING (query_id)")
     queries["context_places"] = queries["context_expand"]
     queries["eval_run"] = queries["run_summary"]
     queries["eval_run_retrieval"] = (

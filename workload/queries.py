@@ -23,7 +23,7 @@ from groundsieve.operators.splitting import (
 )
 from groundsieve.plans.answering import Answers, answer
 from groundsieve.plans.evaluation import model_run, run_eval, sweep, sweep_results
-from groundsieve.plans.ingest import ingest
+from groundsieve.plans.ingest import ingest, ingest_once
 from groundsieve.plans.retrieval import debug_record
 from groundsieve.plans.segments import compact_segments, create_segments, open_segments, update_segments
 from groundsieve.sources.corpus import parse_units, with_chapter_boundaries
@@ -180,6 +180,11 @@ def q_passage_windows(spark, folder):
     return _windows(windows_table(split_documents(documents(spark, folder)), radius=1))
 
 
+def q_passage_windows_nested(spark, folder):
+    """The same windows, read from split documents that were written once."""
+    return _windows(ingest_once(documents(spark, folder)).windows)
+
+
 def q_passage_windows_gaps(spark, folder):
     """Windows over the passages that hold ten words or more, so places are missing."""
     passages = prepared(spark, folder).index.passages.where("token_count >= 10")
@@ -391,6 +396,14 @@ def q_gold_quotes(spark, folder):
     return base.gold.select("query_id", F.explode("expected_ids").alias("passage_id"))
 
 
+def q_gold_many_quotes(spark, folder):
+    """Where the lines of all questions stand, those of one or two words too."""
+    base = prepared(spark, folder)
+    lines = F.array_distinct(F.split(normalize_text(F.col("question")), "\n"))
+    asked = base.questions.select("query_id", F.explode(lines).alias("quote"))
+    return ev.locate_many_quotes(base.index.passages, asked)
+
+
 def q_gold_references(spark, folder):
     """Two unit references per question, looked up in the numbered corpus."""
     passages = ingest(documents(spark, folder, _unit_text(F.col("text")))).passages
@@ -806,5 +819,26 @@ def q_retrieval_metrics_alternatives(spark, folder):
     return rows.select("query_id", *[F.round(m, 6).alias(m) for m in [*_METRICS, "anchor_hit_at_5", "anchor_mrr"]])
 
 
+def q_query_overview_rounds(spark, folder):
+    """Two rounds of artifacts that came in mixed: drafts of the first round without evidence, those of
+    the second as they are, and a bundle after them that no draft has seen."""
+    bundles, drafts, reports = _drafts(spark, folder)
+
+    def made(rows: DataFrame, minute: int, name: str) -> DataFrame:
+        return rows.withColumns({"created_at": F.to_timestamp(F.lit(f"2024-05-01 10:{minute:02d}:00")),
+                                 "artifact_id": F.lit(name)})
+
+    bare = bundles.withColumn("anchors", F.slice("anchors", 1, 0))
+    poor, wrong = drafts.withColumn("final_answer", F.lit("first")), reports.withColumn("status", F.lit("fail"))
+    rows = ans.query_overview_as_of(
+        questions(spark, folder),
+        made(bare, 1, "a").unionByName(made(bundles, 4, "b")).unionByName(made(bare, 9, "c")),
+        made(poor, 2, "a").unionByName(made(drafts, 5, "b")),
+        made(wrong, 3, "a").unionByName(made(wrong, 6, "b")).unionByName(made(reports, 6, "c")))
+    return rows.select("query_id", "question", "final_answer", F.size("citations").cast("int").alias("n_citations"),
+                       F.array_join(F.transform("citations", lambda c: (F.length(c["passage_text"]) > 0).cast("string")), " ")
+                       .alias("with_text"), "verification_status")
+
+
 def registered() -> dict:
     return {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
