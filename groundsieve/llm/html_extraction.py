@@ -12,7 +12,10 @@ markup names its parts (``article`` or ``main`` against ``nav``, ``footer``,
 telling class names), a bounded, hash-chosen sample. So that they learn what the
 parts look like too, half of the examples have those names hidden, and blocks
 of the surroundings, or prose under a telling name (as reader comments are),
-are put into the main text as counterexamples.
+are put into the main text as counterexamples. So that they do not take the markup of
+these pages for that of all pages, lists, tables, listings, figures and quotes made
+of its words are put into the main text too, paragraphs become plain blocks, and
+the element around it goes, each in a part of the examples.
 
 Defined results: a null or empty page, or one without main text, gives an empty
 text; repeated pages give equal texts; without pages to learn from, blocks with
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import pickle
 import random
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,6 +38,11 @@ from groundsieve.llm.boosting import BoostingOptions, Trees, fit_trees
 from groundsieve.llm.common import sliced
 from groundsieve.llm.dom import FEATURES, SEMANTIC, TAGS_AGAINST, TAGS_FOR, Page, features, read_page, text_of
 
+_KINDS = [FEATURES.index(n) for n in ("is_p", "is_list", "is_cell")]
+_REGION = re.compile(r"<(article|main)\b([^>]*)>(.*)</\1\s*>", re.S | re.I)
+_PARAGRAPH = re.compile(r"<(/?)p\b", re.I)
+_BEGINNING = re.compile(r"<(?:p|h[1-6]|div)\b", re.I)
+_MARKUP = re.compile(r"<[^>]*>")
 _FLAGS = [FEATURES.index(n) for n in ("tag_against", "words_against", "above_against")]
 
 
@@ -98,25 +107,95 @@ def _moved(page: Page, label: np.ndarray, rng: random.Random) -> Page:
     return out
 
 
+def _varied(source: str, rng: random.Random) -> str:
+    """The page with markup in its named main text that its writer did not use but others do: lists,
+    tables, listings, figures, quotes, and plain blocks in the place of paragraphs and of the
+    elements around them."""
+    region = _REGION.search(source)
+    if region is None:
+        return source
+    inner = region.group(3)
+    words = [w for w in _MARKUP.sub(" ", inner).split() if "&" not in w] or ["text"]
+
+    def some(most: int) -> str:
+        size, at = rng.randint(1, most), rng.randrange(len(words))
+        return " ".join((words[at:] + words)[:size]).capitalize() + rng.choice(["", ".", ":"])
+
+    def part() -> str:
+        size = rng.choice([3, 12, 40])
+        kind = rng.choice(["ul", "ol", "table", "pre", "dl", "figure", "blockquote", "div", "links"])
+        if kind in ("ul", "ol", "links"):
+            mark = "<a href=x>{}</a> {}" if kind == "links" else "{} {}"
+            items = "".join(f"<li>{mark.format(some(3), some(size))}</li>" for _ in range(rng.randint(1, 9)))
+            kind = "ul" if kind == "links" else kind
+            return f"<{kind}>{items}</{kind}>"
+        if kind == "table":
+            wide = rng.randint(1, 4)
+            rows = "".join("<tr>" + "".join(f"<td>{some(rng.choice([2, size]))}</td>" for _ in range(wide)) + "</tr>"
+                           for _ in range(rng.randint(1, 6)))
+            body = rng.random() < 0.5
+            return f"<table>{'<tbody>' * body}{rows}{'</tbody>' * body}</table>"
+        if kind == "dl":
+            return "<dl>" + "".join(f"<dt>{some(3)}</dt><dd>{some(size)}</dd>" for _ in range(rng.randint(1, 5))) + "</dl>"
+        if kind == "figure":
+            return f"<figure><img src=x><figcaption>{some(12)}</figcaption></figure>"
+        text = "\n  ".join(some(rng.choice([3, 8])).lower() for _ in range(rng.randint(1, 5))) if kind == "pre" else some(size)
+        return f"<{kind}>{text}</{kind}>"
+
+    if rng.random() < 0.3:
+        inner = _PARAGRAPH.sub(r"<\1div", inner)
+    for _ in range(rng.randint(0, 3)):
+        places = [m.start() for m in _BEGINNING.finditer(inner)] + [len(inner)]
+        at = rng.choice(places)
+        inner = inner[:at] + part() + inner[at:]
+    if rng.random() < 0.15:  # one block alone
+        inner = f"<div>{some(300)}</div>"
+    return source[: region.start(3)] + inner + source[region.end(3):]
+
+
+def _unwrapped(page: Page, *rows: np.ndarray) -> tuple[Page, ...]:
+    """The page, and rows of its blocks the first of which are the labels, without the elements that name its main text; what they held stands in their place."""
+    own = {block for block, _, text, _ in page.texts if text.strip()}
+    gone = [k > 0 and page.tags[k] in TAGS_FOR and rows[0][k] == 1 and k not in own for k in range(len(page.tags))]
+    number = np.cumsum(~np.array(gone)) - 1
+    home = list(range(len(page.tags)))
+    for k in range(1, len(home)):
+        if gone[k]:
+            home[k] = home[page.parents[k]]
+    left = [k for k, g in enumerate(gone) if not g]
+    out = Page([page.tags[k] for k in left],
+               [-1 if k == 0 else int(number[home[page.parents[k]]]) for k in left],
+               [page.hints[k] for k in left],
+               [(int(number[home[block]]), run, text, link) for block, run, text, link in page.texts])
+    return out, *(r[left] for r in rows)
+
+
 def training_rows(pages: Iterator[str], seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     rows, labels = [np.empty((0, len(FEATURES)), np.float32)], [np.empty(0, int)]
     for n, source in enumerate(pages):
-        page = read_page(source)
+        rng = random.Random(seed * 1_000_003 + n)
+        page = read_page(_varied(source, rng) if rng.random() < 0.6 else source)
         label = weak_labels(page)
         if label is None:
             continue
-        rng = random.Random(seed * 1_000_003 + n)
         for _ in range(rng.choice([0, 1, 2])):
             page = _moved(page, label, rng)
             label = weak_labels(page)
         row = features(page)
+        above = row[:, FEATURES.index("above_for")]
+        if rng.random() < 0.3:
+            page, label, above = _unwrapped(page, label, above)
+            row = features(page)
         held = row[1:]
         # Where the names are hidden, prose under a telling name looks like main text: leave it out.
         seen = np.ones(len(held), bool)
         if rng.random() < 0.5:
-            seen = ~((held[:, _FLAGS].sum(1) > 0) & (held[:, FEATURES.index("above_for")] > 0))
+            seen = ~((held[:, _FLAGS].sum(1) > 0) & (above[1:] > 0))
             held = held.copy()
             held[:, SEMANTIC] = 0
+        if rng.random() < 0.5:  # nor do kinds of elements tell everywhere what they are used for
+            held = held.copy()
+            held[:, _KINDS] = 0
         rows.append(held[seen])
         labels.append(label[1:][seen])
     return np.concatenate(rows), np.concatenate(labels)

@@ -51,6 +51,42 @@ def test_surroundings_within_the_article(trees):
     assert extraction.extract_texts([source], trees) == [f"T\n{a}\n{c}"]
 
 
+ROWS = ["A whole sentence that says what is to be done with it.", "Salt", "Two eggs and a cup of flour", "And so on: the end."]
+PARTS = {
+    "ul": "<ul>" + "".join(f"<li>{r}</li>" for r in ROWS) + "</ul>", "ol": "<ol>" + "".join(f"<li>{r}" for r in ROWS) + "</ol>",
+    "table": "<table><tr><th>Name</th><th>Value</th></tr>" + "".join(f"<tr><td>{r}</td><td>{n}</td></tr>" for n, r in enumerate(ROWS)) + "</table>",
+    "pre": "<pre>for row in rows:\n    print(row)</pre>", "dl": f"<dl><dt>{ROWS[1]}</dt><dd>{ROWS[0]}</dd><dt>Term</dt><dd>{ROWS[3]}</dd></dl>",
+    "figure": "<figure><img src=x><figcaption>The hill behind the house.</figcaption></figure>",
+    "blockquote": f"<blockquote><p>{ROWS[0]}</p></blockquote>", "h2": "<h2>Second part</h2>", "div": f"<div>{ROWS[0]}</div>"}
+
+
+@pytest.mark.parametrize("part", sorted(PARTS))
+@pytest.mark.parametrize("named", [True, False])
+def test_markup_of_the_main_text_that_was_not_learnt_from(trees, part, named):
+    """The pages that the trees learn from hold headings and paragraphs only."""
+    rng = random.Random(11)
+    right = 0
+    for _ in range(12):
+        source, text = page(rng, named)
+        end = "</article>" if named else "</div><footer>"
+        source = source.replace(end, PARTS[part] + end)
+        got = extraction.extract_texts([source], trees)[0].split("\n")
+        own = text_of(p := read_page(PARTS[part]), np.ones(len(p.tags), bool)).split("\n")
+        right += got == text.split("\n") + own
+    assert right == 12 if named else right >= 9
+
+
+def test_pages_of_plain_blocks(trees):
+    rng = random.Random(12)
+    prose = [sentence(rng, 80), sentence(rng, 60), sentence(rng, 90)]
+    links = "".join(f"<a href=x>{sentence(rng, 1)}</a> " for _ in range(5))
+    one, many = (f"<body><div>{links}</div><div>{inner}</div><div><a href=z>Imprint</a></div></body>" for inner in (
+        " ".join(prose), "".join(f"<div>{p}</div>" for p in prose)))
+    # Nothing there names the main text: the prose is kept whole, whatever becomes of the links.
+    for got, want in zip(extraction.extract_texts([one, many], trees), ([" ".join(prose)], prose)):
+        assert [line for line in got.split("\n") if line in want] == want and "Imprint" not in got
+
+
 def test_reading():
     everything = lambda s: text_of(p := read_page(s), np.ones(len(p.tags), bool))
     assert everything("<p>a &amp; b&nbsp;c<br>d\n e<p>f<b>g<p>h</b>i") == "a & b c d e\nfg\nhi"
