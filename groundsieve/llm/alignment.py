@@ -39,7 +39,7 @@ from groundsieve.sources.staging import stage
 
 _DENSE = 4096  # numbers of a block that take as much room as its bits
 _SLICE = 2 * 1024 * 1024
-_WORDS = 400_000  # that a worker keeps
+_WORDS = 300_000  # that a worker keeps
 # Space beside a space, or at an end; marks that a normalisation could join with their neighbours.
 _ODD_SPACE = r"^ | $|[\s\p{Z}\x{85}\x{1c}-\x{1f}\x{b}] | [\s\p{Z}\x{85}\x{1c}-\x{1f}\x{b}\pM]|▁"
 _GROUPS = 64  # rows of the postings table for a block, by a hash of the pair
@@ -50,7 +50,7 @@ class AlignmentOptions:
     first: str                        # path of a byte-level tokenizers JSON file; texts get a space before them
     second: str                       # path of a sentencepiece model, which puts that space itself
     block_documents: int = 65_536     # at most, as numbers of 16 bits
-    block_postings: int = 3_000_000   # a block is closed by the slice that reaches so many
+    block_postings: int = 2_000_000   # a block is closed by the slice that reaches so many
 
 
 def byte_alphabet() -> dict[str, int]:
