@@ -7,16 +7,21 @@ words (hashed into ``2 ** word_bits`` places) by frequency into groups of about
 equal mass, and a word's share of its class comes from counts over all
 documents. A document's score is the sum of the log-probabilities of all its words.
 
-1. Words are counted over all documents; partial counts are added up in Spark.
-2. Every task trains the network on its own documents, from one start: every
-   word of every document is predicted. The weights are averaged by the number of
-   words predicted, slice by slice, in Spark.
-3. Every document is scored as a whole, where it lies.
+1. Every text is read once and becomes the places of its words, two bytes each, in a
+   written table; counting, training and scoring start from that.
+2. Words are counted over all documents; partial counts are added up in Spark.
+3. Rows are dealt to shards by a hash of the row, a number of shards that follows from the
+   number of words. A network is trained on a small first part, so that all shards start
+   from one that has learnt something, and then in rounds: in each, every shard trains on
+   its part of the round, the weights (and the state of their rates) are averaged by the
+   number of words predicted, slice by slice, in Spark, and the average is sent out. Over
+   all rounds every word of every document is predicted once.
+4. Every document is scored as a whole, where it lies.
 
 Defined results: a null, empty or blank text has no words, score 0 and a null
 mean; repeated rows get equal scores; an empty table gives no rows; other
-columns are ignored. Averages depend in their last digits on how the rows are
-dealt to tasks.
+columns are ignored. Scores do not depend on how the rows are dealt to tasks, but for
+the last digits of sums that are added in another order.
 """
 
 from __future__ import annotations
@@ -28,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from groundsieve.llm.common import mixed, sliced, texts_of
+from groundsieve.llm.common import mixed, plain, sliced, texts_of
 from groundsieve.llm.hashing import word_hashes
+from groundsieve.sources.staging import stage
 
 _SLICE = 1 << 20
 _PART = 1 << 14  # weights of a slice that is averaged at once
@@ -42,10 +48,13 @@ class WindowOptions:
     word_bits: int = 16
     classes: int = 64
     width: int = 24        # of the hidden layer
-    stride: int = 1        # one word in so many is predicted in training; 1: every word
     batch: int = 4096
     rate: float = 0.1
     smoothing: float = 0.5
+    rounds: int = 4        # of training and averaging
+    first_words: int = 400_000     # about so many teach the network that all shards start from
+    shard_words: int = 2_000_000   # about so many make a shard,
+    most_shards: int = 4096        # which get larger where this is reached
 
     @property
     def offsets(self) -> list[int]:
@@ -100,6 +109,20 @@ class Trainer:
         self.seen = np.full(self.net.tables.shape[:2], 1e-6, np.float32)
         self.square = [np.full(p.shape, 1e-6, np.float32) for p in self.net.parts()[1:]]
 
+    def state(self) -> np.ndarray:
+        """The weights and what the rates follow from, in one row."""
+        return np.concatenate([self.net.flat(), self.seen.ravel(), *(q.ravel() for q in self.square)])
+
+    @classmethod
+    def at(cls, o: WindowOptions, state: np.ndarray | None) -> Trainer:
+        out = cls(o)
+        if state is not None:
+            out.net, at = out.net.filled(state), out.net.flat().size
+            for values in (out.seen, *out.square):
+                values.flat[:] = state[at: at + values.size]
+                at += values.size
+        return out
+
     def step(self, context: np.ndarray, classes: np.ndarray) -> None:
         net, n = self.net, len(classes)
         hidden = net.hidden(context)
@@ -110,8 +133,10 @@ class Trainer:
             square += g * g
             p -= self.o.rate * g / np.sqrt(square)
         for table, seen, codes in zip(net.tables, self.seen, context):
-            order = np.argsort(codes, kind="stable")
-            there, start = np.unique(codes[order], return_index=True)
+            order = np.argsort(codes, kind="stable")  # by digits, as the codes have 16 bits
+            held = codes[order]
+            start = np.flatnonzero(np.diff(held, prepend=-1))
+            there = held[start]
             g = np.add.reduceat(inner[order], start)
             seen[there] += (g * g).mean(1)
             table[there] -= self.o.rate * g / np.sqrt(seen[there])[:, None]
@@ -122,15 +147,38 @@ def places(texts: pa.Array, o: WindowOptions) -> tuple[np.ndarray, np.ndarray, n
     """For every word its place among words and among context words; offsets of the texts."""
     hashes, offsets = word_hashes(texts)
     word = (mixed(hashes) >> np.uint64(64 - o.word_bits)).astype(np.int64)
-    near = (mixed(hashes + np.uint64(1)) >> np.uint64(64 - o.context_bits)).astype(np.int64)
-    return word, near, offsets
+    return word, context_places(word, o), offsets
+
+
+def context_places(word: np.ndarray, o: WindowOptions) -> np.ndarray:
+    return word >> (o.word_bits - o.context_bits)
+
+
+def coded(docs: DataFrame, o: WindowOptions) -> DataFrame:
+    """doc_id and the places of a text's words, ``words``, 16 bits each; a written table."""
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", _SLICE):
+            word, _, offsets = places(batch.column("text"), o)
+            words = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [
+                None, pa.py_buffer((offsets * 2).astype(np.int32)), pa.py_buffer(word.astype("<u2"))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), words], ["doc_id", "words"])
+
+    texts = texts_of(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return stage(texts.mapInArrow(code, "doc_id long, words binary"), "coded_words")
+
+
+def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all words of a batch, and the offsets of its texts."""
+    column = plain(batch.column("words")).cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1) // 2
+    return np.frombuffer(column.buffers()[2] or b"", "<u2")[: offsets[-1]].astype(np.int64), offsets
 
 
 def contexts(near: np.ndarray, offsets: np.ndarray, at: np.ndarray, o: WindowOptions) -> np.ndarray:
     """The context places of the words at ``at``, a row for each offset."""
     text = np.searchsorted(offsets, at, "right") - 1
     low, high = offsets[text], offsets[text + 1]
-    out = np.full((len(o.offsets), len(at)), 1 << o.context_bits, np.int64)
+    out = np.full((len(o.offsets), len(at)), 1 << o.context_bits, np.uint16)
     for row, step in zip(out, o.offsets):
         inside = (at + step >= low) & (at + step < high)
         row[inside] = near[at[inside] + step]
@@ -138,16 +186,20 @@ def contexts(near: np.ndarray, offsets: np.ndarray, at: np.ndarray, o: WindowOpt
 
 
 def count_words(docs: DataFrame, o: WindowOptions) -> np.ndarray:
+    return count_coded(coded(docs, o), o)
+
+
+def count_coded(rows: DataFrame, o: WindowOptions) -> np.ndarray:
     """How often each place among the words occurs, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << o.word_bits, np.int64)
-        for batch in sliced(batches, "text", _SLICE):
-            total += np.bincount(places(batch.column("text"), o)[0], minlength=len(total))
+        for batch in batches:
+            total += np.bincount(_words(batch)[0], minlength=len(total))
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["place", "n"])
 
-    rows = texts_of(docs).select("text").mapInArrow(count, "place long, n long").groupBy("place").agg(
+    rows = rows.select("words").mapInArrow(count, "place long, n long").groupBy("place").agg(
         F.sum("n").alias("n")).toArrow()  # at most 2 ** word_bits rows
     out = np.zeros(1 << o.word_bits, np.int64)
     out[rows.column("place").to_numpy()] = rows.column("n").to_numpy()
@@ -165,33 +217,47 @@ def word_classes(counts: np.ndarray, o: WindowOptions) -> tuple[np.ndarray, np.n
     return cls, np.log(mass / np.bincount(cls, mass, o.classes)[cls]).astype(np.float32)
 
 
-def predicted(word: np.ndarray, offsets: np.ndarray, o: WindowOptions) -> np.ndarray:
-    """The words to predict in training: all of them, unless a stride is asked for."""
-    at = np.arange(len(word))
-    if o.stride == 1 or not len(word):
-        return at
-    # Where a text's first predicted word stands depends on the text's first words.
-    text = np.searchsorted(offsets, at, "right") - 1
-    return at[(at - offsets[text] + word[offsets[text]]) % o.stride == 0]
-
-
 def train(docs: DataFrame, classes: np.ndarray, o: WindowOptions) -> Network:
-    shared = docs.sparkSession.sparkContext.broadcast(classes.astype(np.int16))
+    rows = coded(docs, o)
+    return train_coded(rows, count_coded(rows, o).sum(), classes, o)
+
+
+def train_coded(rows: DataFrame, words: int, classes: np.ndarray, o: WindowOptions) -> Network:
+    """The network after all rounds over the coded documents, which have so many words."""
+    shared = rows.sparkSession.sparkContext.broadcast(classes.astype(np.int16))
+    shards = int(min(o.most_shards, max(1, -(-words // o.shard_words))))
+    number = F.pmod(F.xxhash64("doc_id", "words"), F.lit(1 << 30))
+    dealt = rows.select("words", number.alias("number"), F.pmod(F.xxhash64("words", "doc_id"), F.lit(shards)).alias("shard"))
+    share = int(min(1.0, o.first_words / max(words, 1)) * (1 << 30)) + 1
+    first = dealt.where(F.col("number") < share).withColumn("shard", F.lit(0).cast("long"))
+    state = _averaged(first, 1, None, shared, o)
+    for r in range(o.rounds):
+        low, high = ((1 << 30) * k // o.rounds for k in (r, r + 1))
+        state = _averaged(dealt.where((F.col("number") >= low) & (F.col("number") < high)), shards, state, shared, o)
+    start = Network.start(o)
+    return start if state is None else start.filled(state)
+
+
+def _averaged(rows: DataFrame, shards: int, state: np.ndarray | None, classes, o: WindowOptions) -> np.ndarray | None:
+    """The average of the shards' networks, each trained on its rows from ``state`` on."""
+    spark = rows.sparkSession
+    begin = spark.sparkContext.broadcast(state)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, cls = Trainer(o), shared.value
-        for batch in sliced(batches, "text", _SLICE):
-            word, near, offsets = places(batch.column("text"), o)
-            at = predicted(word, offsets, o)
-            for k in range(0, len(at), o.batch):
-                some = at[k: k + o.batch]
-                trainer.step(contexts(near, offsets, some, o), cls[word[some]])
-        flat = trainer.net.flat().astype(np.float64) * trainer.words
-        if trainer.words:
-            for k in range(0, len(flat), _PART):
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([k // _PART], pa.int64()), "words": pa.array([trainer.words], pa.int64()),
-                    "weights": pa.array([flat[k: k + _PART].tobytes()], pa.binary())})
+        cls, trainer, shard = classes.value, None, None
+        for batch in batches:
+            of = batch.column("shard").to_numpy()
+            bounds = np.flatnonzero(np.diff(of, prepend=-1, append=-1))
+            for low, high in zip(bounds[:-1], bounds[1:]):
+                if of[low] != shard:
+                    yield from _slices(trainer)
+                    trainer, shard = Trainer.at(o, begin.value), of[low]
+                word, offsets = _words(batch.slice(low, high - low))
+                near = context_places(word, o)
+                for k in range(0, len(word), o.batch):
+                    some = np.arange(k, min(k + o.batch, len(word)))
+                    trainer.step(contexts(near, offsets, some, o), cls[word[some]])
+        yield from _slices(trainer)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -205,43 +271,62 @@ def train(docs: DataFrame, classes: np.ndarray, o: WindowOptions) -> Network:
                 "part": pa.array([part], pa.int64()), "words": pa.array([words], pa.int64()),
                 "weights": pa.array([(total / words).astype(np.float32).tobytes()], pa.binary())})
 
-    schema, start = "part long, words long, weights binary", Network.start(o)
-    rows = texts_of(docs).select("text").mapInArrow(fit, schema).repartition(32, "part").mapInArrow(add, schema)
-    got = {r["part"]: np.frombuffer(r["weights"], np.float32) for r in rows.toArrow().to_pylist()}  # one network
-    return start.filled(np.concatenate([got[k] for k in sorted(got)])) if got else start
-
-
-def log_probabilities(texts: pa.Array, net: Network, classes: np.ndarray, shares: np.ndarray,
-                      o: WindowOptions) -> tuple[np.ndarray, np.ndarray]:
-    """The log-probability of every word given its neighbours, and the texts' offsets."""
-    word, near, offsets = places(texts, o)
-    out = np.empty(len(word), np.float32)
+    schema = "part long, words long, weights binary"
+    # The rows of a shard come in an order of their own, whatever task they come from.
+    sorted_rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "number", "words")
+    trained = sorted_rows.select("shard", "words").mapInArrow(fit, schema)
+    averages = trained.repartition(32, "part").mapInArrow(add, schema).toArrow()  # one network
+    got = {r["part"]: np.frombuffer(r["weights"], np.float32) for r in averages.to_pylist()}
+    return np.concatenate([got[k] for k in sorted(got)]) if got else state
+
+
+def _slices(trainer: Trainer | None) -> Iterator[pa.RecordBatch]:
+    """What a trained network adds to the sums of the average."""
+    if trainer is None or not trainer.words:
+        return
+    flat = trainer.state().astype(np.float64) * trainer.words
+    for k in range(0, len(flat), _PART):
+        yield pa.RecordBatch.from_pydict({
+            "part": pa.array([k // _PART], pa.int64()), "words": pa.array([trainer.words], pa.int64()),
+            "weights": pa.array([flat[k: k + _PART].tobytes()], pa.binary())})
+
+
+def log_probabilities(word: np.ndarray, offsets: np.ndarray, net: Network, classes: np.ndarray, shares: np.ndarray,
+                      o: WindowOptions) -> np.ndarray:
+    """The log-probability of every word given its neighbours."""
+    near, out = context_places(word, o), np.empty(len(word), np.float32)
     for k in range(0, len(word), o.batch):
         at = np.arange(k, min(k + o.batch, len(word)))
         logs = net.class_logs(net.hidden(contexts(near, offsets, at, o)))
         out[at] = logs[np.arange(len(at)), classes[word[at]]] + shares[word[at]]
-    return out, offsets
+    return out
 
 
 def score(docs: DataFrame, net: Network, classes: np.ndarray, shares: np.ndarray, o: WindowOptions) -> DataFrame:
+    return score_coded(coded(docs, o), net, classes, shares, o)
+
+
+def score_coded(rows: DataFrame, net: Network, classes: np.ndarray, shares: np.ndarray, o: WindowOptions) -> DataFrame:
     """doc_id, n_words, pll (summed log-probability) and pll_per_word."""
-    shared = docs.sparkSession.sparkContext.broadcast((net.parts(), classes, shares))
+    shared = rows.sparkSession.sparkContext.broadcast((net.parts(), classes, shares))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, cls, share = shared.value
         network = Network(*parts)
-        for batch in sliced(batches, "text", _SLICE):
-            logs, offsets = log_probabilities(batch.column("text"), network, cls, share, o)
+        for batch in sliced(batches, "words", _SLICE):
+            word, offsets = _words(batch)
+            logs = log_probabilities(word, offsets, network, cls, share, o)
             total = np.concatenate([np.zeros(1), np.cumsum(logs, dtype=np.float64)])
             sums, n = total[offsets[1:]] - total[offsets[:-1]], np.diff(offsets)
             mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n), pa.array(sums), mean], ["doc_id", "n_words", "pll", "pll_per_word"])
 
-    texts = texts_of(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return texts.mapInArrow(run, "doc_id long, n_words long, pll double, pll_per_word double")
+    return rows.mapInArrow(run, "doc_id long, n_words long, pll double, pll_per_word double")
 
 
 def pseudo_likelihoods(docs: DataFrame, o: WindowOptions = WindowOptions()) -> DataFrame:
-    classes, shares = word_classes(count_words(docs, o), o)
-    return score(docs, train(docs, classes, o), classes, shares, o)
+    rows = coded(docs, o)
+    counts = count_coded(rows, o)
+    classes, shares = word_classes(counts, o)
+    return score_coded(rows, train_coded(rows, int(counts.sum()), classes, o), classes, shares, o)

@@ -12,7 +12,7 @@ from groundsieve.llm import lm_scoring
 from groundsieve.llm.lm_scoring import Network, WindowOptions
 from llm_tools import documents
 
-SMALL = WindowOptions(context_bits=6, word_bits=8, classes=8, width=6, stride=1, batch=64)
+SMALL = WindowOptions(context_bits=6, word_bits=8, classes=8, width=6, batch=64, first_words=700, shard_words=1500, rounds=3)
 
 
 @pytest.fixture(scope="module")
@@ -58,14 +58,51 @@ def test_scores_and_training(spark, chains, messy_rows):
     assert after / 180 > before / 180 + 0.5
 
 
-def test_every_word_is_predicted_in_training(messy_rows):
-    """With the settings of the registered query."""
-    o = WindowOptions()
-    word, _, offsets = lm_scoring.places(pa.array([t or "" for _, t in messy_rows], pa.string()), o)
-    assert len(word) > 1000
-    assert lm_scoring.predicted(word, offsets, o).tolist() == list(range(len(word)))
-    none, _, at = lm_scoring.places(pa.array([""], pa.string()), o)
-    assert len(lm_scoring.predicted(none, at, o)) == 0
+def test_every_word_is_predicted_once_in_all_rounds(spark, messy, messy_rows, monkeypatch):
+    """With the settings of the registered query, and with many shards."""
+    seen = []
+    monkeypatch.setattr(lm_scoring, "_averaged", lambda rows, shards, state, classes, o: seen.append(rows.collect()))
+    for o in (WindowOptions(), WindowOptions(shard_words=300)):
+        seen.clear()
+        rows = lm_scoring.coded(messy, o)
+        words = int(lm_scoring.count_coded(rows, o).sum())
+        assert words == sum(len(lm_scoring.places(pa.array([t or ""]), o)[0]) for _, t in messy_rows)
+        lm_scoring.train_coded(rows, words, np.zeros(1 << o.word_bits, int), o)
+        first, *rounds = seen
+        assert sorted(bytes(r.words) for part in rounds for r in part) == sorted(bytes(r.words) for r in rows.collect())
+        assert len(rounds) == o.rounds and sum(len(r.words) for r in first) <= 2 * words
+
+
+def test_scores_do_not_depend_on_partitions(spark, chains):
+    o = WindowOptions(context_bits=6, word_bits=8, classes=8, width=6, batch=64, first_words=700, shard_words=1500, rounds=3)
+    scores = []
+    for partitions in (1, 8, 64):
+        rows = lm_scoring.pseudo_likelihoods(documents(spark, chains).repartition(partitions), o).collect()
+        scores.append(np.array([r.pll_per_word for r in sorted(rows, key=lambda r: r.doc_id)]))
+    assert np.abs(scores[0] - scores[1]).max() < 1e-3 and np.abs(scores[0] - scores[2]).max() < 1e-3
+
+
+def test_averaging_teaches_more_than_one_shard(spark):
+    """On text that was not learnt from: better than word frequencies, and than one shard alone."""
+    rng, rows = random.Random(8), []
+    steps = {w: [rng.randrange(200) for _ in range(3)] for w in range(200)}
+    for i in range(600):
+        word, text = rng.randrange(200), []
+        for _ in range(60):
+            text.append(f"w{word}")
+            word = rng.choice(steps[word])
+        rows.append((i, " ".join(text)))
+    o = WindowOptions(context_bits=10, word_bits=12, classes=32, width=16, batch=256, first_words=1500, shard_words=4000)
+    learnt, held = documents(spark, rows[:500]), documents(spark, rows[500:])
+    classes, shares = lm_scoring.word_classes(lm_scoring.count_words(learnt, o), o)
+
+    def likelihood(net):
+        return np.mean([r.pll_per_word for r in lm_scoring.score(held, net, classes, shares, o).collect()])
+
+    every = likelihood(lm_scoring.train(learnt, classes, o))
+    alone = likelihood(lm_scoring.train(documents(spark, rows[:66]), classes, o))
+    untaught = Network(*[p * 0 for p in Network.start(o).parts()])  # all classes alike: word frequencies
+    assert every > alone + 0.05 and every > likelihood(untaught) + 0.3
 
 
 def test_classes_cut_all_words_evenly():
