@@ -265,7 +265,7 @@ def _averaged(rows: DataFrame, shards: int, state: np.ndarray | None, classes, o
             for row in batch.to_pylist():
                 one = held.setdefault(row["part"], [0, 0.0])
                 one[0] += row["words"]
-                one[1] = one[1] + np.frombuffer(row["weights"])
+                one[1] = one[1] + row["words"] * np.frombuffer(row["weights"], np.float32).astype(np.float64)
         for part, (words, total) in held.items():
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int64()), "words": pa.array([words], pa.int64()),
@@ -284,7 +284,7 @@ def _slices(trainer: Trainer | None) -> Iterator[pa.RecordBatch]:
     """What a trained network adds to the sums of the average."""
     if trainer is None or not trainer.words:
         return
-    flat = trainer.state().astype(np.float64) * trainer.words
+    flat = trainer.state().astype(np.float32)
     for k in range(0, len(flat), _PART):
         yield pa.RecordBatch.from_pydict({
             "part": pa.array([k // _PART], pa.int64()), "words": pa.array([trainer.words], pa.int64()),
