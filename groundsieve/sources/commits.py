@@ -37,6 +37,22 @@ def write_attempt(tables: dict[str, DataFrame], path: str, run: str, key: str =
     return attempt
 
 
+def write_runs(rows: DataFrame, path: str, name: str, key: str) -> str:
+    """Writes and commits the rows of many runs in one job; the column ``key`` names the run of each.
+    Runs that have no row here stay as they are. A row without a run is an error."""
+    attempt = f"a{uuid.uuid4().hex}"
+    run = F.col(key).cast("string")
+    named = F.when(F.length(run) > 0, run).otherwise(F.raise_error(F.lit("a run needs a name")))
+    marked = rows.drop("attempt").withColumns({key: named, "attempt": F.lit(attempt)})
+    marked.write.mode("append").partitionBy(key, "attempt").parquet(f"{path}/{name}")
+    schema = rows.drop(key, "attempt").schema.json()
+    tables = F.array(F.struct(F.lit(name).alias("name"), F.lit(schema).alias("schema")))
+    rows.select(run.alias("run")).distinct().select(
+        "run", F.lit(attempt).alias("attempt"), tables.alias("tables"), F.current_timestamp().alias("committed_at"),
+    ).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return attempt
+
+
 def commit(path: str, run: str, attempt: str, tables: dict[str, DataFrame], key: str = "run") -> None:
     """Makes an attempt count. Committing it again changes nothing."""
     spark = next(iter(tables.values())).sparkSession

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from groundsieve.config import HASH_DIMS
 from groundsieve.operators.lexical import LexicalIndex
 from groundsieve.plans.ingest import CorpusIndex
-from groundsieve.sources.commits import read_runs, write_run
+from groundsieve.sources.commits import read_runs, write_run, write_runs
 
 _INDEX_TABLES = ("passages", "passage_terms", "term_stats", "corpus_stats", "vectors")
 _PROJECT = "project_id"
@@ -28,6 +28,12 @@ def save_documents(documents: DataFrame, path: str, project_id: str) -> None:
     write_run({"documents": documents}, path, project_id, _PROJECT)
 
 
+def save_projects(documents: DataFrame, path: str) -> None:
+    """The documents of many projects, named by their project_id, in one write; each project that has
+    a document here is replaced."""
+    write_runs(documents, path, "documents", _PROJECT)
+
+
 def load_documents(spark: SparkSession, path: str, projects: DataFrame | None = None) -> DataFrame:
     """The documents of all projects, or of those in the only column of ``projects``; only
     their partitions are read."""

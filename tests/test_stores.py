@@ -107,6 +107,19 @@ def test_several_projects_are_read_by_their_partitions(spark, projects):
     assert tables.load_documents(spark, projects).count() == 3
 
 
+def test_many_projects_in_one_write(spark, tmp_path):
+    path = str(tmp_path)
+    first = spark.createDataFrame([("1", "a"), ("01", "b"), ("01", "c"), ("x/y", "d")], "project_id string, text string")
+    tables.save_projects(first, path)
+    tables.save_projects(spark.createDataFrame([("01", "new")], "project_id string, text string"), path)
+    got = sorted((r["project_id"], r["text"]) for r in tables.load_documents(spark, path).collect())
+    assert got == [("01", "new"), ("1", "a"), ("x/y", "d")]
+    for bad in (None, ""):
+        with pytest.raises(Exception, match="a run needs a name"):
+            tables.save_projects(spark.createDataFrame([(bad, "a"), ("z", "b")], "project_id string, text string"), path)
+    assert tables.load_documents(spark, path).count() == 3
+
+
 def test_an_index_changes_as_a_whole(spark, projects, proverbs):
     docs = proverbs.withColumn("text", F.lit("Only one line."))
     index = build_index(ingest(docs).passages)

@@ -31,7 +31,7 @@ from groundsieve.sources.places import store_places
 from groundsieve.sources.rejects import check_eval_items, check_units
 from groundsieve.sources.staging import new_folder, spread
 from groundsieve.sources.tables import (
-    load_documents, load_index, read_candidates, read_results, save_candidates, save_documents, save_index, save_results,
+    load_documents, load_index, read_candidates, read_results, save_candidates, save_index, save_projects, save_results,
 )
 from workload.data import (
     documents, eval_items, found, pair_scores, prepared, questions, quotes, table,
@@ -708,12 +708,10 @@ def q_bm25_topk_saved(spark, folder):
 
 def q_project_documents(spark, folder):
     """Documents stored by source as projects, three of which are read."""
-    docs = table(spark, folder, "documents")
-    names = sorted(r[0] for r in docs.select("source").distinct().collect())  # a project each
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.col("source").alias("project_id"))
     path = new_folder(spark, "projects")
-    for name in names:
-        save_documents(docs.where(F.col("source") == name).select("doc_id", "text"), path, name)
-    wanted = spark.createDataFrame([(n,) for n in names[:3]], "project string")
+    save_projects(docs, path)
+    wanted = docs.select("project_id").distinct().orderBy("project_id").limit(3)
     return load_documents(spark, path, wanted).groupBy("project_id").agg(
         F.count("*").alias("n_documents"), F.sum(F.length("text")).alias("n_chars"))
 
