@@ -776,6 +776,16 @@ def oracles() -> dict[str, str]:
                           "(query_id) JOIN (SELECT query_id, count(*) AS nc FROM cites GROUP BY "
                           "query_id) USING (query_id)",
     }
+    queries["context_lost"] = (
+        "SELECT query_id, 'lost-' || query_id AS passage_id, own AS anchor_text, 'Lost' AS section_title, NULL::INTEGER AS "
+        "section_order_index, 'lost-' || query_id AS window_passage_ids, own AS window_text FROM (SELECT query_id, CASE WHEN "
+        "query_id::INTEGER % 2 = 0 THEN question ELSE '' END AS own FROM qs)")
+    queries["context_from_windows"] = (
+        "SELECT query_id, passage_id, window_passage_ids, window_text FROM (" + queries["context_expand"] + ")")
+    queries["stored_artifacts"] = "SELECT query_id, count(*)::INTEGER AS n_anchors, true AS recent FROM bun GROUP BY query_id"
+    queries["objection_issues"] = (
+        "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text || ' | ' || text ELSE text || ' | open' END "
+        "AS issues FROM conversations")
     queries["passage_windows_nested"] = queries["passage_windows"]
     queries["gold_many_quotes"] = (
         "SELECT DISTINCT query_id, passage_id FROM (SELECT DISTINCT query_id, l AS quote FROM qlines WHERE l <> '') "

@@ -13,7 +13,7 @@ from groundsieve.functions.vectors import l2_normalize
 from groundsieve.operators import answers as ans, evaluation as ev, prompts
 from groundsieve.operators.cells import build_cells, cell_search, read_cells, write_cells
 from groundsieve.operators.dense import dense_search, embed_questions, hash_embedding
-from groundsieve.operators.evidence import bundle_anchors, context_from_places
+from groundsieve.operators.evidence import bundle_anchors, context_from_places, context_from_windows, expand_context
 from groundsieve.operators.fusion import count_broken_scores, rerank, score_pairs_in_batches
 from groundsieve.operators.lexical import bm25_search, prepare_questions
 from groundsieve.operators.postings import block_search, read_postings, write_postings
@@ -31,7 +31,7 @@ from groundsieve.sources.places import store_places
 from groundsieve.sources.rejects import check_eval_items, check_units
 from groundsieve.sources.staging import new_folder, spread
 from groundsieve.sources.tables import (
-    load_documents, load_index, read_candidates, read_results, save_candidates, save_index, save_projects, save_results,
+    load_documents, load_index, read_artifact, read_candidates, read_results, save_artifact, save_candidates, save_index, save_projects, save_results,
 )
 from workload.data import (
     documents, eval_items, found, pair_scores, prepared, questions, quotes, table,
@@ -838,5 +838,44 @@ def q_query_overview_rounds(spark, folder):
                        .alias("with_text"), "verification_status")
 
 
+def q_context_lost(spark, folder):
+    """Contexts of anchors that are in no passage table, every second with a text of its own."""
+    base = prepared(spark, folder)
+    own = F.when(F.col("query_id").cast("int") % 2 == 0, F.col("question"))
+    anchors = base.questions.select("query_id", F.concat(F.lit("lost-"), "query_id").alias("passage_id"),
+                                    own.alias("passage_text"), F.lit("Lost").alias("section_title"))
+    rows = expand_context(anchors, base.index.passages)
+    return rows.select("query_id", "passage_id", "anchor_text", "section_title", "section_order_index",
+                       F.array_join("window_passage_ids", " ").alias("window_passage_ids"), "window_text")
+
+
+def q_context_from_windows(spark, folder):
+    """The windows of the anchors, read from a window table."""
+    run, docs = found(spark, folder, with_pairs=True), documents(spark, folder)
+    rows = context_from_windows(run.anchors, windows_table(split_documents(docs), radius=1))
+    return rows.select("query_id", "passage_id", F.array_join("window_passage_ids", " ").alias("window_passage_ids"),
+                       "window_text")
+
+
+def q_stored_artifacts(spark, folder):
+    """Bundles stored twice under the name of their run, and read back with the time they were made."""
+    path, bundles = new_folder(spark, "artifacts"), found(spark, folder, with_pairs=True).bundles
+    for _ in range(2):
+        save_artifact(bundles, path, "bundles", "run 1")
+    rows = read_artifact(spark, path, "bundles")
+    age = F.timestamp_diff("MINUTE", F.col("created_at"), F.current_timestamp())
+    return rows.select("query_id", F.size("anchors").alias("n_anchors"), age.between(0, 600).alias("recent"))
+
+
+def q_objection_issues(spark, folder):
+    """Objections stored as texts, as objects, or as both, made of conversation turns."""
+    rows = spread(table(spark, folder, "conversations"), "conv_id", "turn")
+    plain, item = F.col("text"), F.struct(F.col("text").alias("issue"), F.array("role").alias("related_passage_ids"))
+    kind = F.col("turn") % 3
+    raw = F.when(kind == 0, F.to_json(F.array(plain))).when(kind == 1, F.to_json(F.array(item, item))).otherwise(
+        F.concat(F.lit("["), F.to_json(item), F.lit(', "open"]')))
+    return rows.select("conv_id", "turn", F.array_join(ans.objection_issues(raw), " | ").alias("issues"))
+
+
 def registered() -> dict:
     return {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
