@@ -83,7 +83,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, options: FtrlOptions) ->
     known = known.where(F.col("label").isNotNull() & ~held_out(F.col("key"), options.folds))
     known = known.groupBy("key").agg(F.max("label").alias("label"))
     share = min(1.0, options.sample_rows / max(known.count(), 1))
-    chosen = known.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    chosen = known.where(F.pmod(F.xxhash64("key"), F.lit(1 << 60)) < int(share * (1 << 60)) + 1)
     texts = texts_of(docs).select(F.col("doc_id").cast("long").alias("key"), "text")
     # One text for each id, so that a much repeated id stays one example.
     return texts.join(F.broadcast(chosen), "key").groupBy("key").agg(
