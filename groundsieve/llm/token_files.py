@@ -73,8 +73,8 @@ def train_dictionary(texts: DataFrame, options: TokenFileOptions) -> bytes:
     """A zstandard dictionary of a hash-chosen, bounded sample; empty for an empty table."""
     total = texts.count()
     share = min(1.0, options.sample_documents / max(total, 1))
-    spot = F.pmod(F.xxhash64(*texts.columns), F.lit(1_000_000))
-    sample = texts.where(spot < int(share * 1_000_000) + 1).select("text").repartition(1)
+    spot = F.pmod(F.xxhash64(*texts.columns), F.lit(1 << 60))
+    sample = texts.where(spot < int(share * (1 << 60)) + 1).select("text").repartition(1)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
