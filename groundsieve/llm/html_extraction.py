@@ -236,9 +236,9 @@ def extract_texts(sources: list[str], trees: Trees) -> list[str]:
 def fit_extractor(pages: DataFrame, options: ExtractionOptions = ExtractionOptions()) -> Trees:
     share = min(1.0, options.sample_pages / max(pages.count(), 1))
     rows = pages.select(F.coalesce(pages["html"], F.lit("")).alias("html"))
-    spot = F.pmod(F.xxhash64("html"), F.lit(1_000_000))
+    spot = F.pmod(F.xxhash64("html"), F.lit(1 << 60))
     # Copies of a page have one hash; each is learnt from once.
-    sample = rows.where(spot < int(share * 1_000_000) + 1).groupBy(F.sha2("html", 256).alias("digest")).agg(
+    sample = rows.where(spot < int(share * (1 << 60)) + 1).groupBy(F.sha2("html", 256).alias("digest")).agg(
         F.first("html").alias("html"))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
