@@ -10,10 +10,12 @@ find are enough). Keys are hashes of length, segment number and substring.
 
 1. Partial sums before the shuffle find the keys with several lines: one number
    for each key moves, however many lines share it.
-2. The lines of those keys alone are looked up again. Pairs must agree in length
-   and in counts of letters, inside the join, before a banded bit-parallel edit
-   distance decides; pairs that fail are never written down.
-3. Components of the near pairs are classes. Of each class the first line stays,
+2. The lines of those keys alone are looked up again, and each of them gets the
+   parities of its letter pairs, 256 bits. An edit flips four of them at most, so the
+   join by key compares lengths and parities, numbers only, and few pairs leave it
+   that are not near. A key with thousands of lines is joined in blocks of them.
+3. Each such pair is taken once, with its texts, to a banded bit-parallel edit distance.
+4. Components of the near pairs are classes. Of each class the first line stays,
    in the order of document id and line; later ones leave their documents.
 
 Defined results: blank lines are no lines and stay; a null text stays null; rows
@@ -34,8 +36,10 @@ from groundsieve.sources.staging import stage
 
 _FILTER_WORDS = 1 << 18
 _ID_BITS = 28  # of a line's hash that tell whether a key has several lines
-# Letters whose counts are compared before the edit distance; any disjoint groups will do.
-_LETTERS = ("a", "e", "i", "o", "n", "t", "rs", "dhl")
+_SIGN_WORDS = 4    # of 64 parities
+_FLIPS = 4         # parities that one edit can change: two letter pairs go, two come
+_BLOCK = 2048      # lines of one key that are joined as one
+_PAIRS = 256       # pairs of a task that takes edit distances
 
 
 @dataclass(frozen=True)
@@ -159,6 +163,49 @@ def maybe_among(rows: DataFrame, keys: DataFrame) -> DataFrame:
         "word", "bits")
 
 
+def characters(text: str) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def with_parities(lines: DataFrame) -> DataFrame:
+    """``size`` in characters, and in ``parity0``... whether each of the hashed pairs of
+    neighbouring letters (the last letter and the end being one too) is there an odd number of times."""
+    pairs = F.zip_with("chars", F.slice("chars", 2, F.greatest(F.size("chars") - 1, F.lit(0))),
+                       lambda c, then: F.xxhash64(c, then))
+    words = [f"parity{w}" for w in range(_SIGN_WORDS)]
+
+    def flip(held: Column, pair: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(pair, 8).bitwiseAND(F.lit(63)).cast("int"))
+        return F.struct(*[F.when(F.pmod(pair, F.lit(_SIGN_WORDS)) == w, held[name].bitwiseXOR(bit)).otherwise(
+            held[name]).alias(name) for w, name in enumerate(words)])
+
+    start = F.struct(*[F.lit(0).cast("long").alias(name) for name in words])
+    rows = lines.withColumn("chars", characters("text")).withColumn("parities", F.aggregate(pairs, start, flip))
+    return rows.select("id", "text", F.length("text").alias("size"), "parities.*")
+
+
+def close_pairs(held: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """a and b: lines of one key whose lengths and parities allow ``edits`` edits, each
+    pair once; a is the shorter one, or that with the smaller hash. held(key, id, own)
+    joins in blocks of at most about ``_BLOCK`` lines, so that no key is one task's work."""
+    words = [f"parity{w}" for w in range(_SIGN_WORDS)]
+    hot = held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > _BLOCK).select(
+        "key", F.ceil(F.col("n") / _BLOCK).cast("int").alias("blocks"))
+    marked = held.join(stage(hot, "hot-keys"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    lines = stage(marked.join(texts.select("id", "size", *words), "id"), "lines-of-keys")
+    long = lines.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    short = lines.where("own = 1").select(
+        "key", F.pmod("id", F.col("blocks")).cast("int").alias("block"),
+        *[F.col(c).alias(f"short_{c}") for c in ("id", "size", *words)])
+    flips = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"short_{c}"))) for c in words[1:]),
+                F.bit_count(F.col(words[0]).bitwiseXOR(F.col(f"short_{words[0]}"))))
+    close = (F.col("short_size").between(F.col("size") - edits, F.col("size"))
+             & ((F.col("short_size") < F.col("size")) | (F.col("short_id") < F.col("id")))
+             & (flips <= _FLIPS * edits))
+    pairs = long.join(short, (long["key"] == short["key"]) & (long["block"] == short["block"]) & close)
+    return pairs.select(F.col("short_id").alias("a"), F.col("id").alias("b")).distinct()
+
+
 def near_pairs(lines: DataFrame, options: LineOptions) -> DataFrame:
     """a and b: the hashes of lines that are near, each pair once."""
     edits = options.edits
@@ -176,18 +223,31 @@ def near_pairs(lines: DataFrame, options: LineOptions) -> DataFrame:
         (had.bitwiseAND(lacked) != 0) & (F.shiftright("seen", 2 * _ID_BITS) == 1)).select("key"), "busy-keys")
     held = stage(maybe_among(keyed, busy).join(busy, "key").groupBy("key", "id").agg(
         F.max("own").alias("own"), F.first("text").alias("text")), "busy-lines")
-    counts = [(F.length("text") - F.length(F.translate("text", c, ""))).alias(f"c{n}") for n, c in enumerate(_LETTERS)]
-    chars = F.filter(F.split("text", ""), lambda c: c != "")
-    wide = held.select("key", "id", "own", F.length("text").alias("size"), *counts, chars.alias("chars"))
-    short = wide.where("own = 1").select("key", *[F.col(c).alias(f"short_{c}") for c in wide.columns if c != "key"])
-    apart = sum((F.abs(F.col(f"c{n}") - F.col(f"short_c{n}")) for n in range(1, len(_LETTERS))),
-                F.abs(F.col("c0") - F.col("short_c0")))
-    close = (F.col("short_size").between(F.col("size") - edits, F.col("size"))
-             & ((F.col("short_size") < F.col("size")) | (F.col("short_id") < F.col("id")))
-             & (apart <= 2 * edits))
-    pairs = wide.join(short, (wide["key"] == short["key"]) & close)
-    near = pairs.where(banded_distance(F.col("short_chars"), F.col("chars"), edits) <= edits)
-    return near.select(F.col("short_id").alias("a"), F.col("id").alias("b")).distinct()
+    texts = stage(with_parities(held.groupBy("id").agg(F.first("text").alias("text"))), "busy-texts")
+    candidates = stage(close_pairs(held.select("key", "id", "own"), texts, edits), "close-pairs")
+    # Few bytes and much work each, so the number of tasks goes by the pairs.
+    pairs = candidates.join(texts.select(F.col("id").alias("a"), F.col("text").alias("short")), "a").join(
+        texts.select(F.col("id").alias("b"), F.col("text").alias("long")), "b").repartition(
+        -(-candidates.count() // _PAIRS) or 1)
+    return differing_middles(pairs).where(
+        banded_distance(F.col("short"), F.col("long"), edits) <= edits).select("a", "b")
+
+
+def differing_middles(pairs: DataFrame) -> DataFrame:
+    """a, b and as written arrays the characters of ``short`` and ``long`` without
+    what both begin and both end with, which a shortest way of edits need not touch."""
+    both = pairs.select("a", "b", characters("short").alias("short"), characters("long").alias("long"))
+
+    def alike(short: Column, long: Column) -> Column:
+        same = F.zip_with(short, F.slice(long, F.lit(1), F.size("short")), lambda x, y: x == y)
+        return F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size("short")).cast("int")
+
+    counted = both.withColumn("front", alike(F.col("short"), F.col("long"))).withColumn(
+        "back", alike(F.reverse("short"), F.reverse("long"))).withColumn(
+        "back", F.least("back", F.size("short") - F.col("front")))
+    return stage(counted.select("a", "b", *[
+        F.slice(c, F.col("front") + 1, F.size(c) - F.col("front") - F.col("back")).alias(c)
+        for c in ("short", "long")]), "middles")
 
 
 def line_classes(docs: DataFrame, options: LineOptions) -> DataFrame:
