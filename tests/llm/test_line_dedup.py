@@ -134,3 +134,21 @@ def test_banded_distance(spark):
     frame = spark.createDataFrame(rows, "a string, b string, d int")
     for r in frame.select("d", line_dedup.banded_distance(chars("a"), chars("b"), 2).alias("got")).collect():
         assert r.got == r.d if r.d <= 2 else r.got > 2
+
+
+def test_blocks_of_a_busy_key_lose_no_pair(spark, monkeypatch):
+    """Every near pair of a key comes out, and the same pairs in blocks as in one piece."""
+    rng = random.Random(8)
+    base = prose(rng, 1, 12)
+    texts = sorted({altered(base, k % 4, rng) for k in range(40)} | {"é" * 20, "é" * 21})
+    lines = line_dedup.with_parities(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    held = lines.select(F.lit(1).cast("long").alias("key"), "id", F.lit(1).alias("own"))
+    near = {frozenset((a, b)) for b in range(len(texts)) for a in range(b) if distance(texts[a], texts[b]) <= 2}
+    found = []
+    for block in (3, 2048):
+        monkeypatch.setattr(line_dedup, "_BLOCK", block)
+        rows = line_dedup.close_pairs(held, lines, 2).collect()
+        assert all(len(texts[r.a]) <= len(texts[r.b]) for r in rows)
+        found.append({frozenset((r.a, r.b)) for r in rows})
+        assert len(found[-1]) == len(rows)
+    assert near <= found[0] == found[1]
