@@ -78,7 +78,7 @@ def lexical_tokens(text: Column, compat: bool = False) -> Column:
     words = F.regexp_replace(F.lower(text), r"[^a-z0-9]+", " ")
     if not compat:
         words = F.regexp_replace(words, _INFLECTED_STOP, "")
-    stems = F.split(light_stem(words), " +")
+    stems = F.split(light_stem(words), " ")  # a plain blank is no regex; empty words go below
     return F.filter(stems, lambda stem: ~stem.isin("", *STOP_WORDS))
 
 

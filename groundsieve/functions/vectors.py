@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 
 from groundsieve.config import HASH_DIMS
-from groundsieve.functions.spans import let, value_counts
+from groundsieve.functions import tokenblocks
+from groundsieve.functions.spans import let
 from groundsieve.functions.text import blank_tokens
 
+# The kernels travel with the tasks instead of being imported there.
+cloudpickle.register_pickle_by_value(tokenblocks)
+
 
 def hash_codes(text: Column, dims: int = HASH_DIMS) -> Column:
     """The hashing embedder before summing up: per token a signed dimension number, from 1.
@@ -16,46 +22,15 @@ def hash_codes(text: Column, dims: int = HASH_DIMS) -> Column:
     the parity of the fifth the sign. Summing the signs per dimension gives
     the vector, so this array is the vector in sparse, unsummed form.
     """
-    def code(token: Column) -> Column:
-        return let(F.sha2(token, 256), lambda h: (
-            (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dims + 1)
-            * F.when(F.substring(h, 10, 1).isin(*"02468ace"), 1).otherwise(-1)
-        ).cast("int"))
+    def coded(words: pa.Array) -> pa.Array:
+        return tokenblocks.hashed(words, dims)
 
-    return F.transform(blank_tokens(F.lower(text)), code)
+    return F.arrow_udf(coded, "array<int>")(blank_tokens(F.lower(text)))
 
 
 def summed_codes(codes: Column) -> Column:
-    """The unit vector of hashed tokens as an array of (dim from 0, weight), zeros left out.
-
-    Codes are turned into ``2 * dim + sign bit`` and sorted, so equal ones form
-    runs and the two signs of a dimension lie side by side; no row leaves its task.
-    """
-    keys = F.transform(codes, lambda c: (F.abs(c) - 1) * 2 + (c > 0).cast("int"))
-
-    def totals(runs: Column) -> Column:
-        def total(run: Column, n: Column) -> Column:
-            dim, after = run["value"].bitwiseAND(-2), F.get(runs, n + 1)
-            other = F.when(after["value"].bitwiseAND(-2) == dim, after["n"]).otherwise(0)
-            return F.struct(
-                (dim / 2).cast("int").alias("dim"),
-                F.when(run["value"] == dim, other - run["n"]).otherwise(run["n"]).alias("total"))
-
-        # The positive half of a dimension was counted with the negative one before it.
-        second = F.transform(runs, lambda run, n: F.coalesce(
-            F.get(runs, n - 1)["value"] == run["value"].bitwiseAND(-2), F.lit(False))
-            & (run["value"].bitwiseAND(1) == 1))
-        summed = F.zip_with(F.transform(runs, total), second, lambda t, s: F.when(~s, t))
-        return F.filter(F.array_compact(summed), lambda t: t["total"] != 0)
-
-    def weighted(sums: Column) -> Column:
-        return let(
-            F.sqrt(F.aggregate(sums, F.lit(0).cast("bigint"),
-                               lambda acc, t: acc + t["total"] * t["total"]).cast("double")),
-            lambda norm: F.transform(sums, lambda t: F.struct(
-                t["dim"].alias("dim"), (t["total"] / norm).alias("weight"))))
-
-    return let(let(value_counts(keys), totals), weighted)
+    """The unit vector of hashed tokens as an array of (dim from 0, weight), zeros left out."""
+    return F.arrow_udf(tokenblocks.summed, "array<struct<dim:int,weight:double>>")(codes)
 
 
 def l2_normalize(vector: Column) -> Column:

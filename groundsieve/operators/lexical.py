@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from groundsieve.config import BM25_B, BM25_IDF_FLOOR, BM25_K1, SCORE_DIGITS
+from groundsieve.functions import tokenblocks
 from groundsieve.functions.nearest import TermScan
-from groundsieve.functions.spans import value_counts
 from groundsieve.functions.text import expand_terms, lexical_tokens, normalize_question
 from groundsieve.operators.blockwise import CELL_PASSAGES, LOCAL_QUERIES, block_search
 from groundsieve.sources.staging import bounded, stage
 
+# The kernels travel with the tasks instead of being imported there.
+cloudpickle.register_pickle_by_value(tokenblocks)
+
 _ENTRIES = "array<struct<term:string,tf:int>>"
 
 
@@ -40,7 +44,7 @@ class LexicalIndex:
 
 def term_counts(tokens: Column) -> Column:
     """Distinct tokens with their counts, as (term, tf)."""
-    return value_counts(tokens).cast(_ENTRIES)
+    return F.arrow_udf(tokenblocks.counted, _ENTRIES)(tokens)
 
 
 def term_statistics(passage_terms: DataFrame) -> DataFrame:

@@ -62,9 +62,19 @@ def build_index(
     """
     own = vectors is None
     if staged:
-        passages = stage(passages, "passages")
+        passages = _staged_passages(passages)
     lexical = build_lexical_index(passages, config.compat)
     vectors = build_hash_index(passages, dims) if own else vectors
     if staged:
         lexical, vectors = lexical.staged(), stage(vectors, "vectors")
     return CorpusIndex(passages, lexical, vectors, own, dims)
+
+
+def _staged_passages(passages: DataFrame) -> DataFrame:
+    """The passages, written once; a normalized_text that is the text itself is not written a second time."""
+    if not {"text", "normalized_text"} <= set(passages.columns):
+        return stage(passages, "passages")
+    text, normalized = F.col("text"), F.col("normalized_text")
+    held = stage(passages.withColumn(
+        "normalized_text", F.when(~normalized.eqNullSafe(text), F.struct(normalized.alias("own")))), "passages")
+    return held.withColumn("normalized_text", F.when(normalized.isNull(), text).otherwise(normalized["own"]))
