@@ -88,11 +88,12 @@ def assemble(
 
     ``pair_scores``(query_id, passage_id, score) drives the reranker; without
     it, or with the reranker disabled, candidates keep their hybrid order.
-    Bundles are written once, for answers and metrics to start from.
+    Reranked candidates and bundles are written once: both are small, and contexts, answers and
+    metrics start from them instead of scoring the pairs again.
     """
     merged = fused(candidates.merged, config)
-    reranked = rerank(merged, config.reranker_top_k,
-                      pair_scores if config.reranker_enabled else None, config.compat)
+    reranked = stage(rerank(merged, config.reranker_top_k,
+                            pair_scores if config.reranker_enabled else None, config.compat), "reranked")
     anchors = take_anchors(reranked, config.top_k_anchors, config.min_anchor_score)
     contexts = expand_context(anchors, index.passages, config.context_window_radius)
     bundles = stage(

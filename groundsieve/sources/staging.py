@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A broadcast side may hold this many rows at most (tens of MB); see ``bounded``.
 BROADCAST_ROWS = 1_000_000
@@ -48,6 +48,11 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def sent(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The side of a join that goes to every task if it has at most ``rows`` rows."""
+    return F.broadcast(df) if bounded(df, rows) else df
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spreads a small input that arrives in few splits over all cores.
 

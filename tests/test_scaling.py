@@ -41,6 +41,17 @@ def plan(rows):
     return rows._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pair_scores_leave_the_passages_where_they_lie(spark, base):
+    with no_guessed_broadcast(spark):
+        assert "BroadcastHashJoin" in plan(pair_scores(base))
+
+
+def test_reranked_candidates_are_scored_once(base):
+    run = assemble(base.candidates, base.index, pair_scores=pair_scores(base))
+    assert "Join" not in plan(run.reranked) and "Window" not in plan(run.reranked)
+    assert run.reranked.count() == run.merged.where("rank_hybrid < 25").count()
+
+
 def test_a_text_that_is_its_own_normal_form_is_written_once(spark):
     given = [("a", "one two", "one two"), ("b", "One  two", "One two"), ("c", None, None), ("d", None, "x"),
              ("e", "x", None)]

@@ -14,7 +14,7 @@ from groundsieve.operators.evaluation import gather_ids, locate_quotes
 from groundsieve.plans.ingest import CorpusIndex, build_index, ingest
 from groundsieve.plans.retrieval import Candidates, Retrieval, assemble, search
 from groundsieve.sources.corpus import as_documents
-from groundsieve.sources.staging import spread, stage
+from groundsieve.sources.staging import sent, spread, stage
 
 
 @dataclass
@@ -88,8 +88,10 @@ def pair_scores(base: Prepared) -> DataFrame:
     none, as a failing model would give."""
     asked = base.candidates.questions.select(
         "query_id", F.array_distinct("normalized_tokens").alias("wanted"))
-    pairs = base.candidates.merged.select("query_id", "passage_id").join(asked, "query_id").join(
-        base.index.passages.select("passage_id", "passage_index", "normalized_text"), "passage_id")
+    wanted = base.candidates.merged.select("query_id", "passage_id")
+    # The passages are scanned where they lie; only the pairs travel.
+    pairs = base.index.passages.select("passage_id", "passage_index", "normalized_text").join(
+        sent(wanted), "passage_id").join(asked, "query_id")
     tokens = lexical_tokens(F.col("normalized_text"))
     share = F.size(F.array_intersect("wanted", tokens)) / F.greatest(F.size("wanted"), F.lit(1))
     return pairs.where("passage_index <> 1").select(
