@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from groundsieve.sources.places import PassagePlaces, neighbourhood
-from groundsieve.sources.staging import BROADCAST_ROWS, bounded, stage
+from groundsieve.sources.staging import sent, stage
 
 SCORES = ("lexical", "dense", "hybrid", "rerank")
 
@@ -29,9 +29,6 @@ def expand_context(
     base = _own_columns(anchors, by)
     keys = anchors.select("passage_id").distinct()
 
-    def sent(rows: DataFrame) -> DataFrame:
-        return F.broadcast(rows) if bounded(rows, BROADCAST_ROWS) else rows
-
     # The passages are only ever filtered by what the anchors ask for, so with
     # few anchors they are scanned in place and never shuffled. The anchors'
     # own rows are needed twice and written down to spare a scan.
@@ -108,12 +105,13 @@ def context_from_places(
 def context_from_windows(
     anchors: DataFrame, windows: DataFrame, by: tuple = ("query_id",)
 ) -> DataFrame:
-    """The same contexts read from a window table that was built with the passages."""
-    return anchors.select(*by, "passage_id").join(
-        windows.select(F.col("anchor_passage_id").alias("passage_id"),
-                       F.col("included_passage_ids").alias("window_passage_ids"),
-                       F.col("text").alias("window_text")),
-        "passage_id")
+    """The same contexts read from a window table that was built with the passages; with few
+    anchors the windows are scanned where they lie and never shuffled."""
+    windows = windows.select(F.col("anchor_passage_id").alias("passage_id"),
+                             F.col("included_passage_ids").alias("window_passage_ids"),
+                             F.col("text").alias("window_text"))
+    return windows.join(sent(anchors.select(*by, "passage_id")), "passage_id").select(
+        *by, "passage_id", "window_passage_ids", "window_text")
 
 
 def _score_map() -> Column:

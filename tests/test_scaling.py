@@ -52,6 +52,13 @@ def test_reranked_candidates_are_scored_once(base):
     assert run.reranked.count() == run.merged.where("rank_hybrid < 25").count()
 
 
+def test_windows_of_few_anchors_are_not_shuffled(spark, proverbs):
+    anchors = spark.createDataFrame([("q", "book-0"), ("q", "book-7")], "query_id string, passage_id string")
+    with no_guessed_broadcast(spark):
+        rows = context_from_windows(anchors, ingest(proverbs).windows)
+        assert "SortMergeJoin" not in plan(rows) and rows.count() == 2
+
+
 def test_a_text_that_is_its_own_normal_form_is_written_once(spark):
     given = [("a", "one two", "one two"), ("b", "One  two", "One two"), ("c", None, None), ("d", None, "x"),
              ("e", "x", None)]
