@@ -33,6 +33,7 @@ RANGE = 1024
 BUCKETS = 256
 SEEDS = 4             # ranges of a query that are scored first
 QUERIES = 2048        # queries of a block; a task holds the scores of so many over one range
+_BLOCK = "term:string,n:int,largest:double,slots:array<smallint>,parts:array<double>"
 _HITS = "query_id string, range long, slot int, score double"
 # Scores are rounded before they are compared, so a range counts if it comes this close to the bar.
 _SLACK = 10.0 ** -SCORE_DIGITS
@@ -67,26 +68,20 @@ def posting_tables(index: LexicalIndex, buckets: int = BUCKETS, size: int = RANG
         raise ValueError("a range has a power of two of passages, 32,768 at most")
     mean_length = index.corpus_stats.select("mean_length").scalar()
     damping = BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / mean_length)
+    kind = index.passage_terms.schema["passage_id"].dataType.simpleString()
     # Numbers of passages in the order of their ids: the part of the order in the high bits, the
-    # place within it in the low ones. Written down, as they come from where a row stands.
+    # place within it in the low ones. A range lies in one part, in a run, so its blocks are made where
+    # its passages were sorted. Written down, as the numbers come from where a row stands.
     placed = stage(
-        index.passage_terms.select("passage_id", damping.alias("damping"), "entries")
+        index.passage_terms.select("passage_id", damping.alias("damping"), F.col("entries.term").alias("terms"),
+                                   F.col("entries.tf").alias("tf"))
         .repartitionByRange("passage_id").sortWithinPartitions("passage_id")
-        .withColumn("number", F.monotonically_increasing_id())
-        .select(F.floor(F.col("number") / size).alias("range"),
-                F.pmod("number", F.lit(size)).cast("smallint").alias("slot"), "passage_id", "damping", "entries"),
+        .select(F.floor(F.monotonically_increasing_id() / size).alias("range"), "passage_id", "damping", "terms", "tf")
+        .mapInArrow(rangescan.blocks_of_ranges, f"range long, passage_ids array<{kind}>, blocks array<struct<{_BLOCK}>>"),
         "placed_passages")
-    ranges = placed.groupBy("range").agg(
-        F.array_sort(F.collect_list(F.struct("slot", "passage_id"))).alias("p")).select(
-        "range", F.col("p.passage_id").alias("passage_ids"))
-    part = F.col("tf") / (F.col("tf") + F.col("damping"))
-    entries = placed.select("range", "slot", "damping", F.inline("entries"))
-    # At most ``size`` postings meet in a group.
-    lists = entries.groupBy("term", "range").agg(
-        F.array_sort(F.collect_list(F.struct("slot", part.alias("part")))).alias("p"))
-    blocks = lists.select(
-        _bucket(F.col("term"), buckets).alias("bucket"), "term", "range", F.size("p").alias("n"),
-        F.array_max("p.part").alias("largest"), F.col("p.slot").alias("slots"), F.col("p.part").alias("parts"))
+    ranges = placed.select("range", "passage_ids")
+    blocks = placed.select("range", F.inline("blocks")).select(
+        _bucket(F.col("term"), buckets).alias("bucket"), "term", "range", "n", "largest", "slots", "parts")
     return blocks, ranges
 
 
@@ -94,8 +89,11 @@ def write_postings(index: LexicalIndex, path: str, buckets: int = BUCKETS, size:
     """Writes the store of an index to a new folder."""
     blocks, ranges = posting_tables(index, buckets, size)
     ranges.write.parquet(f"{path}/ranges")
-    blocks.repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range").write.partitionBy(
-        "bucket").parquet(f"{path}/blocks")
+    # What the postings of a block tell is not moved with them.
+    moved = blocks.drop("n", "largest").repartitionByRange("bucket", "term", "range").sortWithinPartitions(
+        "bucket", "term", "range")
+    moved.select("term", "range", F.size("slots").alias("n"), F.array_max("parts").alias("largest"), "slots", "parts",
+                 "bucket").write.partitionBy("bucket").parquet(f"{path}/blocks")
     index.term_stats.write.parquet(f"{path}/term_stats")
     sizes = index.corpus_stats.withColumns({"buckets": F.lit(buckets), "range_size": F.lit(size)})
     sizes.write.parquet(f"{path}/corpus_stats")  # the last one: without it there is no store
@@ -137,16 +135,19 @@ def block_search(store: PostingStore, queries: DataFrame, k: int, seeds: int = S
     reach = stage(blocks.select("term", "range", "largest").join(_sent(weights), "term").groupBy(
         "query_id", "range").agg(F.sum(most).alias("reach"), F.count("*").alias("n_blocks")), "range_reach")
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        asking = pairs.join(_sent(weights), "query_id").groupBy(
-            "term", "range", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("part_of_queries")).agg(
-            F.collect_list(F.struct("query_id", "weight")).alias("askers"))
-        rows = blocks.select("term", "range", "slots", "parts").join(asking, ["term", "range"])
+    asked = weights.groupBy("query_id").agg(F.collect_list(F.struct("term", "weight")).alias("asked"))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("part_of_queries")
 
-        def kernel(group: pa.Table) -> pa.Table:
-            return rangescan.best_of_range(group, k, SCORE_DIGITS, size)
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+        return rangescan.best_of_range(left, right, k, SCORE_DIGITS, size)
 
-        return rows.groupBy("range", "part_of_queries").applyInArrow(kernel, _HITS)
+    def scored(pairs: DataFrame) -> DataFrame:
+        # A block goes to the queries of its range as it is, a query there with all of its terms.
+        wanted = pairs.select("range", part).distinct()
+        held = blocks.select("term", "range", "slots", "parts").join(_sent(wanted), "range")
+        asking = pairs.select("query_id", "range", part).join(_sent(asked), "query_id")
+        return held.groupBy("range", "part_of_queries").cogroup(
+            asking.groupBy("range", "part_of_queries")).applyInArrow(kernel, _HITS)
 
     order = F.desc("score"), F.asc("range"), F.asc("slot")
     first = stage(best(reach.where("reach > 0"), "place", seeds, F.desc("reach"), F.asc("range")), "seed_ranges")

@@ -98,3 +98,17 @@ def test_codes_of_a_block_are_summed_by_row(spark, values):
     assert [None if x is None else [tuple(e) for e in x] for x in got] == expected
     rows = spark.createDataFrame([([1],)], "x array<int>").select(summed_codes(F.col("x")))
     assert "ArrowEvalPython" in plan(rows)
+
+
+def test_a_block_is_moved_once_on_its_way_into_the_store_and_to_its_queries(spark, base, tmp_path):
+    """The blocks come out of the task that sorted their passages; a search deals blocks out by range only."""
+    from groundsieve.operators.lexical import bm25_search, prepare_questions
+    from groundsieve.operators.postings import block_search, posting_tables, read_postings, write_postings
+
+    blocks, ranges = posting_tables(base.index.lexical, 4, 8)
+    assert "Exchange" not in plan(blocks) and "Exchange" not in plan(ranges)
+    write_postings(base.index.lexical, str(tmp_path / "s"), 4, 8)
+    asked = prepare_questions(base.questions)
+    hits = block_search(read_postings(spark, str(tmp_path / "s")), asked, 3, 1).hits
+    want = bm25_search(base.index.lexical, asked, 3).select("query_id", "passage_id", "lexical_score", "rank_lexical")
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, want.collect())) != []
