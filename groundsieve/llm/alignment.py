@@ -38,8 +38,8 @@ from groundsieve.llm.common import list_offsets, plain, sliced, texts_of, worker
 from groundsieve.sources.staging import stage
 
 _DENSE = 4096  # numbers of a block that take as much room as its bits
-_SLICE = 2 * 1024 * 1024
-_WORDS = 300_000  # that a worker keeps
+_SLICE = 1024 * 1024
+_WORDS = 150_000  # that a worker keeps
 # Space beside a space, or at an end; marks that a normalisation could join with their neighbours.
 _ODD_SPACE = r"^ | $|[\s\p{Z}\x{85}\x{1c}-\x{1f}\x{b}] | [\s\p{Z}\x{85}\x{1c}-\x{1f}\x{b}\pM]|▁"
 _GROUPS = 64  # rows of the postings table for a block, by a hash of the pair
@@ -66,8 +66,6 @@ class _Vocabulary:
         self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        # Decimal ids, followed by nothing, a comma, a bar or a semicolon.
-        self.decimal = [str(i) + end for i in range(len(tokens)) for end in ("", ",", "|", ";")]
 
     def joined(self, ids: np.ndarray) -> bytes:
         sizes = self.sizes[ids]
@@ -95,8 +93,9 @@ class TokenizerPair:
         self.b_tokens = _Vocabulary([
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(pieces)])
-        self.decimal = pa.array(self.a_tokens.decimal + self.b_tokens.decimal)
-        self.b_first = len(self.a_tokens.decimal)
+        # Decimal ids, followed by nothing, a comma, a bar or a semicolon.
+        self.decimal = pa.array(str(i) + end for n in (len(names), len(pieces)) for i in range(n) for end in ("", ",", "|", ";"))
+        self.b_first = 4 * len(names)
         # Words can be encoded one by one if no token holds a space behind other bytes.
         self.by_word = not any("▁" in p.lstrip("▁") for p in pieces)
 
@@ -276,6 +275,14 @@ def unpack_bitmaps(packed: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate(groups), np.concatenate(numbers)
 
 
+def by_part(place: np.ndarray, links: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The places with their links for each part of the pairs, sorted as they were."""
+    part = (((place >> 16) * 0x9E3779B1 >> 7) % _GROUPS).astype(np.uint8)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(1, _GROUPS, dtype=np.uint8))
+    return list(zip(np.split(place[order], cuts), np.split(links[order].astype(np.int32), cuts)))
+
+
 def merge_or(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """The OR of sorted (pair, document) places of several slices, with their links."""
     if len(parts) == 1:
@@ -334,25 +341,28 @@ def build_postings(docs: DataFrame, options: AlignmentOptions) -> DataFrame:
     docs = texts_of(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(options)
-        block, first, held = TaskContext.get().partitionId() << 24, 0, []
+        block, first, held, postings = TaskContext.get().partitionId() << 24, 0, [], 0
         for rows in sliced(batches, "text", _SLICE):
             start = 0
             while start < rows.num_rows:
                 part = rows.slice(start, options.block_documents - first)
                 texts = pair.encode(part.column("text"))
                 yield _document_rows(block, first, part.column("doc_id"), texts)
-                held.append(texts.pairs(first))
+                places, links = texts.pairs(first)
+                del texts  # before the next slice is encoded
+                held.append(by_part(places, links))
+                postings += len(places)
                 key = part.column("doc_id").type
                 start, first = start + part.num_rows, first + part.num_rows
-                if first >= options.block_documents or sum(len(x) for x, _ in held) >= options.block_postings:
+                if first >= options.block_documents or postings >= options.block_postings:
                     yield from _pair_rows(block, held, key)
-                    block, first, held = block + 1, 0, []
+                    block, first, held, postings = block + 1, 0, [], 0
         if held:
             yield from _pair_rows(block, held, key)
 
-    return docs.mapInArrow(postings, f"block long, {_DOC.format(kind)}, {_PAIRS}")
+    return docs.mapInArrow(block_rows, f"block long, {_DOC.format(kind)}, {_PAIRS}")
 
 
 def _batch(block: int, size: int, key: pa.DataType, columns: dict) -> pa.RecordBatch:
@@ -375,16 +385,11 @@ def _document_rows(block: int, first: int, keys: pa.Array, texts: AlignedTexts)
 
 
 def _pair_rows(block: int, held: list, key: pa.DataType) -> Iterator[pa.RecordBatch]:
-    held = [x for x in held if len(x[0])]
-    if not held:
-        return
-    place, links = merge_or(held)
-    code = place >> 16
-    part = (code * 0x9E3779B1 >> 7) % _GROUPS
+    """The rows of pairs; slices are merged part by part, so that no second copy of the block is held."""
     for number in range(_GROUPS):
-        some = part == number
-        if some.any():
-            planes = Planes.of(place[some], links[some])
+        some = [x[number] for x in held if len(x[number][0])]
+        if some:
+            planes = Planes.of(*merge_or(some))
             documents, of = planes.counts()
             yield _batch(block, 1, key, {
                 "part": [number], "codes": [planes.codes.astype("<i8").tobytes()],

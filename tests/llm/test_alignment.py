@@ -170,3 +170,25 @@ def test_pair_counts(spark):
 def test_nothing(nothing):
     assert alignment.alignment_table(nothing, OPTIONS).count() == 0
     assert alignment.aligned_groups(nothing, OPTIONS).count() == 0
+
+
+def test_merging_a_block_holds_no_second_copy_of_it():
+    import tracemalloc
+
+    from groundsieve.llm.alignment import _pair_rows, by_part
+
+    rng = np.random.default_rng(5)
+    slices = []
+    for first in range(0, 4000, 1000):
+        place = np.unique(rng.integers(0, 1 << 31, 200_000) << 16 | rng.integers(first, first + 1000, 200_000))
+        slices.append((place, rng.integers(1, 5, len(place))))
+    held = [by_part(*x) for x in slices]
+    size = sum(a.nbytes + b.nbytes for a, b in slices)
+    tracemalloc.start()
+    found = 0
+    for row in _pair_rows(3, held, pa.int64()):
+        found += sum(row.column("n_links_of").to_pylist()[0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == sum(int(links.sum()) for _, links in slices)
+    assert peak < size / 2
