@@ -61,7 +61,7 @@ def segment_lookups(edits: int) -> list[tuple[int, int, int]]:
 
 
 def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
-    """id, text, key and own of each lookup of lines(id, text)."""
+    """The lines with ``keys``: those of the lookups of their ``text``, in the order of ``segment_lookups``."""
     parts = edits + 1
     # For each length of the other line: the length, its segments' size, and how
     # many of them (the last ones) are longer by one.
@@ -75,9 +75,15 @@ def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
         length, base, longer = (F.col(f"{c}{shorter}") for c in ("length", "base", "longer"))
         before = F.greatest(longer - (parts - i), F.lit(0))  # longer segments before this one
         text = F.substring("text", base * i + before + (shift + 1), base + (longer >= parts - i).cast("int"))
-        keys += [F.xxhash64(length, F.lit(i), text), F.lit(int(shorter == 0 and shift == 0))]
-    return lines.select("id", "text", *lengths).select(
-        "id", "text", F.stack(F.lit(len(keys) // 2), *keys).alias("key", "own"))
+        keys.append(F.xxhash64(length, F.lit(i), text))
+    return lines.select("*", *lengths).select(*lines.columns, F.array(*keys).alias("keys"))
+
+
+def one_by_one(lines: DataFrame, edits: int) -> DataFrame:
+    """id, key, and whether it is a line's own segment (own), of each of the keys of lines(id, keys)."""
+    own = [at for at, (shorter, _, shift) in enumerate(segment_lookups(edits)) if shorter == shift == 0]
+    return lines.select("id", F.posexplode("keys").alias("at", "key")).select(
+        "id", "key", F.col("at").isin(own).cast("int").alias("own"))
 
 
 def _let(value: Column, use) -> Column:
@@ -140,10 +146,19 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
     doc = document_key(docs)
     lines = docs.where(docs["text"].isNotNull()).select(
         doc.alias("doc"), F.posexplode(F.split(docs["text"], "\n")).alias("line", "raw"))
-    return lines.select("doc", "line", F.btrim("raw", F.lit(SPACE)).alias("text")).where("text <> ''").select(
+    # Few lines begin or end with white space, and only these are looked at character by character.
+    outer = (F.ascii("raw") <= 32) | (F.ascii(F.substring("raw", -1, 1)) <= 32)
+    trimmed = F.when(outer, F.btrim("raw", F.lit(SPACE))).otherwise(F.col("raw"))
+    return lines.select("doc", "line", trimmed.alias("text")).where("text <> ''").select(
         "doc", "line", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
 
 
+def keyed_lines(docs: DataFrame, options: LineOptions) -> DataFrame:
+    """The numbered lines with ``keys`` in place of their text; null keys where they are too short for near lines."""
+    rows = segment_keys(numbered_lines(docs), options.edits)
+    return rows.select("doc", "line", "h1", "h2", F.when(F.length("text") >= options.least, F.col("keys")).alias("keys"))
+
+
 def document_key(docs: DataFrame) -> Column:
     key = docs["doc_id"].cast("long")
     return F.struct(key.isNull().alias("none"), key.alias("id"), F.xxhash64(docs["text"]).alias("words"))
@@ -206,11 +221,10 @@ def close_pairs(held: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return pairs.select(F.col("short_id").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def near_pairs(lines: DataFrame, options: LineOptions) -> DataFrame:
-    """a and b: the hashes of lines that are near, each pair once."""
+def near_pairs(docs: DataFrame, lines: DataFrame, options: LineOptions) -> DataFrame:
+    """a and b: the hashes of lines that are near, each pair once, of the keyed lines of the documents."""
     edits = options.edits
-    keyed = segment_keys(lines.where(F.length("text") >= options.least).select(
-        F.col("h1").alias("id"), "text"), edits)
+    keyed = one_by_one(lines.where("keys is not null").select(F.col("h1").alias("id"), "keys"), edits)
     # One number for each key in the shuffle: the bits that any of its lines has, the
     # bits that any lacks, and whether one of them has the key as a segment of its own.
     # Lines differ if some bit is both had and lacked.
@@ -222,9 +236,13 @@ def near_pairs(lines: DataFrame, options: LineOptions) -> DataFrame:
     busy = stage(keyed.groupBy("key").agg(F.bit_or(seen).alias("seen")).where(
         (had.bitwiseAND(lacked) != 0) & (F.shiftright("seen", 2 * _ID_BITS) == 1)).select("key"), "busy-keys")
     held = stage(maybe_among(keyed, busy).join(busy, "key").groupBy("key", "id").agg(
-        F.max("own").alias("own"), F.first("text").alias("text")), "busy-lines")
-    texts = stage(with_parities(held.groupBy("id").agg(F.first("text").alias("text"))), "busy-texts")
-    candidates = stage(close_pairs(held.select("key", "id", "own"), texts, edits), "close-pairs")
+        F.max("own").alias("own")), "busy-lines")
+    # The documents are asked for the texts of these lines alone.
+    ids = stage(held.select(F.col("id").alias("key")).distinct(), "busy-ids")
+    asked = maybe_among(numbered_lines(docs).where(F.length("text") >= options.least).select(
+        F.col("h1").alias("key"), "text"), ids).join(ids, "key")
+    texts = stage(with_parities(asked.groupBy(F.col("key").alias("id")).agg(F.first("text").alias("text"))), "busy-texts")
+    candidates = stage(close_pairs(held, texts, edits), "close-pairs")
     # Few bytes and much work each, so the number of tasks goes by the pairs.
     pairs = candidates.join(texts.select(F.col("id").alias("a"), F.col("text").alias("short")), "a").join(
         texts.select(F.col("id").alias("b"), F.col("text").alias("long")), "b").repartition(
@@ -250,12 +268,12 @@ def differing_middles(pairs: DataFrame) -> DataFrame:
         for c in ("short", "long")]), "middles")
 
 
-def line_classes(docs: DataFrame, options: LineOptions) -> DataFrame:
-    """h1, h2, class, near and first (document and line) of each line whose class has several lines."""
-    lines = numbered_lines(docs)
+def line_classes(docs: DataFrame, lines: DataFrame, options: LineOptions) -> DataFrame:
+    """h1, h2, class, near and first (document and line) of each line whose class has several
+    lines, of the keyed lines of the documents."""
     firsts = stage(lines.groupBy("h1", "h2").agg(
         F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")), "first-lines")
-    near = components(near_pairs(lines, options)).select(F.col("node").alias("h1"), F.col("label").alias("class"))
+    near = components(near_pairs(docs, lines, options)).select(F.col("node").alias("h1"), F.col("label").alias("class"))
     placed = stage(firsts.join(near, "h1", "left").where("n > 1 or class is not null"), "line-classes")
     alone = placed.where("class is null").select(
         "h1", "h2", F.col("h1").alias("class"), F.lit(False).alias("near"), "first")
@@ -268,8 +286,10 @@ def line_classes(docs: DataFrame, options: LineOptions) -> DataFrame:
 def repeated_lines(docs: DataFrame, options: LineOptions = LineOptions()) -> DataFrame:
     """doc and its ``dropped`` lines: an array of (line, near), near being true for
     lines whose class has near lines besides equal ones."""
-    classes = stage(line_classes(docs, options), "classes-of-lines")
-    lines = numbered_lines(docs).select("doc", "line", "h1", "h2")
+    # Lines are cut and hashed once; every later pass but that for the texts of some reads numbers.
+    lines = stage(keyed_lines(docs, options), "keyed-lines")
+    classes = stage(line_classes(docs, lines, options), "classes-of-lines")
+    lines = lines.select("doc", "line", "h1", "h2")
     here = F.struct("doc", "line")
     return lines.join(classes, ["h1", "h2"]).where(here != F.col("first")).groupBy("doc").agg(
         F.collect_set(F.struct("line", "near")).alias("dropped"))

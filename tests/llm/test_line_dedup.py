@@ -152,3 +152,18 @@ def test_blocks_of_a_busy_key_lose_no_pair(spark, monkeypatch):
         found.append({frozenset((r.a, r.b)) for r in rows})
         assert len(found[-1]) == len(rows)
     assert near <= found[0] == found[1]
+
+
+def test_later_passes_read_keys_instead_of_texts(spark):
+    lines = ["\t a line that is long enough \x0b", "short", " a line that is long enough ", " \r"]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, None)], "doc_id long, text string")
+    options = LineOptions()
+    kept = line_dedup.numbered_lines(docs).orderBy("line").collect()
+    assert [r["text"] for r in kept] == [lines[0].strip(BLANK), "short", lines[2]]
+    keyed = line_dedup.keyed_lines(docs, options)
+    assert "text" not in keyed.columns
+    rows = keyed.orderBy("line").collect()
+    lookups = line_dedup.segment_lookups(options.edits)
+    assert [r["keys"] and len(r["keys"]) for r in rows] == [len(lookups), None, len(lookups)]
+    each = line_dedup.one_by_one(keyed.where("keys is not null").select(F.col("h1").alias("id"), "keys"), options.edits)
+    assert [r["n"] for r in each.groupBy("id").agg(F.sum("own").alias("n")).collect()] == [options.edits + 1] * 2
