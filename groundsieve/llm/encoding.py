@@ -18,12 +18,12 @@ import pyarrow.compute as pc
 
 from groundsieve.llm.common import list_offsets, plain, worker_state
 
-CACHE_PIECES = 1_500_000  # about 250 MB
+CACHE_PIECES = 400_000  # about 70 MB; a worker keeps them through the later steps of a job
 _MARK = "\x01"  # encodes to one id of its own; stands between pieces
 _WHOLE = r"\pM|<\||\x01"
 _BREAK = r"([0-9A-Za-zÀ-ÖØ-öø-ɏ])([!-&(-/:-@\[-`{-~])"
 _GROUP = 500
-SLICE = 8 * 1024 * 1024  # text bytes encoded at once
+SLICE = 4 * 1024 * 1024  # text bytes encoded at once
 
 
 class PieceEncoder:

@@ -145,3 +145,13 @@ def test_best_fit_against_a_plain_form_and_the_bound(sizes):
         total = sum(Fraction(s, 30) if (k + 1) * s % 30 == 0 else Fraction((k + 1) * s // 30, k) for s in sizes)
         bounds.append(math.ceil(total))
     assert bin_bound(lengths, 30) == max(bounds) <= len(room)
+
+
+def test_a_worker_keeps_a_bounded_number_of_pieces():
+    from groundsieve.llm.queries import TOKENIZER
+
+    encoder, most = PieceEncoder(TOKENIZER), 0
+    for first in range(0, 600_000, 60_000):
+        encoder.encode(pa.array([" ".join(f"{i:x}" for i in range(first, first + 60_000))]))
+        most = max(most, len(encoder.slot))
+    assert most <= 400_000
