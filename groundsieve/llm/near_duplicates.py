@@ -132,14 +132,15 @@ def candidate_components(units: DataFrame) -> DataFrame:
         "unit", F.xxhash64("band", "value").alias("bucket")), "buckets")
     leads = stage(buckets.groupBy("bucket").agg(F.min("unit").alias("lead"), F.count("*").alias("n")).where(
         "n > 1").select("bucket", "lead"), "leads")
-    ties = buckets.join(leads, "bucket").where("unit <> lead").select(
+    # Merged at every size, so that the plan and its shuffles grow evenly.
+    ties = buckets.join(leads.hint("merge"), "bucket").where("unit <> lead").select(
         F.col("lead").alias("a"), F.col("unit").alias("b"))
     return components(ties)
 
 
 def gram_sets(docs: DataFrame, wanted: DataFrame, options: JaccardOptions) -> DataFrame:
-    """unit, label and grams (sorted distinct n-gram hashes) of the wanted units,
-    from the texts of their first documents."""
+    """unit, label, blocks and grams (sorted distinct n-gram hashes) of the wanted units,
+    from the texts of their first documents; a unit may come up several times."""
     n = options.n
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,15 +148,17 @@ def gram_sets(docs: DataFrame, wanted: DataFrame, options: JaccardOptions) -> Da
             grams, owner, hashes, offsets = _shingles(batch.column("text"), n)
             k1, k2 = _text_keys(hashes, offsets)
             cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            sets = [np.unique(grams[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            once = np.unique(np.stack([k1, k2]), axis=1, return_index=True)[1]
+            sets = [np.unique(grams[cuts[i]: cuts[i + 1]]).tobytes() for i in once]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(k1), pa.array(k2), pa.array(sets, pa.binary())], ["k1", "k2", "grams"])
+                [pa.array(k1[once]), pa.array(k2[once]), pa.array(sets, pa.binary())], ["k1", "k2", "grams"])
 
     # Only texts that pass the filter are read as sets; the join by words decides.
     passing = id_filter(wanted.select("first_id"), options.filter_bits)
     texts = texts_of(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     found = texts.mapInArrow(collect, "k1 long, k2 long, grams binary")
-    return found.join(wanted, ["k1", "k2"]).groupBy("unit", "label").agg(F.any_value("grams").alias("grams"))
+    # Merged at every size, as above.
+    return found.join(wanted.hint("merge"), ["k1", "k2"]).select("unit", "label", "blocks", "grams")
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -218,25 +221,22 @@ def _verify_block(units: np.ndarray, sets: list[np.ndarray], side: np.ndarray, t
     return linked.sum(1), units[_roots(linked)]
 
 
-def verify(sets: DataFrame, options: JaccardOptions) -> DataFrame:
+def verify(sets: DataFrame, units: int, options: JaccardOptions) -> DataFrame:
     """unit, links and root: for each block a unit was verified in, its links
-    there and the smallest unit that it is tied to by them."""
+    there and the smallest unit that it is tied to by them. ``units`` is their number."""
     threshold = options.threshold
-    sizes = sets.groupBy("label").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / options.block).cast("int")
-    rows = stage(sets.join(sizes, "label").withColumn("blocks", blocks), "gram-sets")
+    bins = max(1, -(-units // options.bin_units))
+    # A unit of block i meets the blocks j of its component in the cells (smaller, larger);
+    # components of one block share cells.
     own = F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int")
-    bins = max(1, -(-rows.count() // options.bin_units))
-    single = F.col("blocks") == 1
-    small = rows.where(single).select(
-        "unit", "label", "grams", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"),
-        F.pmod(F.xxhash64("label"), F.lit(bins)).alias("cell"))
-    # A unit of block i meets the blocks j of its component in the cells (smaller, larger).
-    grid = rows.where(~single).withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+    met = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "unit", "label", "grams", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         (F.col("own") > F.col("other")).cast("int").alias("side"),
-        F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(
+            F.xxhash64("label", F.least("own", "other"), F.greatest("own", "other"))).alias("cell"))
+    # The sets move to their cells once; copies of a unit go there.
+    cells = met.repartition("cell").groupBy("cell", "label", "i", "j", "side", "unit").agg(
+        F.any_value("grams").alias("grams"))
 
     def run(group):
         keys = np.stack([group.column(c).to_numpy() for c in ("label", "i", "j")])
@@ -252,7 +252,7 @@ def verify(sets: DataFrame, options: JaccardOptions) -> DataFrame:
         columns = [np.concatenate(c) for c in zip(*out)]
         return pa.table({n: pa.array(c.astype(np.int64)) for n, c in zip(("unit", "links", "root"), columns)})
 
-    return small.unionByName(grid).groupBy("cell").applyInArrow(run, "unit long, links long, root long")
+    return cells.groupBy("cell").applyInArrow(run, "unit long, links long, root long")
 
 
 def unit_table(sketched: DataFrame) -> DataFrame:
@@ -266,9 +266,11 @@ def linked_units(docs: DataFrame, units: DataFrame, options: JaccardOptions) ->
     """(unit, n_links) of the units that have links, and (node, label): the
     components of the verified links."""
     candidates = stage(candidate_components(units), "candidates")
-    wanted = stage(units.join(candidates.withColumnRenamed("node", "unit"), "unit").select(
-        "unit", "label", "k1", "k2", "first_id"), "wanted")
-    verified = stage(verify(gram_sets(docs, wanted, options), options).where("links > 0"), "verified")
+    # The sizes of components come from these numbers, so that the sets are read and moved once.
+    sizes = candidates.groupBy("label").agg(F.ceil(F.count("*") / options.block).cast("int").alias("blocks"))
+    wanted = stage(units.join(candidates.join(sizes, "label").withColumnRenamed("node", "unit"), "unit").select(
+        "unit", "label", "blocks", "k1", "k2", "first_id"), "wanted")
+    verified = stage(verify(gram_sets(docs, wanted, options), wanted.count(), options).where("links > 0"), "verified")
     links = verified.groupBy("unit").agg(F.sum("links").alias("n_links"))
     return links, components(verified.select(F.col("root").alias("a"), F.col("unit").alias("b")))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from groundsieve.llm import near_duplicates
@@ -122,3 +123,15 @@ def test_band_shape():
     assert 1 - (1 - 0.8 ** rows) ** bands >= 0.9995 and bands * rows <= 128
     with pytest.raises(ValueError):
         near_duplicates.band_shape(JaccardOptions(threshold=0.05))
+
+
+def test_a_unit_whose_set_comes_several_times_counts_once(spark):
+    verify = near_duplicates.verify
+
+    grams = np.arange(20, dtype=np.uint64)
+    sets = [(u, 0, 2, grams[: 20 - u % 2].tobytes()) for u in range(6)] + [(9, 9, 1, grams[:5].tobytes())]
+    frame = spark.createDataFrame(
+        [(u, l, b, bytearray(g)) for u, l, b, g in sets + sets[2:5] + sets[-1:]], "unit long, label long, blocks int, grams binary")
+    rows = verify(frame, len(sets), JaccardOptions(block=3)).collect()
+    links = {u: sum(r["links"] for r in rows if r["unit"] == u) for u in (*range(6), 9)}
+    assert links == dict.fromkeys(range(6), 5) | {9: 0}
