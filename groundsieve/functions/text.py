@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -17,9 +18,12 @@ SPACE_CHARS = "".join(
     for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
               0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 )
+# White space but line feeds, spelled out: the same characters as SPACE, without Unicode look-ups.
+_RARE_BLANK = r"\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK = rf" \t\r{_RARE_BLANK}"
 # The stop words that stemming may change; all others can be looked up after it.
-_INFLECTED_STOP = r"\b(?:" + "|".join(
-    w for w in STOP_WORDS if len(w) > 3 and w.endswith(("ing", "ed", "s"))) + r")\b"
+INFLECTED_STOP = tuple(w for w in STOP_WORDS if len(w) > 3 and w.endswith(("ing", "ed", "s")))
+_INFLECTED_STOP = r"\b(?:" + "|".join(INFLECTED_STOP) + r")\b"
 
 
 @F.pandas_udf(StringType())
@@ -40,14 +44,20 @@ def strip(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """NFC, unix line ends, single blanks, stripped lines, at most one empty line in a row."""
-    out = F.regexp_replace(nfc(text), r"\r\n?", "\n")
-    out = F.regexp_replace(out, r"[ \t]+", " ")
-    blank = r"[\s\x1c-\x1f&&[^\n]]*"
-    out = F.regexp_replace(out, rf"(?U){blank}\n{blank}", "\n")
-    out = F.regexp_replace(out, r"\n{3,}", "\n\n")
+    out = _where(nfc(text), lambda t: F.contains(t, F.lit("\r")), r"\r\n?", "\n")
+    out = _where(out, lambda t: F.contains(t, F.lit("  ")) | F.contains(t, F.lit("\t")), r"[ \t]+", " ")
+    out = _where(
+        out, lambda t: F.contains(t, F.lit(" \n")) | F.contains(t, F.lit("\n ")) | t.rlike(f"[{_RARE_BLANK}]"),
+        rf"[{_BLANK}]+\n[{_BLANK}]*|\n[{_BLANK}]+", "\n")
+    out = _where(out, lambda t: F.contains(t, F.lit("\n\n\n")), r"\n{3,}", "\n\n")
     return strip(out)
 
 
+def _where(text: Column, needed: Callable[[Column], Column], pattern: str, new: str) -> Column:
+    """The text with a replacement made, looked for only where a cheaper test finds it ``needed``."""
+    return F.transform(F.array(text), lambda t: F.when(needed(t), F.regexp_replace(t, pattern, new)).otherwise(t))[0]
+
+
 def normalize_question(text: Column) -> Column:
     return strip(F.regexp_replace(nfc(text), rf"(?U){SPACE}+", " "))
 
@@ -84,11 +94,18 @@ def lexical_tokens(text: Column, compat: bool = False) -> Column:
 
 def blank_tokens(text: Column) -> Column:
     """Tokens between runs of whitespace."""
-    return F.array_remove(F.split(text, rf"(?U){SPACE}+"), "")
+    # Most texts have plain blanks only, and a single character to split on is no regex.
+    other = text.rlike(rf"[\t\n\r{_RARE_BLANK}]")
+    return F.array_remove(F.when(other, F.split(text, rf"[\n{_BLANK}]+")).otherwise(F.split(text, " ")), "")
 
 
 def token_count(text: Column) -> Column:
-    return F.size(blank_tokens(text))
+    """The number of ``blank_tokens``; where single blanks stand between words, the blanks are counted."""
+    blank = F.lit(" ")
+    plain = ~(text.rlike(rf"[\t\n\r{_RARE_BLANK}]") | F.contains(text, F.lit("  ")) | F.startswith(text, blank)
+              | F.endswith(text, blank) | (text == ""))
+    blanks = F.octet_length(text) - F.octet_length(F.replace(text, blank, F.lit("")))
+    return F.when(plain, blanks + 1).otherwise(F.size(blank_tokens(text)))
 
 
 def expand_terms(tokens: Column, expansions: dict, compat: bool = False) -> Column:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from groundsieve.config import BM25_B, BM25_IDF_FLOOR, BM25_K1, SCORE_DIGITS
+from groundsieve.config import BM25_B, BM25_IDF_FLOOR, BM25_K1, SCORE_DIGITS, STOP_WORDS
 from groundsieve.functions import tokenblocks
 from groundsieve.functions.nearest import TermScan
-from groundsieve.functions.text import expand_terms, lexical_tokens, normalize_question
+from groundsieve.functions.text import (
+    INFLECTED_STOP, SPACE_CHARS, expand_terms, lexical_tokens, normalize_question,
+)
 from groundsieve.operators.blockwise import CELL_PASSAGES, LOCAL_QUERIES, block_search
 from groundsieve.sources.staging import bounded, stage
 
@@ -36,7 +39,11 @@ class LexicalIndex:
 
     def staged(self) -> "LexicalIndex":
         """The same index over written tables, each built from the ones before."""
-        terms = stage(self.passage_terms, "passage_terms")
+        return LexicalIndex(stage(self.passage_terms, "passage_terms"), None, None).with_statistics()
+
+    def with_statistics(self) -> "LexicalIndex":
+        """The index of these passage_terms, which are a written table, with statistics written anew."""
+        terms = self.passage_terms
         stats = stage(term_statistics(terms), "term_stats")
         corpus = stage(corpus_statistics(terms, stats), "corpus_stats")
         return LexicalIndex(terms, stats, corpus)
@@ -47,6 +54,23 @@ def term_counts(tokens: Column) -> Column:
     return F.arrow_udf(tokenblocks.counted, _ENTRIES)(tokens)
 
 
+def index_columns(text: Column, compat: bool = False, dims: int | None = None) -> Column:
+    """The length and entries of ``lexical_tokens`` and, with ``dims``, the vector of ``hash_codes``
+    as one struct: the text goes through Python once, and a word that a batch repeats is stemmed once."""
+    indexer = tokenblocks.Indexer(list(STOP_WORDS), [] if compat else list(INFLECTED_STOP), SPACE_CHARS, dims)
+
+    def indexed(texts: pa.Array) -> pa.Array:
+        return indexer(texts)
+
+    vector = "" if dims is None else ",vector:array<int>"
+    return F.arrow_udf(indexed, f"struct<length:int,entries:{_ENTRIES}{vector}>")(F.lower(text))
+
+
+def token_length(counted: str) -> Column:
+    """The number of tokens; of a missing text what Spark takes for the size of a missing array."""
+    return F.coalesce(F.col(counted), F.size(F.lit(None).cast("array<string>"))).alias("length")
+
+
 def term_statistics(passage_terms: DataFrame) -> DataFrame:
     terms = passage_terms.select(F.explode("entries.term").alias("term"))
     return terms.groupBy("term").agg(F.count("*").alias("df"))
@@ -72,10 +96,8 @@ def mean_idf(sizes: DataFrame, term_stats: DataFrame) -> DataFrame:
 def build_lexical_index(passages: DataFrame, compat: bool = False) -> LexicalIndex:
     """Index of passages(passage_id, normalized_text). Counting terms needs no
     shuffle; only the document frequencies do, after partial sums."""
-    tokens = lexical_tokens(F.col("normalized_text"), compat)
-    terms = passages.select("passage_id", tokens.alias("tokens")).select(
-        "passage_id", F.size("tokens").alias("length"), term_counts(F.col("tokens")).alias("entries")
-    )
+    counted = passages.select("passage_id", index_columns(F.col("normalized_text"), compat).alias("indexed"))
+    terms = counted.select("passage_id", token_length("indexed.length"), "indexed.entries")
     stats = term_statistics(terms)
     return LexicalIndex(terms, stats, corpus_statistics(terms, stats))
 

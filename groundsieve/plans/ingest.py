@@ -7,13 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from groundsieve.config import HASH_DIMS, RetrievalConfig
-from groundsieve.operators.dense import build_hash_index
-from groundsieve.operators.lexical import LexicalIndex, build_lexical_index
+from groundsieve.operators.lexical import (
+    LexicalIndex, corpus_statistics, index_columns, term_statistics, token_length,
+)
 from groundsieve.operators.splitting import (
     passages_table, sections_table, split_documents, windows_table,
 )
 from groundsieve.sources.staging import stage
 
+_INDEXED = "indexed"
+
 
 @dataclass(frozen=True)
 class Corpus:
@@ -61,20 +64,41 @@ def build_index(
     splitting.
     """
     own = vectors is None
+    rows = indexed_passages(passages, config.compat, dims if own else None)
     if staged:
-        passages = _staged_passages(passages)
-    lexical = build_lexical_index(passages, config.compat)
-    vectors = build_hash_index(passages, dims) if own else vectors
+        rows = stage(rows, "indexed_passages")
+    lexical = LexicalIndex(terms_of(rows), None, None)
     if staged:
-        lexical, vectors = lexical.staged(), stage(vectors, "vectors")
-    return CorpusIndex(passages, lexical, vectors, own, dims)
+        lexical = lexical.with_statistics()
+    else:
+        stats = term_statistics(lexical.passage_terms)
+        lexical = LexicalIndex(lexical.passage_terms, stats, corpus_statistics(lexical.passage_terms, stats))
+    return CorpusIndex(passages_of(rows), lexical, vectors_of(rows) if own else vectors, own, dims)
+
+
+def indexed_passages(passages: DataFrame, compat: bool = False, dims: int | None = HASH_DIMS) -> DataFrame:
+    """The passages with what the index holds of each, in one table whose readers take their own columns:
+    a text is split, counted and hashed in one pass. A normalized_text that is the text itself
+    is not kept a second time."""
+    text, normalized = F.col("text"), F.col("normalized_text")
+    rows = passages.withColumn(_INDEXED, index_columns(normalized, compat, dims))
+    if {"text", "normalized_text"} <= set(passages.columns):
+        rows = rows.withColumn("normalized_text", F.when(~normalized.eqNullSafe(text), F.struct(normalized.alias("own"))))
+    return rows
 
 
-def _staged_passages(passages: DataFrame) -> DataFrame:
-    """The passages, written once; a normalized_text that is the text itself is not written a second time."""
+def passages_of(rows: DataFrame) -> DataFrame:
+    passages = rows.drop(_INDEXED)
     if not {"text", "normalized_text"} <= set(passages.columns):
-        return stage(passages, "passages")
+        return passages
     text, normalized = F.col("text"), F.col("normalized_text")
-    held = stage(passages.withColumn(
-        "normalized_text", F.when(~normalized.eqNullSafe(text), F.struct(normalized.alias("own")))), "passages")
-    return held.withColumn("normalized_text", F.when(normalized.isNull(), text).otherwise(normalized["own"]))
+    return passages.withColumn("normalized_text", F.when(normalized.isNull(), text).otherwise(normalized["own"]))
+
+
+def terms_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """passage_id, length and entries of indexed passages, with the columns ``keys``."""
+    return rows.select("passage_id", token_length(f"{_INDEXED}.length"), f"{_INDEXED}.entries", *keys)
+
+
+def vectors_of(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select("passage_id", f"{_INDEXED}.vector", *keys)

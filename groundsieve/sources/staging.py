@@ -54,10 +54,20 @@ def sent(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spreads a small input that arrives in few splits over all cores.
+    """Spreads an input that arrives in few splits over all cores: a small one, and one whose rows lie in
+    fewer row groups than there are cores, whatever its size.
 
     Inputs with plenty of data per core are left as they were read.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, *keys) if size < cores * _SMALL_SPLIT else df
+    if size < cores * _SMALL_SPLIT:
+        return df.repartition(cores, *keys)
+    return df.repartition(max(cores, size // _SMALL_SPLIT), *keys) if _uneven(df, cores) else df
+
+
+def _uneven(df: DataFrame, cores: int) -> bool:
+    """True if one split holds more than twice a core's share of the rows; reads the files' row counts only."""
+    splits = df.select(F.spark_partition_id().alias("split")).groupBy("split").count()
+    most, rows = splits.agg(F.max("count"), F.sum("count")).first()
+    return most is not None and most * cores > 2 * rows

@@ -112,3 +112,73 @@ def test_a_block_is_moved_once_on_its_way_into_the_store_and_to_its_queries(spar
     hits = block_search(read_postings(spark, str(tmp_path / "s")), asked, 3, 1).hits
     want = bm25_search(base.index.lexical, asked, 3).select("query_id", "passage_id", "lexical_score", "rank_lexical")
     assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+TEXTS = [
+    "", "  ", None, "\u0130stanbul \u212aK a\xa0b\u2003c\u3000 d\x1c\x1de\x85f", "a  b   c \t d\t", "\n   x  \n y", "\u3000a\n\u3000",
+    "ties is ses classes boxes running ing sing ring bring ed seed needed pies series quizzes watches gases buses dishes",
+    "describes according Associated together x\u0301 \xc0\xc9\tt\r\nz \n \n\n\n q\r", "\u65e5\u672c \u8a9e\u3000\u5b57 Stra\xdfe 42nd a1b2s",
+    "\x0b\n\x0c a \u2028\n b", "one two\nthree", "a\t\tb", "ends with blank ",
+]
+
+
+def test_one_pass_over_a_text_counts_and_hashes_as_the_columns_do(spark):
+    """The block kernel gives what the column functions give, for each row."""
+    from groundsieve.functions.text import lexical_tokens
+    from groundsieve.functions.vectors import hash_codes
+    from groundsieve.operators.lexical import index_columns, token_length
+
+    rows, text = spark.createDataFrame([(t,) for t in TEXTS], "text string").coalesce(1), F.col("text")
+    for compat in (False, True):
+        tokens = lexical_tokens(text, compat)
+        got = rows.select(
+            text, F.size(tokens).alias("length"), term_counts(tokens).alias("entries"), hash_codes(text).alias("vector"),
+            index_columns(text, compat, 384).alias("one")).select("*", token_length("one.length").alias("n"))
+        for r in got.collect():
+            assert (r["n"], r["one"]["entries"], r["one"]["vector"]) == (r["length"], r["entries"], r["vector"]), r["text"]
+
+
+def test_an_index_is_one_pass_over_the_passages(spark):
+    """Tokens are cut in one Python pass for terms and vectors, not by one for each."""
+    from groundsieve.plans.ingest import build_index
+
+    rows = spark.createDataFrame([("p", "Wa wb")], "passage_id string, normalized_text string")
+    index = build_index(rows, staged=False)
+    plan = index.passages.join(index.vectors, "passage_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("ArrowEvalPython") == 1
+    assert index.lexical.passage_terms._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_white_space_as_the_plain_patterns_have_it(values):
+    from groundsieve.functions.text import SPACE, blank_tokens, nfc, normalize_text, strip, token_count
+
+    def normalized(text):
+        out = F.regexp_replace(F.regexp_replace(nfc(text), r"\r\n?", "\n"), r"[ \t]+", " ")
+        blank = r"[\s\x1c-\x1f&&[^\n]]*"
+        return strip(F.regexp_replace(F.regexp_replace(out, rf"(?U){blank}\n{blank}", "\n"), r"\n{3,}", "\n\n"))
+
+    def words(text):
+        return F.array_remove(F.split(text, rf"(?U){SPACE}+"), "")
+
+    assert values(normalize_text, TEXTS) == values(normalized, TEXTS)
+    assert values(blank_tokens, TEXTS) == values(words, TEXTS)
+    assert values(token_count, TEXTS) == values(lambda t: F.size(words(t)), TEXTS)
+
+
+def test_rows_in_one_row_group_are_spread(spark, tmp_path, monkeypatch):
+    """A file of one row group goes to all cores at any size; files that fill the cores stay as they are."""
+    from groundsieve.sources import staging
+
+    monkeypatch.setattr(staging, "_SMALL_SPLIT", 1000)
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    spark.range(4000).coalesce(1).write.parquet(one)
+    spark.range(4000).repartition(8).write.parquet(many)
+
+    def moved(path):
+        rows = staging.spread(spark.read.parquet(path), "id")
+        assert rows.distinct().count() == 4000
+        return "Exchange" in rows._jdf.queryExecution().executedPlan().toString()
+
+    assert moved(one)
+    monkeypatch.setattr(staging, "_SMALL_SPLIT", 0)
+    assert not moved(many)
