@@ -26,11 +26,12 @@ _COMMITS = f"run string, attempt string, tables {_TABLES}, committed_at timestam
 
 
 def write_attempt(tables: dict[str, DataFrame], path: str, run: str, key: str = "run",
-                  form: str = "parquet") -> str:
-    """Writes the tables of a run and returns the name of the attempt; nothing counts yet."""
+                  form: str = "parquet", attempt: str | None = None) -> str:
+    """Writes the tables of a run and returns the name of the attempt, a fresh one unless tables
+    are added to one; nothing counts yet."""
     if not run:
         raise ValueError("a run needs a name")
-    attempt = f"a{uuid.uuid4().hex}"
+    attempt = attempt or f"a{uuid.uuid4().hex}"
     for name, rows in tables.items():
         marked = rows.drop(key, "attempt").withColumns({key: F.lit(run), "attempt": F.lit(attempt)})
         marked.write.mode("append").partitionBy(key, "attempt").format(form).save(f"{path}/{name}")
@@ -53,6 +54,15 @@ def write_runs(rows: DataFrame, path: str, name: str, key: str) -> str:
     return attempt
 
 
+def read_attempt(rows: DataFrame, path: str, name: str, run: str, attempt: str, key: str = "run",
+                 form: str = "parquet") -> DataFrame:
+    """A table of an attempt that was written from ``rows`` and need not count yet."""
+    fields = [StructField(f.name, f.dataType) for f in rows.drop(key, "attempt").schema]
+    partitions = [StructField(c, StringType()) for c in (key, "attempt")]
+    stored = rows.sparkSession.read.schema(StructType([*fields, *partitions])).format(form).load(f"{path}/{name}")
+    return stored.where((F.col(key) == run) & (F.col("attempt") == attempt)).drop(key, "attempt")
+
+
 def commit(path: str, run: str, attempt: str, tables: dict[str, DataFrame], key: str = "run") -> None:
     """Makes an attempt count. Committing it again changes nothing."""
     spark = next(iter(tables.values())).sparkSession

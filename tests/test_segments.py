@@ -115,3 +115,38 @@ def test_only_changed_documents_are_split(spark, tmp_path):
     old = _live(spark, path, "passage_terms")
     assert "text" not in old.columns and "normalized_text" not in old._jdf.queryExecution().executedPlan().toString()
     assert old.select(F.countDistinct("document_id")).first()[0] == 5
+
+
+def test_a_change_is_split_and_counted_in_one_pass(spark):
+    """Passages, terms and vectors of a change come out of the pass that splits it, without joins or shuffles."""
+    from groundsieve.config import RetrievalConfig
+    from groundsieve.plans.segments import _rows
+
+    rows = _rows(table(spark, {"a": "wa wb\nwc", "b": "wd"}), RetrievalConfig(), 384)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert plan.count("Generate explode") + plan.count("Generate posexplode") == 1
+    assert {"text", "indexed", "copies"} <= set(rows.columns) and rows.count() == 3
+
+
+def test_documents_that_come_twice(spark, tmp_path):
+    """Terms and vectors stand once for each pair of passages of one id, before and after other changes."""
+    path = str(tmp_path / "s")
+    docs = table(spark, {"a": "wa wb\nwc", "b": "wd"}).union(table(spark, {"a": "we"})).union(
+        table(spark, {None: "wf"}))
+    create_segments(docs, path)
+
+    def terms(index):
+        return sorted((r["passage_id"], r["entries"][0]["term"]) for r in index.lexical.passage_terms.collect())
+
+    for _ in range(2):
+        index = open_segments(spark, path)
+        assert terms(index) == [("a-0", "wa"), ("a-0", "wa"), ("a-0", "we"), ("a-0", "we"), ("a-1", "wc"), ("b-0", "wd")]
+        assert index.vectors.count() == 6 and index.passages.count() == 5
+        assert index.lexical.corpus_stats.first()["n_passages"] == 6
+        compact_segments(spark, path)
+    update_segments(path, table(spark, {"a": "wg"}))
+    index = open_segments(spark, path)
+    assert terms(index) == [("a-0", "wg"), ("b-0", "wd")]
+    assert index.lexical.corpus_stats.first()["n_passages"] == 2
+    assert sorted(r["term"] for r in index.lexical.term_stats.collect()) == ["wd", "wg"]
