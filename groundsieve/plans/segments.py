@@ -94,14 +94,16 @@ def _rows(documents: DataFrame, config: RetrievalConfig, dims: int) -> DataFrame
     def indexed(some: DataFrame) -> DataFrame:
         return indexed_passages(ingest(some, config).passages, config.compat, dims)
 
-    ids = documents.groupBy(F.col("document_id").cast("string").alias("document_id")).count()
-    again = stage(ids.where("document_id is not null and count > 1").select("document_id"), "repeated")
+    # A key of its own: Spark would ask the conditions of the documents of the repeated ids too, casts that fail there included.
+    key = F.concat(F.lit("="), F.col("document_id").cast("string")).alias("repeated_key")
+    again = documents.groupBy(key).count().where("repeated_key is not null and count > 1").select("repeated_key")
+    again = stage(again, "repeated")
     one = F.when(F.col("passage_id").isNotNull(), 1).otherwise(0).cast("long")
     if again.isEmpty():
         return indexed(documents).withColumn(_COPIES, one)
-    repeated = sent(again)
-    rows = indexed(documents.join(repeated, "document_id", "left_anti")).withColumn(_COPIES, one)
-    more = indexed(documents.join(repeated, "document_id", "left_semi"))
+    keyed, repeated = documents.withColumn("repeated_key", key), sent(again)
+    rows = indexed(keyed.join(repeated, "repeated_key", "left_anti").drop("repeated_key")).withColumn(_COPIES, one)
+    more = indexed(keyed.join(repeated, "repeated_key", "left_semi").drop("repeated_key"))
     return rows.unionByName(more.withColumn(_COPIES, F.count("*").over(W.partitionBy("passage_id"))))
 
 

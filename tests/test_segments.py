@@ -150,3 +150,14 @@ def test_documents_that_come_twice(spark, tmp_path):
     assert terms(index) == [("a-0", "wg"), ("b-0", "wd")]
     assert index.lexical.corpus_stats.first()["n_passages"] == 2
     assert sorted(r["term"] for r in index.lexical.term_stats.collect()) == ["wd", "wg"]
+
+
+def test_ids_that_a_condition_of_the_documents_cannot_read(spark, tmp_path):
+    """Documents filtered by the number in their id, beside others that come twice and have no number."""
+    path, n = str(tmp_path / "s"), F.col("document_id").cast("int") % 10
+    docs = spark.createDataFrame([(str(i % 9), f"w{i}", "paragraph", "natural_units") for i in range(12)], SCHEMA)
+    copies = docs.where(n == 1).withColumn("document_id", F.concat(F.lit("copy-"), "document_id"))
+    create_segments(docs.where(n != 3).unionByName(copies), path)
+    assert open_segments(spark, path).passages.count() == 13
+    update_segments(path, docs.where(n == 3), copies)
+    assert open_segments(spark, path).passages.count() == 12
